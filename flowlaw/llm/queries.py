@@ -7,27 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import chat, media, mixing, packing, repetition, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer() -> str:
+    """The vocabulary's path, which is the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), window=2048)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark, sf_dir)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op7_simhash, op9_sharding)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_packing, op7_simhash, op8_chat, op9_sharding, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
