@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, pii, repetition, sharding, simhash
+from . import chat, media, mixing, packing, pii, repetition, scoring, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), window=2048)
 
 
+def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents"), key="a key of the job").select("doc_id", "text", "pii_units")
 
@@ -54,7 +58,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media, op2_mixing, op3_packing, op5_pii, op7_simhash, op8_chat, op9_sharding, op10_repetition)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op7_simhash, op8_chat, op9_sharding, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
