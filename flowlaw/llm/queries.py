@@ -7,19 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, pii, repetition, scoring, sharding, simhash
+import corpus_pipeline
+
+from . import chat, media, mixing, packing, pii, repetition, scoring, sharding, simhash, toxicity
 from .common import table
+from .tokens import byte_bpe_50k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer() -> str:
-    """The vocabulary's path, which is the same on every executor."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -29,17 +25,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), window=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_50k(), window=2048)
 
 
 def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(table(spark, sf_dir, "documents"), tokenizer())
+    return scoring.score(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents"), key="a key of the job").select("doc_id", "text", "pii_units")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,7 +58,8 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op7_simhash, op8_chat, op9_sharding, op10_repetition)}
+    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

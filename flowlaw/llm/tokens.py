@@ -43,3 +43,10 @@ class Tokens:
 
     def encode(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+
+def byte_bpe_50k() -> str:
+    """The path of the installed vocabulary, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
