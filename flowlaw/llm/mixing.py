@@ -143,9 +143,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs with every row repeated as often as the mix takes it."""
-    found = mix(docs, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (words(text_or_empty()) == F.col("_z"))
-    taken = docs.join(found.filter("copies > 0"), same)
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
-
-
+    found = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_n"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").alias("_b"), words(text_or_empty()).alias("_c"))
+    taken = rows.join(found, F.col("_a").eqNullSafe(F.col("_d")) & F.col("_b").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_z")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

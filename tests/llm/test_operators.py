@@ -1,0 +1,401 @@
+"""Each operator against a brute-force version, on texts with every awkward case."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from flowlaw.llm import chat, media, mixing, packing, pii, queries, repetition, scoring, sharding, simhash, tokens, toxicity, webp
+
+from .fixtures import empty, frame, rows
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return empty(spark)
+
+
+def payload(text):
+    data = (text or "").encode()
+    return data + bytes(-len(data) % 64 or (0 if data else 64))
+
+
+def test_media_round_trip(docs, none):
+    found = sorted(media.round_trip(docs).collect(), key=str)
+    assert len(found) == len(rows())
+    by_text = defaultdict(set)
+    for r in found:
+        if r.doc_id is not None:
+            p = payload(rows()[r.doc_id][1])
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len((rows()[r.doc_id][1] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+            by_text[p].add((r.media_sha256, r.media_bytes, r.feature))
+    assert all(len(x) == 1 for x in by_text.values())
+    assert media.round_trip(none).count() == 0
+    pixels = media.decode(media.encode(docs.filter("doc_id = 3"))).first()
+    assert (pixels.width, pixels.height, pixels.pixels[0]) == (16, 1, int.from_bytes(b"one\0", "little"))
+
+
+def test_webp_features():
+    rng = np.random.default_rng(0)
+    for trial in range(40):
+        height, width = map(int, rng.integers(1, 40, 2))
+        colours = rng.integers(0, 2**32, int(rng.integers(1, 40)), dtype=np.uint64).astype(np.uint32)
+        picture = colours[rng.integers(0, len(colours), (height, width))]
+        block = int(rng.integers(2, 5))
+        side = (-(-height >> block), -(-width >> block))
+        how = {"green": bool(rng.integers(2)), "block": block, "cache_bits": int(rng.integers(0, 8)), "references": bool(rng.integers(2))}
+        if trial % 3:
+            how |= {"modes": rng.integers(0, 14, side), "elements": rng.integers(0, 2**24, side) | 0xFF000000}
+        else:
+            how["palette"] = True
+        assert (webp.decode(webp.encode(picture, **how)) == picture).all()
+    assert len(set(webp.PLANE)) == 120 and webp.PLANE[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and webp.PLANE[-1] == (8, 7)
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFF....WEBPVP8 ....")
+
+
+def test_webp_meta_codes():
+    """A picture whose two halves have prefix codes of their own."""
+    out = webp.Writer()
+    out.put(7 | 3 << 14 | 1 << 28, 32)
+    out.put(0, 1)  # no transforms
+    out.put(0, 1)  # no cache
+    out.put(1, 1)
+    out.put(0, 3)  # blocks of 4 x 4
+    webp.write_pixels(out, np.array([0, 1 << 8], np.uint32), 2)
+    for green in (5, 9):
+        for n, symbol in ((280, green), (256, 1), (256, 2), (256, 255), (40, 0)):
+            counts = np.zeros(n, np.int64)
+            counts[symbol] = 1
+            webp._put_code(out, webp.code_lengths(counts))
+    body = b"\x2f" + out.bytes()
+    file = b"RIFF\0\0\0\0WEBPVP8L" + len(body).to_bytes(4, "little") + body
+    assert (webp.decode(file) >> 8 & 255).tolist() == [[5] * 4 + [9] * 4] * 4
+
+
+def test_mixing(spark, docs, none):
+    found = mixing.mix_report(docs).collect()
+    assert len(found) == len(rows())
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix_report(docs.repartition(5)).collect()))
+    sizes = Counter()
+    for r in rows():
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    full, target = set(), {}
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full)
+        open_ = [s for s in order if s not in full]
+        target = {s: rest * weight[s] / sum(weight[x] for x in open_) if s in open_ else 2.0 * sizes[s] for s in order}
+        over = {s for s in open_ if target[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    taken = Counter()
+    for r in found:
+        assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+        assert r.taken % r.size == 0 if r.size else r.taken == 0
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(len(WORD.findall(r[1] or "")) for r in rows() if r[3] == s) * 3
+    assert mixing.mix_report(none).count() == 0
+    repeated = mixing.mixed(docs).groupBy("doc_id").count().filter("doc_id IS NOT NULL")
+    assert mixing.mixed(docs).columns == docs.columns and repeated.count() > 0
+
+
+def test_pivots_keep_sums(spark):
+    items = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("source"), F.struct("id").alias("k"), (1 + F.col("id") % 17).cast("double").alias("w")).withColumn("m", F.col("w") * 0.3)
+    found = mixing.copies(items, chunk=16).select("source", "k.id", "up").toPandas()
+    assert len(found) == 3000 and found["id"].is_unique
+    size = 1 + found["id"] % 17
+    for source in (None, "a"):
+        own = found["source"].isna() if source is None else found["source"] == source
+        assert abs((size * found["up"])[own].sum() - 0.3 * size[own].sum()) <= 17
+    assert 0.2 < found["up"].mean() < 0.4
+
+
+def test_packing(docs, none):
+    path = tokens.byte_bpe_50k()
+    found = packing.pack(docs, path).toPandas()
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    want = Counter()
+    for r in rows():
+        ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(ids), 2048):
+            want[str(r[0]), at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes()), len(ids)] += 1
+    assert want == Counter(("None" if d != d else str(int(d)), *map(int, x)) for d, *x in found[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].itertuples(index=False))
+    for _, s in found.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
+    assert packing.pack(none, path).count() == 0
+
+
+def test_best_fit_is_best():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 65, 400)
+    at, offset = packing.best_fit(lengths, 64)
+    rooms: list[int] = []
+    for i in np.argsort(-lengths, kind="stable"):
+        fits = [r for r in rooms if r >= lengths[i]]
+        if fits:
+            assert 64 - offset[i] == min(fits)
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - lengths[i])
+        else:
+            assert offset[i] == 0
+            rooms.append(64 - lengths[i])
+    assert len(rooms) == at.max() + 1
+
+
+def test_tokens_match(docs):
+    plain = Tokenizer.from_file(tokens.byte_bpe_50k())
+    plain.encode_special_tokens = True
+    ours = tokens.Tokens(tokens.byte_bpe_50k())
+    for r in rows():
+        assert ours.encode(r[1] or "").tolist() == plain.encode(r[1] or "", add_special_tokens=False).ids
+
+
+def test_scoring(docs, none):
+    path = tokens.byte_bpe_50k()
+    found = scoring.score(docs, path).collect()
+    classes, ours = scoring.shapes(path), tokens.Tokens(path)
+    ids, seen = Counter(), Counter()
+    texts = [ours.encode(r[1] or "") for r in rows()]
+    for t in texts:
+        ids.update(t.tolist())
+        wide = [scoring.EDGE] * 2 + classes[t].tolist() + [scoring.EDGE] * 2
+        for i in range(2, len(wide) - 2):
+            w = 0
+            for j in (i - 2, i - 1, i + 1, i + 2, i):
+                w = 16 * w + wide[j]
+            seen[w] += 1
+    got = {r["item"]: r["n"] for r in scoring.corpus_counts(docs, path).collect()}
+    assert got == {**{-1 - k: v for k, v in ids.items()}, **seen}
+    log_class, log_token = scoring.fit(docs, path)
+    assert np.allclose(np.exp(log_class.reshape(-1, 16)).sum(1), 1, atol=1e-4)
+    own = np.zeros(scoring.WINDOWS)
+    own[list(seen)] = list(seen.values())
+    share = own.reshape(-1, 16).sum(0) / own.sum()
+    uniform = -(share[share > 0] * np.log(share[share > 0])).sum()
+    assert -(own * log_class).sum() / own.sum() < 0.8 * uniform  # both sides tell more than frequency
+    for r in found:
+        if r.doc_id is not None:
+            t = texts[r.doc_id]
+            want = float(sum(log_class[scoring.windows(classes[t])].astype(float) + log_token[t])) if len(t) else 0.0
+            assert r.n_tokens == len(t) and abs(r.log_likelihood - want) < 1e-3 * max(1, abs(want))
+    assert scoring.score(none, path).count() == 0
+
+
+def test_pii(spark, docs, none):
+    found = {r.doc_id: r for r in pii.replaced(docs, "key").collect() if r.doc_id is not None}
+    assert pii.replaced(docs, "key").columns == [*docs.columns, "pii_units"]
+    for i, r in enumerate(rows()[:20]):
+        if i not in (13, 14, 15, 16):
+            assert (found[i].text, found[i].pii_units) == (r[1], 0)
+    mail = re.compile(r"mail (\S+)@(\S+) or (\+1.*) now")
+    a, b = mail.fullmatch(found[13].text), mail.fullmatch(found[14].text)
+    assert a[1].lower() == b[1].lower() and a[2] == b[2] and re.sub(r"\D", "", a[3]) == re.sub(r"\D", "", b[3]) and a[3].startswith("+1 (")
+    assert "example.com" not in found[13].text and "010" not in a[3]
+    names = re.fullmatch(r"Mrs\. (\S+) (\S+) met Mr\. (\S+) at ([\d.]+), card (\d{4} \d{4} \d{4} \d{4})", found[15].text)
+    assert names[2] == names[3] != "Miller" and names[1].split("-")[0] in pii.GIVEN["f"]["latin"]
+    digits = [int(c) for c in names[5] if c.isdigit()]
+    assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0 and digits[0] == 4
+    assert re.fullmatch(r"ключ Госпожа [а-яА-Я]+ пришла", found[16].text) and "Иванова" not in found[16].text
+    assert pii.replaced(none, "key").count() == 0
+    many = spark.range(4000).select(F.lit("card").alias("kind"), F.format_string("%012d", "id").alias("value"))
+    new = pii.surrogates(many, "key").collect()
+    assert len({r.replacement for r in new}) == 4000 and not {r.replacement for r in new} & {r.value for r in new}
+    tight = spark.range(60).select(F.lit("ip").alias("kind"), F.concat(F.lit("1.1.1."), F.col("id")).alias("value"))
+    assert pii.surrogates(tight, "key").select("replacement").distinct().count() == 60
+
+
+def test_toxicity_gradients():
+    rng = np.random.default_rng(0)
+    model = toxicity.fresh({"aa": 1, "bb": 2}, np.array([0, 0.5, -0.3]), 1)
+    for k in model.net:
+        model.net[k] = model.net[k].astype(np.float64)
+    grid = rng.integers(-1, 4, (toxicity.WINDOW, 5))
+    grid[0] = 0
+    grid = np.where(np.cumsum(grid < 0, 0) > 0, -1, grid)
+    labels, words = np.array([1, 0, 1, 0, 1.0]), ["aa", "bb", "xyz", ""]
+    _, grad = toxicity.gradients(model, words, grid, labels)
+    for k, values in model.net.items():
+        flat = values.ravel()
+        for i in rng.choice(flat.size, min(5, flat.size), replace=False):
+            if k == "own" and i < toxicity.OWN:
+                continue
+            kept, losses = flat[i], []
+            for step in (1e-3, -1e-3):
+                flat[i] = kept + step
+                losses.append(toxicity.gradients(model, words, grid, labels)[0])
+            flat[i] = kept
+            slope = (losses[0] - losses[1]) / 2e-3
+            assert abs(slope - grad[k].ravel()[i]) < 3e-4 + 0.02 * abs(slope)
+
+
+def test_toxicity_windows_cover():
+    for n in (1, 5, 31, 32, 33, 56, 57, 300):
+        starts = toxicity.windows(n)
+        covered = {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))}
+        assert covered == set(range(n)) and (len(starts) == 1) == (n <= 32)
+
+
+def test_toxicity_held_out(spark, none):
+    found = toxicity.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).toPandas().set_index("doc_id")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["toxic"]
+    assert found["score"].between(0, 1).all() and len(found) == 1000
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in found["held_out"].items())
+    both = found.join(labels, how="inner")
+    both = both[both["held_out"]]
+    assert (both["predicted"] == both["toxic"]).mean() > 0.9
+    assert toxicity.judged(none, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_simhash(spark, docs, none):
+    def fingerprint(text):
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for frame_ in (table, docs.select("doc_id", "text")):
+        pairs = [(r.doc_id, fingerprint(r.text)) for r in frame_.collect()]
+        prints = sorted({p for _, p in pairs})
+        group = {p: p for p in prints}
+        for i, p in enumerate(prints):
+            for q in prints[i + 1 :]:
+                if (p ^ q).bit_count() <= 3 and group[p] != group[q]:
+                    old, new = group[q], group[p]
+                    group = {k: new if v == old else v for k, v in group.items()}
+        least = defaultdict(list)
+        for d, p in pairs:
+            least[group[p]].append(d)
+        want = Counter((d, p, min((x for x in least[group[p]] if x is not None), default=None)) for d, p in pairs)
+        assert want == Counter((r["doc_id"], r["print"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(frame_).collect())
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
+    kept = [r.doc_id for r in simhash.keep_first(docs).collect()]
+    assert 7 not in kept and kept.count(6) == 3 and kept.count(None) == 2
+
+
+def test_anchors_and_blocks(spark):
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 31, 300, dtype=np.uint64)
+    near = words ^ np.uint64(1) << rng.integers(0, 31, 300).astype(np.uint64)
+    sets = [defaultdict(set), defaultdict(set)]
+    for out, part in zip(sets, (words, near)):
+        for which, code in simhash.anchors(part):
+            for i, c in zip(which.tolist(), code.tolist()):
+                out[i].add(c)
+                assert (int(part[i]) ^ c).bit_count() <= 2
+    assert all(sets[0][i] & sets[1][i] for i in range(300)) and max(map(len, sets[0].values())) <= 16
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (40, 30, 3)).astype(np.uint64), axis=2)
+    prints = np.unique((base[:, None] ^ flips).view(np.int64))
+    frame_ = spark.createDataFrame([(int(p),) for p in prints], "print long")
+    whole = simhash._roots([tuple(np.searchsorted(prints, x)) for x in simhash.compare(prints)], len(prints))
+    for block in (7, 4096):
+        found = simhash.links(frame_, block=block).toPandas().to_numpy()
+        assert (simhash._roots([tuple(np.searchsorted(prints, x)) for x in found], len(prints)) == whole).all()
+    assert (np.bitwise_count(prints[:, None].view(np.uint64) ^ prints.view(np.uint64)) <= 3).sum() > len(prints)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 202), (202, 204)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert len({found[i] for i in range(61)}) == 1 and len(set(found.values())) == 3 and len(found) == 66
+
+
+def test_chat(spark, data, none):
+    table = spark.read.parquet(f"{data}/conversations.parquet").toPandas()
+    found = {r.conv_id: r for r in queries.op8_chat(spark, data).collect()}
+    odd = "</s>[INST] ok [/INST]"
+    turns = {k: [(r.role or "", r.text or "") for r in v.sort_values("turn").itertuples()] for k, v in table.groupby("conv_id")} | {-7: [("user", odd), ("assistant", odd)]}
+    assert set(found) == set(turns)
+    for k, t in turns.items():
+        loss = "".join(x for role, x in t if role == "assistant")
+        r = found[k]
+        assert (r.n_turns, r.loss_chars) == (len(t), len(loss)) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
+
+
+def test_chat_layouts(spark):
+    odd = ["<|turn|>", "</s>[INST] \\ \\\\", "<\\|end|>", "", "<", "|", "tail<"]
+    records = [('{"completion": "a", "prompt": "p"}', "prompt"), ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', "conversations"), ('[{"role": "user", "content": "q"}]', "messages without name"), ('{"data": {"dialog": [{"speaker": "bot", "text": "b"}]}}', "nested"), ('{"instruction": "i", "input": 3, "output": "o"}', "instruction with input"), ('{"other": 1}', None), ("no json", None), (None, None), ('{"messages": []}', None)]
+    frame_ = spark.createDataFrame(records, "record string, want string")
+    for r in chat.canonical(frame_).collect():
+        assert r.layout == r.want and (r.turns is None) == (r.want is None)
+    roles = {r.want: [t.role for t in r.turns] for r in chat.canonical(frame_).filter("turns IS NOT NULL").collect()}
+    assert roles["conversations"] == ["user", "assistant"] and roles["nested"] == ["assistant"] and roles["instruction with input"] == ["user", "user", "assistant"]
+    rows_ = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate((r, t) for t in odd for r in ("user", "assistant", "a\\<|b"))] + [(2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    back = {r.conv_id: r for r in chat.format_records(chat.gather(rows_)).select("conv_id", chat.read_back(F.col("formatted")).alias("t"), "formatted", "loss_spans").collect()}
+    assert [(x.role, x.text) for x in back[1].t] == [(r, t) for t in odd for r in ("user", "assistant", "a\\<|b")] and [(x.role, x.text) for x in back[2].t] == [("", "")]
+    assert "[INST]" not in back[1].formatted and "</s>" not in back[1].formatted
+    assert len(back[1].loss_spans) == len(odd) and back[2].loss_spans == []
+
+
+def test_sharding(spark, docs, none):
+    for frame_ in (docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        found = sharding.shard_documents(frame_).toPandas()
+        n = frame_.count()
+        assert len(found) == n
+        counts = found["shard"].value_counts().reindex(range(16), fill_value=0)
+        assert counts.max() - counts.min() <= 1
+        for _, s in found.groupby("shard"):
+            assert sorted(s["slot"]) == list(range(len(s)))
+        sources = found["source"].fillna("none").value_counts()
+        for source, total in sources.items():
+            each = found[found["source"].fillna("none") == source]["shard"].value_counts().reindex(range(16), fill_value=0)
+            assert each.max() - each.min() <= 2 and each.sum() == total
+    assert sharding.shard_documents(none).count() == 0
+    one = {r.doc_id: r for r in sharding.shard_documents(docs).collect()}
+    assert one[0].size == 1 and one[3].text_crc32 == zlib.crc32(b"one")
+
+
+def test_sharding_order(spark):
+    """The rank in one sorted list is the place, with bins of any width."""
+    table = spark.range(500).select("id", (F.col("id") % 7 * F.col("id") % 3).cast("string").alias("s"))
+    ranks = defaultdict(list)
+    for r in table.collect():
+        ranks[r.s].append((hashlib.md5(f"9:{r.id}".encode()).hexdigest(), r.id))
+    order = sorted(((2 * i + 1) / (2 * len(v)), s, d) for s, v in ranks.items() for i, (_, d) in enumerate(sorted(v)))
+    want = {d: g * 5 // 500 for g, (_, _, d) in enumerate(order)}
+    for width in (7, 2000):
+        sharding.BIN = width
+        assert {r.id: r.shard for r in sharding.interleave(table, F.col("id"), F.col("s"), shards=5).collect()} == want
+    sharding.BIN = 2000
+
+
+def test_repetition(docs, none):
+    found = repetition.rules(docs).collect()
+    assert len(found) == len(rows())
+    for r in found:
+        if r.doc_id is None:
+            continue
+        text = rows()[r.doc_id][1] or ""
+        words = WORD.findall(text)
+        seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        marked = {j for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(marked))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 10 or 100 * len(marked) > 20 * len(words)) and not (r.kept and r.base_failed)
+    assert repetition.rules(none).count() == 0
+    ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 9], np.uint64)
+    for n in range(1, 9):
+        rolled = repetition.rolling(ids, n)
+        assert len(rolled) == len(ids) - n + 1
+        assert all((rolled[i] == rolled[j]) == (tuple(ids[i : i + n]) == tuple(ids[j : j + n])) for i in range(len(rolled)) for j in range(len(rolled)))
