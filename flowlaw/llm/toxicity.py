@@ -210,8 +210,11 @@ def _pick(model: Model, texts: list[list[str]], labels: np.ndarray, rng: np.rand
     return words, grid[:, chosen], np.concatenate([labels, np.zeros(int((labels == 0).sum()))])
 
 
-def train(texts: list[str], labels: list[int], share: float, seed: int = 6, passes: int = 2, epochs: int = 3, batch: int = 128, rate: float = 0.01) -> Model:
-    """A model of labelled texts. share: that of toxic texts among all, for which scores are calibrated."""
+def train(texts: list[str], labels: list[int], share: float, seed: int = 6, passes: int = 2, epochs: int = 3, batch: int = 128, rate: float = 0.01, steps: int = 150, decay: float = 1e-3) -> Model:
+    """A model of labelled texts. share: that of toxic texts among all, for which scores are calibrated.
+
+    A pass takes that many epochs over its windows, or as many as make up steps; decay draws words' own vectors to zero.
+    """
     split, y = [words_of(t) for t in texts], np.array(labels, np.float32)
     seen = {k: Counter(w for words, x in zip(split, labels) if x == k for w in set(words)) for k in (0, 1)}
     totals = {k: int((y == k).sum()) for k in (0, 1)}
@@ -230,7 +233,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 6, pass
     step = 0
     for _ in range(passes):
         words, grid, target = _pick(model, split, y, rng)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * batch // len(target)))):
             for part in np.array_split(rng.permutation(len(target)), max(1, len(target) // batch)):
                 step += 1
                 used, local = np.unique(grid[:, part], return_inverse=True)
@@ -238,6 +241,8 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 6, pass
                 if used[0] < 0:
                     used, local = used[1:], local - 1
                 for k, g in gradients(model, [words[i] for i in used], local, target[part])[1].items():
+                    if k in ("own", "chars"):
+                        g += decay * model.net[k]
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     model.net[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
