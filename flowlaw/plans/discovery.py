@@ -9,8 +9,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.laws import Law
 from ..functions.terms import Term, theta
-from ..operators import recovery, spectral
+from ..operators import evolve, recovery, spectral
 from ..operators.summary import Summary, summarize
 from ..sources.tables import event_snapshots, table
 
@@ -53,6 +54,21 @@ def field_summary(spark: SparkSession, sf_dir: str, terms: Sequence[Term], law:
     return summarize(field_rows(event_snapshots(spark, sf_dir), terms, law, orders), [t.name for t in terms])
 
 
+def smooth_starts(spark: SparkSession, sf_dir: str, modes: int = 4, unit_range: bool = False) -> DataFrame:
+    """series, j, u: the first waves of the event fields, of unit spread or in the range from 0 to 1."""
+    grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
+    low = spectral.synthesis(spectral.fourier(grid, ["series", "j"], 64, modes), ["series", "j"], 64)
+    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("u"))  # 64 values
+    return rows.withColumn("u", evolve.rescaled(F.col("u")) if unit_range else evolve.standardised(F.col("u")))
+
+
+def law_rows(starts: DataFrame, law: Law, end: float, times: int, terms: Sequence[Term], orders: Sequence[int]) -> DataFrame:
+    """theta and y (the exact rate) at all points of the trajectories that start there."""
+    moved = spectral.with_derivatives(evolve.trajectories(starts, law, end, times), orders)
+    grid = spectral.points(moved, ["u", "u_t", *[f"d{r}" for r in orders]], ["series", "j", "m"])
+    return theta(grid, terms, "u", [f"d{r}" for r in orders]).withColumnRenamed("u_t", "y")
+
+
 def found_terms(spark: SparkSession, found: recovery.Recovery) -> DataFrame:
     """term, coefficient of a result."""
     one = recovery.as_frame(spark, [found])

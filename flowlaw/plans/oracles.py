@@ -87,6 +87,13 @@ def _runs() -> str:
     runs AS (SELECT user_id, any_value(v) AS value, min(event_id) AS start, max(event_id) AS stop, count(*) AS length FROM numbered GROUP BY user_id, run)"""
 
 
+def _planted_laws() -> str:
+    """The terms that each law has, in the dictionary's order: what the search must find."""
+    known = {"kdv": "u_xxx, u u_x", "burgers": "u_xx, u u_x", "allen_cahn": "u, u^3, u_xx", "ks": "u_xx, u_xxxx, u u_x", "fisher_kpp": "u, u^2, u_xx", "kdv_burgers": "u_xx, u_xxx, u u_x", "fitzhugh_nagumo": "u^2, u^3, u_xx"}
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in known.items())
+    return f"SELECT law, series, terms, 1.0::DOUBLE AS score FROM (VALUES {rows}) v(law, terms) CROSS JOIN (SELECT DISTINCT event_type AS series FROM events)"
+
+
 CHARGE = """
 WITH s AS (SELECT sum(p * p) AS aa, sum(p * p * d) AS ab, sum(p * d * p * d) AS bb, sum(p * p * (1 - d)) AS ay, sum(p * d * p * (1 - d)) AS dy FROM ({items}))
 SELECT 'p' AS term, round((ay * bb - dy * ab) / (aa * bb - ab * ab), 6) AS coefficient FROM s
@@ -144,5 +151,6 @@ def oracle_sql() -> dict[str, str]:
         "q_ccp": CHARGE,
         "q_omp": CHARGE,
         "q_best_subset": CHARGE,
+        "q_law_recovery": _planted_laws(),
         "q_group_laws": "SELECT DISTINCT l_returnflag, 'p,p d' AS terms, 1.0::DOUBLE AS score FROM lineitem",
     }

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, splines
+from ..functions.laws import laws
 from ..functions.terms import dictionary, theta
-from ..operators import noise, plateau, recovery, sampling, spectral, summary
+from ..operators import evolve, noise, plateau, recovery, sampling, spectral, summary
 from ..sources.results import pending
 from ..sources.tables import event_hour, event_snapshots, table, trajectory_grid
 from ..streaming.refit import slope, windowed_moments
@@ -388,6 +389,31 @@ def q_signal_rows(spark, sf_dir):
     return spark.range(1).select(F.lit(s.n).cast("long").alias("n"), _r(F.lit(float(c[0])), 6).alias("p"), _r(F.lit(float(c[1])), 6).alias("p_d"))
 
 
+#: How long each law is watched.
+WATCHED = {"kdv": 0.05, "burgers": 0.3, "allen_cahn": 0.1, "ks": 0.08, "fisher_kpp": 0.2, "kdv_burgers": 0.05, "fitzhugh_nagumo": 0.1}
+
+
+def q_trajectories(spark, sf_dir):
+    """Lengths of the fields and of their rates while they follow Burgers' law."""
+    moved = evolve.trajectories(discovery.smooth_starts(spark, sf_dir), laws()["burgers"], 0.3, 10)
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    return moved.select("series", "j", "m", _r(F.col("t"), 6).alias("t"), _r(size("u"), 6).alias("length"), _r(size("u_t"), 6).alias("rate"))
+
+
+def q_law_recovery(spark, sf_dir):
+    """Each law watched from every field of the events, and the terms found again for each kind of event; score 1: exactly those."""
+    terms, out = dictionary(2, 4, True, 3), None
+    wide = dictionary(3, 4, True, 3)
+    for name, end in WATCHED.items():
+        law = laws()[name]
+        own = wide if any(t.p > 2 for t in law) else terms
+        rows = discovery.law_rows(discovery.smooth_starts(spark, sf_dir, unit_range=name == "fisher_kpp"), law, end, 20, own, (1, 2, 3, 4))
+        found = sweeps.scored(sweeps.identify_groups(rows, ["series"], [t.name for t in own], "ccp"), [t.name for t in law])
+        found = found.select(F.lit(name).alias("law"), "series", F.array_join("names", ", ").alias("terms"), _r(F.col("score"), 4).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 
