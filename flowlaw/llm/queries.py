@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, media, mixing, packing, pii, repetition, scoring, sharding, simhash, toxicity
+from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, toxicity
 from .common import table
 from .tokens import byte_bpe_50k
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
