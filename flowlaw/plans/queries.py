@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics, splines
 from ..functions.laws import laws
 from ..functions.terms import dictionary, theta
-from ..operators import evolve, noise, plateau, recovery, sampling, spectral, summary
+from ..operators import evolve, noise, plateau, recovery, sampling, smoothing, spectral, summary
 from ..sources.results import pending
 from ..sources.tables import event_hour, event_snapshots, table, trajectory_grid
 from ..streaming.refit import slope, windowed_moments
@@ -327,6 +327,12 @@ def q_kron(spark, sf_dir):
     return both.groupBy("col").agg(_r(F.sum("val"), 4).alias("total"))
 
 
+def q_smooth(spark, sf_dir):
+    """Each field and the nearest cubic spline on sixteen intervals."""
+    both = smoothing.smoothed(event_snapshots(spark, sf_dir).withColumn("s", F.col("u")), N, 16, 3, "s")
+    return spectral.points(both, ["u", "s"], ["series", "j"]).select("series", "j", "i", _r(F.col("u")).alias("u"), _r(F.col("s")).alias("s"))
+
+
 def q_truth_flags(spark, sf_dir):
     """Parts with a mark for those whose size is one of the true ones."""
     p = table(spark, sf_dir, "part")

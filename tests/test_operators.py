@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlaw.functions.laws import laws
 from flowlaw.functions.terms import Term
-from flowlaw.operators import evolve, noise, plateau, recovery, sampling, spectral, summary
+from flowlaw.operators import evolve, noise, plateau, recovery, sampling, smoothing, spectral, summary
 
 NAMES = ("1", "a", "b", "c", "d")
 
@@ -151,3 +151,17 @@ def test_noise(spark):
     step = (both["a"] - both["was"]) / both["was"].std()
     assert abs(step.mean()) < 0.01 and abs(step.std() - 0.1) < 0.01 and np.isfinite(both["c"]).all()
     assert noise.add_noise(flat.repartition(2), ["a"], ["row_id"], 0.1, 1).orderBy("row_id").first().a == noisy.orderBy("row_id").first().a
+
+
+def test_smoothing(spark):
+    x = 2 * np.pi * np.arange(64) / 64
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(0, np.sin(x).tolist()), (1, (np.sin(x) + 0.05 * rng.normal(size=64)).tolist()), (2, None)], "id int, u array<double>")
+    got = {r.id: r.u for r in smoothing.smoothed(rows, 64, 12, 5).collect()}
+    assert got[0] == pytest.approx(np.sin(x), abs=1e-4) and got[2] is None
+    assert np.abs(np.array(got[1]) - np.sin(x)).max() < 0.08 and np.std(np.array(got[1]) - np.sin(x)) < 0.04
+    b = smoothing.design_matrix(spark, 64, 12, 5)
+    want = b @ np.linalg.lstsq(b, np.array(rows.filter("id = 1").first().u), rcond=None)[0]
+    assert got[1] == pytest.approx(want)
+    slope = smoothing.design_matrix(spark, 64, 12, 5, 1) @ np.linalg.lstsq(b, np.sin(x), rcond=None)[0] / (2 * np.pi)
+    assert slope == pytest.approx(np.cos(x), abs=2e-3)
