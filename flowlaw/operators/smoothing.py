@@ -28,8 +28,9 @@ def smoothed(snapshots: DataFrame, n: int, intervals: int, degree: int = 5, u: s
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
-        full = values.dropna()
-        fields = np.stack(full.to_numpy()) @ hat.T if len(full) else np.zeros((0, n))
-        return pd.Series(list(fields), index=full.index, dtype=object).reindex(values.index)
+        out, full = pd.Series([None] * len(values), index=values.index, dtype=object), values.dropna()
+        if len(full):
+            out.loc[full.index] = pd.Series(list(np.stack(full.to_numpy()) @ hat.T), index=full.index)
+        return out
 
     return snapshots.withColumn(u, run(u))
