@@ -1,7 +1,7 @@
 """Operator 5, surrogates for personal data.
 
 Entities are found by one pattern: mail addresses, telephone and card numbers, network addresses,
-long hexadecimal secrets, and names behind a title. Each becomes one or two units (a name's given
+keys and passwords, and names behind a title. Each becomes one or two units (a name's given
 and family part are units of their own, so that a family met again keeps its surrogate), and each
 distinct unit gets a replacement from a keyed hash: digits for digits and letters for letters in
 the same places, names of the same gender and script, addresses of the same kind.
@@ -34,17 +34,20 @@ SYLLABLES = {
     "cyrillic": ("ба", "вер", "го", "дан", "жел", "зар", "ка", "лан", "мар", "ни", "пет", "рос", "сам", "тар", "фед", "чер"),
 }
 TITLE = "|".join(x.replace(".", r"\.") for x in (*FEMALE, *MALE))
+#: Names of secrets, with their value behind "=" or ":".
+SECRETS = ("password", "passwd", "api_key", "secret", "token")
 #: Alternatives in order; at one place the first that fits counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "secret": rf"(?<=(?:{'|'.join(SECRETS)})[=:])[A-Za-z0-9]{{6,64}}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
+    "hexadecimal": r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
-    "phone": r"(?<![\d+])\+(?=(?:[ .()-]?[ .()-]?\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .()-]?[ .()-]?\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "name": rf"(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 PATTERN = rf"(?=[A-Za-z0-9(+гГ])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
-#: Each entity but a mail address or a name holds one of these, which are found much faster.
+#: Entities that numbers make hold one of these, which are found much faster.
 HINT = r"[0-9][0-9. ()-]{5}|[0-9a-f]{32}"
 NAME_HINT = rf"(?=[MFSDгГ])(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}"
 ROUNDS = 8
@@ -52,7 +55,7 @@ ROUNDS = 8
 
 def _kind(entity: Column) -> Column:
     whole = lambda name: entity.rlike(rf"\A(?:{PATTERNS[name]})\z")
-    return F.when(entity.contains("@"), "email").when(whole("ip"), "ip").when(whole("name"), "name").when(whole("secret"), "secret").when(whole("card"), "card").otherwise("phone")
+    return F.when(entity.contains("@"), "email").when(whole("ip"), "ip").when(whole("name"), "name").when(whole("card"), "card").when(whole("phone"), "phone").otherwise("secret")
 
 
 def _units(entity: Column, before: Column) -> Column:
@@ -76,7 +79,9 @@ def with_units(texts: DataFrame, text: str = "_text") -> DataFrame:
     A unit's before also holds the text since the last one. The whole pattern runs only over texts with a hint.
     """
     whole = F.col(text)
-    hinted = whole.contains("@") | whole.rlike(HINT) | whole.rlike(NAME_HINT)
+    hinted = whole.contains("@") | whole.contains("AKIA") | whole.rlike(HINT) | whole.rlike(NAME_HINT)
+    for name in SECRETS:
+        hinted = hinted | whole.contains(name)
     found = texts.withColumn("_found", F.when(hinted, F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))))
     found = found.withColumn("_plain", F.when(F.size("_found") > 0, F.split(whole, PATTERN, -1)))
     made = F.flatten(F.zip_with("_found", F.slice("_plain", F.lit(1), F.size("_found")), lambda e, b: _units(e, b)))
@@ -157,6 +162,12 @@ def _email(value: Column, hexes: Column) -> Column:
     return F.concat(_shaped(local, hexes), F.lit(".x"), F.substr(hexes, F.lit(200), F.lit(6)), F.lit("@mail."), F.substr(hexes, F.lit(210), F.lit(4)), F.lit(".example.org"))
 
 
+def _secret(value: Column, hexes: Column) -> Column:
+    """Hexadecimal digits for such, a known prefix before the rest of its shape, or the shape alone."""
+    key = F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), hexes))
+    return F.when(value.rlike(r"\A[0-9a-f]+\z"), F.substr(hexes, F.lit(1), F.char_length(value))).when(value.startswith("AKIA"), key).otherwise(_shaped(value, hexes))
+
+
 def _ip(hexes: Column) -> Column:
     """Four numbers from 1 to 254."""
     return F.concat_ws(".", *[(F.pmod(_number(hexes, 10 * i), F.lit(254)) + 1).cast("string") for i in range(4)])
@@ -179,7 +190,7 @@ def surrogate(kind: Column, value: Column, hexes: Column) -> Column:
         .when(kind == "ip", _ip(hexes))
         .when(kind == "card", _card(value, hexes))
         .when(kind == "phone", _phone(value, hexes))
-        .when(kind == "secret", F.substr(hexes, F.lit(1), F.char_length(value)))
+        .when(kind == "secret", _secret(value, hexes))
         .when(kind == "family", family)
         .otherwise(given)
     )
