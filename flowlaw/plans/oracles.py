@@ -44,7 +44,7 @@ def _field_terms() -> str:
     for t in dictionary(2, 2, True, 2):
         factors = ["u"] * t.p + [f"d{t.r}"] * t.q
         value = reduce(lambda a, b: f"{a} * {b}", factors) if factors else "1.0"
-        parts.append(f"SELECT series, '{t.name}' AS term, round(avg({value}), 3) AS mean, count(*) AS n FROM g GROUP BY series")
+        parts.append(f"SELECT series, '{t.name}' AS term, CASE WHEN round(avg({value}), 3) = 0 THEN 0 ELSE round(avg({value}), 3) END AS mean, count(*) AS n FROM g GROUP BY series")
     return f"WITH {GRID}, {WAVES}, {DERIVED}, g AS (SELECT f.series, f.u, d1.d AS d1, d2.d AS d2 FROM field f JOIN d1 USING (series, j, i) JOIN d2 USING (series, j, i)) " + " UNION ALL ".join(parts)
 
 
@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "q_dft": f"WITH {GRID}, {WAVES} SELECT series, j, k, round(a, 4) AS a, round(b, 4) AS b FROM waves WHERE k <= 4",
         "q_spectral_ux": f"WITH {GRID}, {WAVES}, {DERIVED} SELECT series, j, i, round(d, 3) AS d FROM d1",
         "q_spectral_uxx": f"WITH {GRID}, {WAVES}, {DERIVED} SELECT series, j, i, round(d, 3) AS d FROM d2",
-        "q_low_pass": f"WITH {GRID}, {WAVES} SELECT series, j, CAST(i AS INTEGER) AS i, round(sum({SHARE} * (a * cos(2 * pi() / 64 * k * i) + b * sin(2 * pi() / 64 * k * i))), 4) AS u FROM waves CROSS JOIN range(64) r(i) WHERE k <= 4 GROUP BY ALL",
+        "q_low_pass": f"WITH {GRID}, {WAVES}, low AS (SELECT series, j, CAST(i AS INTEGER) AS i, round(sum({SHARE} * (a * cos(2 * pi() / 64 * k * i) + b * sin(2 * pi() / 64 * k * i))), 4) AS u FROM waves CROSS JOIN range(64) r(i) WHERE k <= 4 GROUP BY ALL) SELECT series, j, i, CASE WHEN u = 0 THEN 0 ELSE u END AS u FROM low",
         "q_minmax_rescale": "SELECT event_id, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6) AS u FROM events WINDOW w AS (PARTITION BY user_id)",
         "q_time_derivative": f"WITH {GRID} SELECT series, j, i, round(CASE WHEN lag(u) OVER w IS NULL THEN (lead(u) OVER w - u) / 0.5 WHEN lead(u) OVER w IS NULL THEN (u - lag(u) OVER w) / 0.5 ELSE lead(u) OVER w - lag(u) OVER w END, 4) AS u_t FROM field WINDOW w AS (PARTITION BY series, i ORDER BY j)",
         "q_diffuse": f"WITH {GRID}, one AS (SELECT c.series, c.j, c.i, c.u + 0.2 * (r.u - 2 * c.u + l.u) AS u FROM field c JOIN field r ON r.series = c.series AND r.j = c.j AND r.i = (c.i + 1) % 64 JOIN field l ON l.series = c.series AND l.j = c.j AND l.i = (c.i + 63) % 64) SELECT c.series, c.j, c.i, round(c.u + 0.2 * (r.u - 2 * c.u + l.u), 4) AS u FROM one c JOIN one r ON r.series = c.series AND r.j = c.j AND r.i = (c.i + 1) % 64 JOIN one l ON l.series = c.series AND l.j = c.j AND l.i = (c.i + 63) % 64",
@@ -150,6 +150,8 @@ def oracle_sql() -> dict[str, str]:
         "q_window_slope": f"WITH g AS (SELECT {HOUR} // 6 * 6 AS hour, event_type, count(*) AS n, sum(x) AS sx, sum(value) AS sy, sum(x * x) AS sxx, sum(x * value) AS sxy FROM (SELECT *, CAST(minute(ts) AS DOUBLE) AS x FROM events) GROUP BY 1, 2) SELECT hour, event_type, n, round(CASE WHEN n * sxx - sx * sx > 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END, 4) AS slope FROM g",
         "q_ccp": CHARGE,
         "q_omp": CHARGE,
+        "q_lasso": CHARGE,
+        "q_field_law": "SELECT term, coefficient FROM (VALUES ('u_xx', 0.05::DOUBLE), ('u u_x', -1.0::DOUBLE)) v(term, coefficient)",
         "q_best_subset": CHARGE,
         "q_law_recovery": _planted_laws(),
         "q_group_laws": "SELECT DISTINCT l_returnflag, 'p,p d' AS terms, 1.0::DOUBLE AS score FROM lineitem",

@@ -27,6 +27,11 @@ def _r(column, digits: int = 4):
     return F.round(column, digits)
 
 
+def _unsigned_zero(value):
+    """A rounded value, with one zero only."""
+    return F.when(value == 0, 0.0).otherwise(value)
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {k: F.col(v).cast("double").alias(k) for k, v in discovery.ITEM.items()}
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names.values())
@@ -57,7 +62,7 @@ def q_field_terms(spark, sf_dir):
     rows = discovery.field_rows(event_snapshots(spark, sf_dir), SMALL, SMALL_LAW, orders)
     one = rows.select("series", F.posexplode("theta").alias("pos", "v"))
     names = F.array(*[F.lit(t.name) for t in SMALL])
-    return one.groupBy("series", "pos").agg(_r(F.avg("v"), 3).alias("mean"), F.count("*").alias("n")).select("series", names[F.col("pos")].alias("term"), "mean", "n")
+    return one.groupBy("series", "pos").agg(_unsigned_zero(_r(F.avg("v"), 3)).alias("mean"), F.count("*").alias("n")).select("series", names[F.col("pos")].alias("term"), "mean", "n")
 
 
 def q_col_norms(spark, sf_dir):
@@ -164,7 +169,7 @@ def q_low_pass(spark, sf_dir):
     """Fields put together from their first four waves."""
     grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
     waves = spectral.fourier(grid, ["series", "j"], N, 4)
-    return spectral.synthesis(waves, ["series", "j"], N).select("series", "j", "i", _r(F.col("u"), 4).alias("u"))
+    return spectral.synthesis(waves, ["series", "j"], N).select("series", "j", "i", _unsigned_zero(_r(F.col("u"))).alias("u"))
 
 
 def q_minmax_rescale(spark, sf_dir):
@@ -365,8 +370,8 @@ def q_best_subset(spark, sf_dir):
 
 
 def q_lasso(spark, sf_dir):
-    """The first term that a strong penalty leaves, refitted."""
-    return _charge_result(spark, recovery.lasso(discovery.charge_summary(spark, sf_dir), alpha=0.5))
+    """The terms that a penalty leaves, refitted; those that come to nothing are not shown."""
+    return _charge_result(spark, recovery.lasso(discovery.charge_summary(spark, sf_dir), alpha=0.5)).filter(F.abs("coefficient") > 1e-6)
 
 
 def q_field_law(spark, sf_dir):
