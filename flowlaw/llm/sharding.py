@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, small, text_or_empty
 
 #: Rows that a bin is meant to hold, and the most bins, whose counts one task sums up.
-BIN, BINS = 2000, 1 << 16
+BIN, BINS = 250, 1 << 16
 
 
 def _ranked(rows: DataFrame, strata: list[str], bin_: str, order: list[str | Column], name: str) -> DataFrame:
@@ -40,12 +40,13 @@ def interleave(rows: DataFrame, key: Column, source: Column, shards: int = 16, s
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
     whole = rows.select(F.struct(*keep).alias("_row"), F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))).alias("_mark"))
     whole = cut(whole)
-    sizes = whole.groupBy("_source", "_none").agg(F.count("*").alias("_size"))
+    sizes = cut(whole.groupBy("_source", "_none").agg(F.count("*").alias("_size")))
     n = sizes.agg(F.sum("_size")).first()[0] or 0
     bins = min(max(1, n // BIN), BINS)
-    # The mark's first 12 hexadecimal digits are spread evenly over the bins.
-    marked = whole.withColumn("_bin", F.floor(F.conv(F.substring("_mark", 1, 12), 16, 10).cast("long") * F.lit(bins / 16**12)).cast("long"))
-    ranked = _ranked(marked, ["_source", "_none"], "_bin", ["_mark", "_row"], "_rank").join(sizes, ["_source", "_none"])
+    # The mark's first 12 hexadecimal digits are spread evenly over the source's bins.
+    own = F.greatest(F.lit(1), F.least(F.lit(BINS), F.floor(F.col("_size") / BIN)))
+    marked = whole.join(small(sizes), ["_source", "_none"]).withColumn("_bin", F.floor(F.conv(F.substring("_mark", 1, 12), 16, 10).cast("long") / F.lit(float(16**12)) * own).cast("long"))
+    ranked = _ranked(marked, ["_source", "_none"], "_bin", ["_mark", "_row"], "_rank")
     part = ranked.withColumn("_part", (2 * F.col("_rank") + 1) / (2 * F.col("_size"))).drop("_bin").withColumn("_bin", F.least(F.floor(F.col("_part") * bins), F.lit(bins - 1)).cast("long"))
     placed = _ranked(cut(part.withColumn("_all", F.lit(0))), ["_all"], "_bin", ["_part", "_none", "_source"], "_place")
     shard = F.expr(f"CAST((_place * {shards}) DIV {max(n, 1)} AS INT)")
