@@ -201,16 +201,20 @@ def surrogates(values: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
 
     Values with the same canonical form are written alike but for their separators. Two different
     canonical forms of a kind never share a replacement, and no replacement is a value of the corpus: those
-    that clash are drawn again, all but the first, until none do. After that many rounds an error is raised.
+    that clash are drawn again, all but the first, until none do. What still clashes after that many rounds, as a
+    format may have fewer forms than the corpus has values, gets twelve keyed digits at its end.
     """
     mark = canonical(F.col("kind"), F.col("value"))
     left = cut(values.select("kind", "value").distinct().withColumn("canon", mark))
     own = left.select("kind", F.col("canon").alias("taken")).distinct()
     done: DataFrame | None = None
-    for attempt in range(rounds):
+    for attempt in range(rounds + 1):
         drawn = left.withColumn("hexes", _digest(key, F.col("kind"), F.col("canon"), F.lit(attempt)))
-        drawn = drawn.withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.col("hexes"))).drop("hexes")
-        drawn = cut(drawn.withColumn("taken", canonical(F.col("kind"), F.col("replacement"))))
+        drawn = drawn.withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.col("hexes")))
+        if attempt == rounds:
+            longer = drawn.select("kind", "value", F.concat("replacement", F.lit("~"), F.substring("hexes", 100, 12)).alias("replacement"))
+            return longer if done is None else done.select("kind", "value", "replacement").unionByName(longer)
+        drawn = cut(drawn.drop("hexes").withColumn("taken", canonical(F.col("kind"), F.col("replacement"))))
         first = Window.partitionBy("kind", "taken").orderBy("canon")
         # A replacement is asked for by a few values at most, so these windows stay small.
         claims = drawn.select("kind", "canon", "taken").distinct()
@@ -221,9 +225,9 @@ def surrogates(values: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
         left = cut(drawn.join(won, ["kind", "canon"], "left_anti").select("kind", "value", "canon"))
         done = good if done is None else done.unionByName(good)
         if left.isEmpty():
-            return done.select("kind", "value", "replacement")
+            break
         done = cut(done)
-    raise RuntimeError(f"replacements still clash after {rounds} rounds")
+    return done.select("kind", "value", "replacement")
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
@@ -240,6 +244,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     units = marked.filter("_units IS NOT NULL").select("_mark", F.posexplode("_units").alias("at", "unit"))
     units = cut(units.select("_mark", "at", "unit.kind", "unit.value").distinct())
     lists = units.join(surrogates(units, key), ["kind", "value"]).groupBy("_mark").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_new"))
+    lists = cut(lists)  # so that the join deals out both sides anew, and the texts of a mark that many rows have can be split
     joined = marked.join(lists, "_mark", "left")
     text = F.concat(F.array_join(F.zip_with("_units", "_new", lambda u, n: F.concat(u["before"], n["replacement"])), ""), F.col("_tail"))
     out = joined.select("_row.*", F.coalesce(text, F.col("_text")).alias("text"), F.coalesce(F.size("_units"), F.lit(0)).cast("int").alias("pii_units"))

@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> Data
     linked = first.join(roots.withColumnRenamed("node", "print"), "print")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("print", "least")
-    ids = first.join(named, "print", "left").select("print", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join deals out both sides anew and a print of very many rows can be split.
+    ids = cut(first.join(named, "print", "left").select("print", F.coalesce("least", "first").alias("component_id")))
     return signed.join(ids, "print").select("doc_id", "print", "component_id")
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 WORDS = re.compile(r"[^\W_]+")
 #: Words of a window, and words from a window's start to the next one's.
 WINDOW, STEP = 32, 24
+#: Windows of a text that are scored at once.
+SEGMENT = 2048
 HIDDEN, OWN, CHARS, BUCKETS = 8, 8, 8, 1 << 12
 #: Labelled texts of each class that the sample holds at most, and words with a vector of their own.
 SAMPLE, VOCABULARY = 2000, 20_000
@@ -149,10 +151,33 @@ def layout(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(number), np.where(inside, flat[np.minimum(grid + begins[text], len(flat) - 1)], -1), text
 
 
+def segments(words: list[str], windows_each: int = SEGMENT) -> list[list[str]]:
+    """Parts of a text whose windows together are the text's."""
+    size = windows_each * STEP
+    last = max(len(words) - (WINDOW - STEP), 1)
+    return [words[i : i + size + WINDOW - STEP] for i in range(0, last, size)]
+
+
 def highest(model: Model, texts: list[list[str]]) -> np.ndarray:
-    """The logit of each text's most toxic window."""
-    words, grid, text = layout(texts)
-    return np.maximum.reduceat(logits(model, inputs(model, words)[0], grid), np.flatnonzero(np.diff(text, prepend=-1)))
+    """The logit of each text's most toxic window. Long texts are taken in parts, so that memory is bounded."""
+    out, held, owner, size = np.full(len(texts), -np.inf), [], [], 0
+
+    def settle() -> None:
+        words, grid, part = layout(held)
+        found = np.maximum.reduceat(logits(model, inputs(model, words)[0], grid), np.flatnonzero(np.diff(part, prepend=-1)))
+        np.maximum.at(out, owner, found)
+
+    for i, text in enumerate(texts):
+        for segment in segments(text):
+            held.append(segment)
+            owner.append(i)
+            size += len(segment)
+            if size > 4 * SEGMENT * STEP:
+                settle()
+                held, owner, size = [], [], 0
+    if held:
+        settle()
+    return out
 
 
 def gradients(model: Model, words: list[str], grid: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

@@ -48,6 +48,14 @@ def test_media_round_trip(docs, none):
     assert (pixels.width, pixels.height, pixels.pixels[0]) == (16, 1, int.from_bytes(b"one\0", "little"))
 
 
+def test_media_parts(monkeypatch):
+    monkeypatch.setattr(media, "PART", 128)
+    for n in (1, 128, 129, 1000):
+        data = media.pad(bytes(i % 251 for i in range(n)))
+        stored = media.store(data)
+        assert media.load(stored, len(data))[0] == data and stored.count(b"WEBPVP8L") == -(-len(data) // 128)
+
+
 def test_webp_features():
     rng = np.random.default_rng(0)
     for trial in range(40):
@@ -223,6 +231,8 @@ def test_pii(spark, docs, none):
     many = spark.range(4000).select(F.lit("card").alias("kind"), F.format_string("%012d", "id").alias("value"))
     new = pii.surrogates(many, "key").collect()
     assert len({r.replacement for r in new}) == 4000 and not {r.replacement for r in new} & {r.value for r in new}
+    full = spark.range(10).select(F.lit("secret").alias("kind"), F.col("id").cast("string").alias("value"))
+    assert pii.surrogates(full, "key", rounds=2).select("replacement").distinct().count() == 10
     tight = spark.range(60).select(F.lit("ip").alias("kind"), F.concat(F.lit("1.1.1."), F.col("id")).alias("value"))
     assert pii.surrogates(tight, "key").select("replacement").distinct().count() == 60
 
@@ -258,6 +268,17 @@ def test_toxicity_windows_cover():
         assert covered == set(range(n)) and (len(starts) == 1) == (n <= 32)
 
 
+def test_toxicity_segments():
+    model = toxicity.fresh({"w3": 1}, np.array([0, 2.0]), 1)
+    for n in (1, 8, 9, 32, 33, 80, 104, 105, 113, 500):
+        words = [f"w{i % 37}" for i in range(n)]
+        starts = [k * 4 * toxicity.STEP + s for k, part in enumerate(toxicity.segments(words, 4)) for s in toxicity.windows(len(part))]
+        assert starts == toxicity.windows(n).tolist()
+    texts = [[f"w{i % 37}" for i in range(n)] for n in (3, 400, 90)]
+    whole = [toxicity.highest(model, [t])[0] for t in texts]
+    assert np.allclose(toxicity.highest(model, texts), whole, atol=1e-5)
+
+
 def test_toxicity_held_out(spark, none):
     found = toxicity.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).toPandas().set_index("doc_id")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["toxic"]
