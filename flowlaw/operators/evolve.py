@@ -7,7 +7,7 @@ but trajectories are independent: they are dealt to tasks as rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -57,25 +57,27 @@ def integrate(fields: np.ndarray, law: Law, times: np.ndarray, steps: int) -> np
     return np.stack(out)
 
 
-def trajectories(snapshots: DataFrame, law: Law, end: float, times: int, steps: int = 10, keys: tuple[str, ...] = ("series", "j"), u: str = "u") -> DataFrame:
+def trajectories(snapshots: DataFrame, law: Law | Mapping[str, Law], end: float | Mapping[str, float], times: int, steps: int = 10, keys: tuple[str, ...] = ("series", "j"), u: str = "u") -> DataFrame:
     """keys, m (time's number), t, u, u_t: every snapshot's field at even times from 0 to end, and its exact rate there.
 
+    With laws and ends by name, each row's column law says which one it follows; it is a key then, too.
     Fields must be of one length. A field that leaves the range of numbers raises an error.
     """
-    moments = np.linspace(0, end, times)
+    by_name = isinstance(end, Mapping)
+    keys = ("law", *keys) if by_name else keys
     kinds = ", ".join(f"`{k}` {snapshots.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) // 64)):
-                own = pdf.iloc[part]
-                if not len(own):
-                    continue
-                found = integrate(np.stack(own[u].to_numpy()).astype(float), law, moments, steps)
-                if not np.isfinite(found).all():
-                    raise ValueError("a field leaves the range of numbers")
-                for m, (t, fields) in enumerate(zip(moments, found)):
-                    yield own[list(keys)].assign(m=m, t=t, u=list(fields), u_t=list(rate(fields, law)))
+            for name, alike in pdf.groupby("law") if by_name else [(None, pdf)]:
+                own_law, moments = (law[name], np.linspace(0, end[name], times)) if by_name else (law, np.linspace(0, end, times))
+                for i in range(0, len(alike), 64):
+                    own = alike.iloc[i : i + 64]
+                    found = integrate(np.stack(own[u].to_numpy()).astype(float), own_law, moments, steps)
+                    if not np.isfinite(found).all():
+                        raise ValueError("a field leaves the range of numbers")
+                    for m, (t, fields) in enumerate(zip(moments, found)):
+                        yield own[list(keys)].assign(m=m, t=t, u=list(fields), u_t=list(rate(fields, own_law)))
 
     return snapshots.select(*keys, u).mapInPandas(run, f"{kinds}, m int, t double, u array<double>, u_t array<double>")
 

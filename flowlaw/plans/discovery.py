@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
@@ -54,18 +54,25 @@ def field_summary(spark: SparkSession, sf_dir: str, terms: Sequence[Term], law:
     return summarize(field_rows(event_snapshots(spark, sf_dir), terms, law, orders), [t.name for t in terms])
 
 
-def smooth_starts(spark: SparkSession, sf_dir: str, modes: int = 4, unit_range: bool = False) -> DataFrame:
-    """series, j, u: the first waves of the event fields, of unit spread or in the range from 0 to 1."""
+def smooth_starts(spark: SparkSession, sf_dir: str, modes: int = 4) -> DataFrame:
+    """series, j, u, unit: the first waves of the event fields, of unit spread and in the range from 0 to 1."""
     grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
     low = spectral.synthesis(spectral.fourier(grid, ["series", "j"], 64, modes), ["series", "j"], 64)
-    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("u"))  # 64 values
-    return rows.withColumn("u", evolve.rescaled(F.col("u")) if unit_range else evolve.standardised(F.col("u")))
+    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("v"))  # 64 values
+    return rows.select("series", "j", evolve.standardised(F.col("v")).alias("u"), evolve.rescaled(F.col("v")).alias("unit"))
 
 
-def law_rows(starts: DataFrame, law: Law, end: float, times: int, terms: Sequence[Term], orders: Sequence[int]) -> DataFrame:
+def with_laws(starts: DataFrame, laws: Mapping[str, Law], unit: Sequence[str] = ()) -> DataFrame:
+    """law, series, j, u: every start under every law; those named in unit start in the range from 0 to 1."""
+    rows = starts.withColumn("law", F.explode(F.array(*map(F.lit, laws))))
+    return rows.select("law", "series", "j", F.when(F.col("law").isin(*unit), F.col("unit")).otherwise(F.col("u")).alias("u"))
+
+
+def law_rows(starts: DataFrame, law: Law | Mapping[str, Law], end: float | Mapping[str, float], times: int, terms: Sequence[Term], orders: Sequence[int]) -> DataFrame:
     """theta and y (the exact rate) at all points of the trajectories that start there."""
     moved = spectral.with_derivatives(evolve.trajectories(starts, law, end, times), orders)
-    grid = spectral.points(moved, ["u", "u_t", *[f"d{r}" for r in orders]], ["series", "j", "m"])
+    keys = [k for k in ("law", "series", "j", "m") if k in moved.columns]
+    grid = spectral.points(moved, ["u", "u_t", *[f"d{r}" for r in orders]], keys)
     return theta(grid, terms, "u", [f"d{r}" for r in orders]).withColumnRenamed("u_t", "y")
 
 

@@ -411,18 +411,21 @@ def q_trajectories(spark, sf_dir):
     return moved.select("series", "j", "m", _r(F.col("t"), 6).alias("t"), _r(size("u"), 6).alias("length"), _r(size("u_t"), 6).alias("rate"))
 
 
+def law_recovery(spark, sf_dir, terms, method: str = "ccp", **how):
+    """law, series, names, score: each law watched from every field of the events, and found again for each kind of event."""
+    known = {name: laws()[name] for name in WATCHED}
+    starts = discovery.with_laws(discovery.smooth_starts(spark, sf_dir), known, unit=("fisher_kpp",))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = discovery.law_rows(starts.repartition(tasks), known, WATCHED, 20, terms, (1, 2, 3, 4))
+    found = sweeps.identify_groups(rows, ["law", "series"], [t.name for t in terms], method, **how)
+    true = F.create_map(*[F.lit(name) if i == 0 else F.array(*[F.lit(t.name) for t in law]) for name, law in known.items() for i in (0, 1)])
+    return found.withColumn("score", metrics.jaccard(F.col("names"), true[F.col("law")]))
+
+
 def q_law_recovery(spark, sf_dir):
-    """Each law watched from every field of the events, and the terms found again for each kind of event; score 1: exactly those."""
-    terms, out = dictionary(2, 4, True, 3), None
-    wide = dictionary(3, 4, True, 3)
-    for name, end in WATCHED.items():
-        law = laws()[name]
-        own = wide if any(t.p > 2 for t in law) else terms
-        rows = discovery.law_rows(discovery.smooth_starts(spark, sf_dir, unit_range=name == "fisher_kpp"), law, end, 20, own, (1, 2, 3, 4))
-        found = sweeps.scored(sweeps.identify_groups(rows, ["series"], [t.name for t in own], "ccp"), [t.name for t in law])
-        found = found.select(F.lit(name).alias("law"), "series", F.array_join("names", ", ").alias("terms"), _r(F.col("score"), 4).alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """score 1: exactly the law's terms, out of 34."""
+    found = law_recovery(spark, sf_dir, dictionary(3, 4, True, 3))
+    return found.select("law", "series", F.array_join("names", ", ").alias("terms"), _r(F.col("score"), 4).alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

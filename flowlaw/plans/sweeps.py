@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +32,24 @@ def group_factors(rows: DataFrame, keys: Sequence[str], names: Sequence[str], sa
         r = np.linalg.qr(block, mode="r")
         return np.vstack([r, np.zeros((width - len(r), width))]).ravel()
 
-    def partial(frames):
-        """The rows of a batch by group; a task sends one triangle for each group and batch."""
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One triangle for each group that a task meets, or a few where it meets very many groups."""
+        part, held = TaskContext.get().partitionId() % salt, {}
+
+        def out() -> pd.DataFrame:
+            rows = [(*key, part, n, block.ravel()) for key, (n, block) in held.items()]
+            return pd.DataFrame(rows, columns=[*keys, "_salt", "n", "factor"])
+
         for pdf in frames:
-            for key, part in pdf.groupby(list(keys), dropna=False):
-                block = np.column_stack([np.stack(part["theta"].to_numpy()), part["y"]])
-                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "_salt": [int(len(part)) % salt], "n": [len(part)], "factor": [triangle(block)]})
+            for key, own in pdf.groupby(list(keys), dropna=False):
+                block = np.column_stack([np.stack(own["theta"].to_numpy()), own["y"]])
+                n, before = held.get(key, (0, np.zeros((0, width))))
+                held[key] = n + len(own), triangle(np.vstack([before, block])).reshape(width, width)
+            if len(held) > 500:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = np.vstack([np.asarray(f).reshape(width, width) for f in pdf["factor"]])
