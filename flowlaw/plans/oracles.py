@@ -154,5 +154,6 @@ def oracle_sql() -> dict[str, str]:
         "q_field_law": "SELECT term, coefficient FROM (VALUES ('u_xx', 0.05::DOUBLE), ('u u_x', -1.0::DOUBLE)) v(term, coefficient)",
         "q_best_subset": CHARGE,
         "q_law_recovery": _planted_laws(),
+        "q_step_error": f"WITH {GRID} SELECT DISTINCT series, j, true AS settled FROM grid",
         "q_group_laws": "SELECT DISTINCT l_returnflag, 'p,p d' AS terms, 1.0::DOUBLE AS score FROM lineitem",
     }

@@ -411,6 +411,12 @@ def q_trajectories(spark, sf_dir):
     return moved.select("series", "j", "m", _r(F.col("t"), 6).alias("t"), _r(size("u"), 6).alias("length"), _r(size("u_t"), 6).alias("rate"))
 
 
+def q_step_error(spark, sf_dir):
+    """Whether halved steps leave the fields under the stiffest law where they are."""
+    found = evolve.step_errors(discovery.smooth_starts(spark, sf_dir), laws()["ks"], 0.08, 20)
+    return found.select("series", "j", (F.col("error") < 1e-6).alias("settled"))
+
+
 def law_recovery(spark, sf_dir, terms, method: str = "ccp", **how):
     """law, series, names, score: each law watched from every field of the events, and found again for each kind of event."""
     known = {name: laws()[name] for name in WATCHED}
