@@ -245,7 +245,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     units = cut(units.select("_mark", "at", "unit.kind", "unit.value").distinct())
     lists = units.join(surrogates(units, key), ["kind", "value"]).groupBy("_mark").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_new"))
     lists = cut(lists)  # so that the join deals out both sides anew, and the texts of a mark that many rows have can be split
-    joined = marked.join(lists, "_mark", "left")
+    joined = marked.join(lists.hint("merge"), "_mark", "left")  # the same way at every size
     text = F.concat(F.array_join(F.zip_with("_units", "_new", lambda u, n: F.concat(u["before"], n["replacement"])), ""), F.col("_tail"))
     out = joined.select("_row.*", F.coalesce(text, F.col("_text")).alias("text"), F.coalesce(F.size("_units"), F.lit(0)).cast("int").alias("pii_units"))
     return out.select(*[c for c in docs.columns if c != "pii_units"], "pii_units")
