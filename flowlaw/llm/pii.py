@@ -34,22 +34,24 @@ SYLLABLES = {
     "cyrillic": ("ба", "вер", "го", "дан", "жел", "зар", "ка", "лан", "мар", "ни", "пет", "рос", "сам", "тар", "фед", "чер"),
 }
 TITLE = "|".join(x.replace(".", r"\.") for x in (*FEMALE, *MALE))
+#: The letters that titles begin with.
+INITIALS = "".join(sorted({x[0] for x in (*FEMALE, *MALE)}))
 #: Names of secrets, with their value behind "=" or ":".
 SECRETS = ("password", "passwd", "api_key", "secret", "token")
 #: Alternatives in order; at one place the first that fits counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<=(?:{'|'.join(SECRETS)})[=:])[A-Za-z0-9]{{6,64}}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
-    "hexadecimal": r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])",
+    "secret": rf"(?<=(?:{'|'.join(SECRETS)})[=:])[A-Za-z0-9]{{6,}}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
+    "hexadecimal": r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .()-]?[ .()-]?\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "name": rf"(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
-PATTERN = rf"(?=[A-Za-z0-9(+гГ])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+PATTERN = rf"(?=[A-Za-z0-9(+{INITIALS}])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
 #: Entities that numbers make hold one of these, which are found much faster.
 HINT = r"[0-9][0-9. ()-]{5}|[0-9a-f]{32}"
-NAME_HINT = rf"(?=[MFSDгГ])(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}"
+NAME_HINT = rf"(?=[{INITIALS}])(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}"
 ROUNDS = 8
 
 
@@ -163,9 +165,13 @@ def _email(value: Column, hexes: Column) -> Column:
 
 
 def _secret(value: Column, hexes: Column) -> Column:
-    """Hexadecimal digits for such, a known prefix before the rest of its shape, or the shape alone."""
+    """Hexadecimal digits for such, a known prefix before the rest of its shape, or the shape alone.
+
+    Where a value is longer than the keyed digits are, they begin again.
+    """
+    enough = F.repeat(hexes, F.ceil(F.char_length(value) / F.char_length(hexes)).cast("int"))
     key = F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), hexes))
-    return F.when(value.rlike(r"\A[0-9a-f]+\z"), F.substr(hexes, F.lit(1), F.char_length(value))).when(value.startswith("AKIA"), key).otherwise(_shaped(value, hexes))
+    return F.when(value.rlike(r"\A[0-9a-f]+\z"), F.substr(enough, F.lit(1), F.char_length(value))).when(value.startswith("AKIA"), key).otherwise(_shaped(value, hexes))
 
 
 def _ip(hexes: Column) -> Column:
