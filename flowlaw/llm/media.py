@@ -48,9 +48,9 @@ def store(payload: bytes) -> bytes:
 
 
 def pictures(media: bytes) -> Iterator[np.ndarray]:
-    """The pictures of WebP files that follow each other."""
+    """The pictures of WebP files that follow each other; other bytes behind them are none."""
     at = 0
-    while at < len(media):
+    while at == 0 or media[at : at + 4] == b"RIFF":
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
         if end <= at + 8:
             raise ValueError("a file has no length")
@@ -59,23 +59,38 @@ def pictures(media: bytes) -> Iterator[np.ndarray]:
 
 
 def load(media: bytes, n: int) -> tuple[bytes, str]:
-    """The payload of n bytes, and the feature of its first picture."""
-    parts, text = [], ""
+    """The payload of n bytes, and the feature of all its pictures."""
+    parts, seen, left = [], [], n
     for picture in pictures(media):
-        text = text or feature(picture)
-        parts.append(from_picture(picture, min(PART, n - sum(map(len, parts)))))
-    return b"".join(parts), text
+        seen.append(sketch(picture))
+        parts.append(from_picture(picture, min(PART, left)))
+        left -= len(parts[-1])
+    if left:
+        raise ValueError(f"{left} bytes of a payload are missing")
+    return b"".join(parts), joined(seen)
 
 
-def feature(picture: np.ndarray) -> str:
-    """Size, mean of each channel, and a mean hash: which of 64 parts of the luma are over its mean."""
+def sketch(picture: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Size, sum of each channel, and the luma (of 0 to 255) of each pixel."""
     samples = webp.channels(picture.ravel())
     luma = samples[:, :3] @ np.array([29, 150, 77], np.int64) >> 8
-    parts = np.add.reduceat(luma, np.arange(64) * len(luma) // 64) if len(luma) >= 64 else np.resize(luma, 64)
-    sizes = np.diff(np.append(np.arange(64) * len(luma) // 64, len(luma))) if len(luma) >= 64 else np.ones(64, np.int64)
-    over = parts * len(luma) > luma.sum() * sizes
-    mean = samples.sum(0, dtype=np.int64) // len(samples)
-    return f"{picture.shape[1]}x{picture.shape[0]} {'.'.join(map(str, mean.tolist()))} {np.packbits(over).tobytes().hex()}"
+    return f"{picture.shape[1]}x{picture.shape[0]}", samples.sum(0, dtype=np.int64), luma.astype(np.uint8)
+
+
+def joined(seen: list[tuple[str, np.ndarray, np.ndarray]]) -> str:
+    """Sizes, mean of each channel, and a mean hash: which of 64 parts of the luma are over its mean, over all pixels of the pictures."""
+    luma = np.concatenate([x[2] for x in seen])
+    starts = np.arange(64) * len(luma) // 64
+    parts = np.add.reduceat(luma, starts, dtype=np.int64) if len(luma) >= 64 else np.resize(luma, 64).astype(np.int64)
+    sizes = np.diff(np.append(starts, len(luma))) if len(luma) >= 64 else np.ones(64, np.int64)
+    over = parts * len(luma) > luma.sum(dtype=np.int64) * sizes
+    mean = sum(x[1] for x in seen) // len(luma)
+    return f"{'+'.join(x[0] for x in seen)} {'.'.join(map(str, mean.tolist()))} {np.packbits(over).tobytes().hex()}"
+
+
+def feature(picture: np.ndarray) -> str:
+    """The feature of one picture."""
+    return joined([sketch(picture)])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +133,34 @@ def inspect(media: DataFrame) -> DataFrame:
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int64())
     for batch in batches:
-        pictures = [webp.decode(m) if m is not None else None for m in batch.column(1).to_pylist()]
-        side = lambda k: pa.array([None if p is None else p.shape[k] for p in pictures], pa.int32())
-        values = pa.array([None if p is None else p.ravel().astype(np.int64) for p in pictures], kind)
-        yield pa.RecordBatch.from_arrays([batch.column(0), side(1), side(0), values], ["doc_id", "width", "height", "pixels"])
+        ids = batch.column(0)
+
+        def rows(held: list[tuple[int, int, np.ndarray | None]], ids: pa.Array = ids) -> pa.RecordBatch:
+            side = lambda k: pa.array([None if p is None else p.shape[k] for _, _, p in held], pa.int32())
+            values = pa.array([None if p is None else p.ravel().astype(np.int64) for _, _, p in held], kind)
+            whose = ids.take(pa.array([i for i, _, _ in held], pa.int64()))
+            return pa.RecordBatch.from_arrays([whose, side(1), side(0), values, pa.array([k for _, k, _ in held], pa.int32())], ["doc_id", "width", "height", "pixels", "part"])
+
+        held, n = [], 0
+        for i, media in enumerate(batch.column(1)):
+            media = media.as_py()
+            for k, picture in enumerate([None] if media is None else pictures(media)):
+                held.append((i, k, picture))
+                n += 0 if picture is None else picture.size
+                if n >= PART // 4:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """doc_id, width, height and pixels (row by row, as unsigned ARGB) of any lossless WebP files; null media: nulls."""
+    """doc_id, width, height, pixels (row by row, as unsigned ARGB) and part of any lossless WebP files; null media: nulls.
+
+    Files that follow each other, as those of payloads over 16 MB, have a row each; part counts them from 0.
+    """
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInArrow(_pixels, f"doc_id {kind}, width int, height int, pixels array<long>")
+    return media.select("doc_id", "media").mapInArrow(_pixels, f"doc_id {kind}, width int, height int, pixels array<long>, part int")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

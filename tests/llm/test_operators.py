@@ -56,6 +56,23 @@ def test_media_parts(monkeypatch):
         assert media.load(stored, len(data))[0] == data and stored.count(b"WEBPVP8L") == -(-len(data) // 128)
 
 
+def test_media_whole(spark, monkeypatch):
+    monkeypatch.setattr(media, "PART", 1024)
+    data = bytes(i * 7 % 251 for i in range(3000))
+    first, last = media.pad(data + b"a" * 2000), media.pad(data + b"z" * 2000)
+    features = [media.load(media.store(x), len(x))[1] for x in (first, last)]
+    assert features[0] != features[1]  # alike but for their last pictures
+    pixels = np.concatenate([p.ravel() for p in media.pictures(media.store(first))])
+    bgra = webp.channels(pixels)
+    assert features[0].split()[1] == ".".join(map(str, (bgra.sum(0, dtype=np.int64) // len(pixels)).tolist()))
+    rows_ = spark.createDataFrame([(1, bytearray(media.store(first))), (2, None), (3, bytearray(media.store(b"q" * 64)))], "doc_id long, media binary")
+    found = media.decode(rows_).orderBy("doc_id", "part").collect()
+    assert [(r.doc_id, r.part) for r in found] == [*((1, k) for k in range(5)), (2, 0), (3, 0)] and found[5].pixels is None
+    assert np.concatenate([r.pixels for r in found[:5]]).astype("<u4").tobytes()[: len(first)] == first
+    with pytest.raises(ValueError):
+        media.load(media.store(first[:1024]), len(first))
+
+
 def test_webp_features():
     rng = np.random.default_rng(0)
     for trial in range(40):
