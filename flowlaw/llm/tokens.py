@@ -26,23 +26,25 @@ def encoding(path: str) -> tiktoken.Encoding:
     if path.endswith(".json"):
         names = _byte_names()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        special = {"<|endoftext|>"}
+            whole = json.load(f)
+        vocabulary = whole["model"]["vocab"]
+        special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         ranks = {bytes(names[c] for c in token): i for token, i in vocabulary.items() if token not in special}
     else:
+        special = {}
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class Tokens:
-    """Encodes whole texts; strings that name special tokens are ordinary text."""
+    """Encodes whole texts; strings that name special tokens of the file become these, as in the tokenizers library."""
 
     def __init__(self, path: str):
         self.encoding = encoding(path)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def byte_bpe_50k() -> str:

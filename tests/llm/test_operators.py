@@ -193,6 +193,14 @@ def test_tokens_match(docs):
         assert ours.encode(r[1] or "").tolist() == plain.encode(r[1] or "", add_special_tokens=False).ids
 
 
+def test_special_tokens_match():
+    plain, ours = Tokenizer.from_file(tokens.byte_bpe_50k()), tokens.Tokens(tokens.byte_bpe_50k())
+    for text in ("<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b\n<|endoftext|><|endoftext|>", "<|endoftext", "x " * 50 + "<|endoftext|> 漢字"):
+        assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert ours.encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    assert len(scoring.shapes(tokens.byte_bpe_50k())) == 50257
+
+
 def test_scoring(docs, none):
     path = tokens.byte_bpe_50k()
     found = scoring.score(docs, path).collect()
