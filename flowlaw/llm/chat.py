@@ -23,6 +23,8 @@ START, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
 ASSISTANT = "assistant"
 TURNS = "array<struct<role: string, text: string>>"
+#: A variant holds 128 MiB and its parser strings of 20,000,000 characters; records up to this many characters are far from both.
+LONG = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -82,16 +84,24 @@ def canonical(records: DataFrame, column: str = "record", layouts: tuple[Layout,
 
     column holds JSON texts; what is null or no JSON has no layout. An empty list of messages tells
     nothing of its fields and fits none, either. Null texts are empty, null roles are "". Columns named layout or turns are replaced.
+    Records of more than LONG characters may be too much for a variant: where they come with a column given (layout
+    and turns, as gather() makes it), that is taken, and where they don't and can't be parsed, an error is raised.
     """
+    if "given" not in records.columns:
+        records = records.withColumn("given", F.lit(None).cast(f"struct<layout: string, turns: {TURNS}>"))
     marks = _mappings(records.sparkSession, layouts)
-    rest = [c for c in records.columns if c not in ("layout", "turns")]
-    parsed = records.select(*rest, F.try_parse_json(column).alias("_record")).withColumn("_mark", fingerprint(F.col("_record")))
+    rest = [c for c in records.columns if c not in ("layout", "turns", "given")]
+    lost = F.raise_error(F.lit(f"a record of more than {LONG} characters cannot be parsed")).cast("variant")
+    tried = F.try_parse_json(column)
+    read = F.when(F.char_length(column) <= LONG, tried).when(F.col("given").isNull() & F.col(column).isNotNull(), F.coalesce(tried, lost))
+    parsed = records.select(*rest, "given", read.alias("_record")).withColumn("_mark", fingerprint(F.col("_record")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in reversed(layouts):
         here = F.col("_mark") == F.lit(marks[layout.name])
         name = F.when(here, F.lit(layout.name)).otherwise(name)
         turns = F.when(here, _turns(F.col("_record"), layout)).otherwise(turns)
-    return parsed.select(*rest, name.alias("layout"), turns.alias("turns"))
+    own = F.col("given").isNotNull()
+    return parsed.select(*rest, F.when(own, F.col("given.layout")).otherwise(name).alias("layout"), F.when(own, F.col("given.turns")).otherwise(turns).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -135,11 +145,12 @@ def format_records(records: DataFrame, column: str = "record", layouts: tuple[La
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """conv_id and record, a JSON text, of conversations given as rows conv_id, turn, role, text.
+    """conv_id, record, a JSON text, and given of conversations given as rows conv_id, turn, role, text.
 
     A user and an assistant turn make a prompt record, with a system turn before them an instruction
     record, anything else a list of messages. Rows of a conversation are put in order by turn, then
     role and text; null roles and texts count as empty; rows without conv_id make one conversation.
+    given is the layout and turns of those whose record is longer than LONG, null for others.
     """
     value = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(value)).alias("t"))
@@ -148,7 +159,11 @@ def gather(rows: DataFrame) -> DataFrame:
     pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
     three = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
     listed = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    return turns.select("conv_id", F.when(roles == "user,assistant", pair).when(roles == "system,user,assistant", three).otherwise(listed).alias("record"))
+    record = F.when(roles == "user,assistant", pair).when(roles == "system,user,assistant", three).otherwise(listed)
+    layout = F.when(roles == "user,assistant", "prompt").when(roles == "system,user,assistant", "system instruction").otherwise("messages")
+    same = F.transform("t", lambda x: F.struct(_canonical(x["role"]).alias("role"), x["content"].alias("text")))
+    made = turns.select("conv_id", "t", record.alias("record"), layout.alias("_layout"))
+    return made.select("conv_id", "record", F.when(F.char_length("record") > LONG, F.struct(F.col("_layout").alias("layout"), same.alias("turns"))).alias("given"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -418,6 +418,24 @@ def test_chat_layouts(spark):
     assert len(back[1].loss_spans) == len(odd) and back[2].loss_spans == []
 
 
+def test_chat_long(spark):
+    """A turn of more characters than the variant's parser takes, alone in a prompt record and in a list."""
+    n = 20_000_100
+    big = F.concat(F.expr(f"repeat('x', {n - 7})"), F.lit("</s>[i]"))
+    text = F.when(F.col("id") == 1, big).when(F.col("id") == 4, big).otherwise(F.lit("hi"))
+    role = F.element_at(F.array(*map(F.lit, ("user", "assistant", "user", "gpt", "bot"))), (F.col("id") + 1).cast("int"))
+    rows_ = spark.range(5).select(F.when(F.col("id") < 2, 1).when(F.col("id") < 5, 2).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    found = {r.conv_id: r for r in chat.digests(chat.format_records(chat.gather(rows_))).collect()}
+    long = "x" * (n - 7) + "</s>[i]"
+    for conv, turns in ((1, [("user", "hi"), ("assistant", long)]), (2, [("user", "hi"), ("assistant", "hi"), ("assistant", long)])):
+        said = "".join(f"{r}\n{t}\n" for r, t in turns)
+        assert (found[conv].n_turns, found[conv].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert found[conv].loss_chars == sum(len(t) for r, t in turns if r == "assistant")
+    alone = spark.range(1).select(F.concat(F.lit('{"prompt": "", "completion": "'), big, F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="cannot be parsed"):
+        chat.format_records(alone).select("layout").collect()
+
+
 def test_sharding(spark, docs, none):
     for frame_ in (docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
         found = sharding.shard_documents(frame_).toPandas()
