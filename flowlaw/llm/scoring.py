@@ -1,19 +1,22 @@
 """Operator 4, language-model scores by masked pseudo-likelihood.
 
-Tokens of a byte-level vocabulary fall into sixteen classes by their shape. A token's probability
-given both sides is that of its class given the classes of two tokens on either side, by a window
-network, times the token's share of its class in the corpus. A document's score is the sum of the
-logarithms over all its tokens.
-
-One pass over all texts counts every token and every window of classes; the windows, at most 16^5
-different ones with their counts, are what the network is trained on in numpy, so that it sees the
-whole corpus at a bounded cost. Every class window has one answer of the network, so the answers
-to all of them are tabled before the second pass, which scores the texts.
+A network predicts every token from the one before and the one behind it: both have vectors of
+their own for either side, a hidden layer joins them, and a softmax in two steps (a class of
+tokens, then the token in it) gives the probability of each token of the vocabulary. A document's
+score is the sum of the logarithms over all its tokens.
+
+Texts are encoded once. What the network learns from is the table of all windows of three tokens
+with their counts over the whole corpus; that table grows with the corpus, is made by a shuffle and stays on the executors.
+Training runs in numpy where the windows are: in each round every task takes its share of a slice of the table, starting
+from the same network, and sends back how the vectors moved; these moves are averaged by
+the number of tokens behind them. The slices of all rounds make up the table. Classes and the
+network before the first round come from the tokens' counts, so it starts as a model of frequencies alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,175 +27,333 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 from .tokens import Tokens, encoding
 
-CLASSES = 16
-#: Tokens on either side; beyond a text's ends stands the class of white space.
-SIDE = 2
-EDGE = 7
-HIDDEN = 32
-WINDOWS = CLASSES ** (2 * SIDE + 1)
-#: Counts of this many windows and tokens are held in a task before they are sent on.
+HIDDEN = 24
+#: A class is closed when it holds this share of all tokens, or so many different ones.
+SHARE, MEMBERS = 1 / 128, 512
+#: Windows of a training step, and the least that a network is trained on: smaller tables are taken several times, but PASSES at most.
+STEP, LEAST, PASSES = 8192, 4_000_000, 20
+ROUNDS = 4
+RATE = 0.15
+#: Tokens whose windows are counted or scored at once.
 FLUSH = 1 << 21
 
 
-def shape(token: bytes) -> int:
-    """The class of a token: its kind, and whether a space is before it."""
-    space = token.startswith(b" ") and len(token) > 1
-    body = token[1:] if space else token
-    text = body.decode("utf-8", "replace")
-    if text.isspace():
-        kind = 7
-    elif any(b > 127 for b in body):
-        kind = 2
-    elif text.isdigit():
-        kind = 5
-    elif not any(map(str.isalnum, text)):
-        kind = 6
-    elif text.isupper():
-        kind = 4
-    elif text[0].isupper():
-        kind = 3
-    else:
-        kind = 0 if len(text) <= 2 else 1
-    return kind + 8 * space
-
-
-@lru_cache(maxsize=2)
-def shapes(path: str) -> np.ndarray:
-    """The class of each id."""
-    known = encoding(path)
-    out = np.full(known.max_token_value + 1, EDGE, np.int64)
-    for token in known.token_byte_values():
-        out[known.encode_single_token(token)] = shape(token)
-    return out
+@dataclass(frozen=True)
+class Model:
+    """rank: place of each id by frequency, the edge's last. bounds: first place of each class, and the end.
 
+    net: rows of a vector and a bias for, in order, tokens on the left, tokens on the right (both by place), tokens
+    to predict, classes, and the hidden layer.
+    """
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """The number, in base 16, of the window around each token; the token's own class is its last digit."""
-    wide = np.concatenate([np.full(SIDE, EDGE, np.int64), classes, np.full(SIDE, EDGE, np.int64)])
-    n = len(classes)
-    out = np.zeros(n, np.int64)
-    for at in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1), SIDE):
-        out = out * CLASSES + wide[at : at + n]
-    return out
+    rank: np.ndarray
+    bounds: np.ndarray
+    net: np.ndarray
 
+    @property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        v, k = len(self.rank) - 1, len(self.bounds) - 1
+        return tuple(np.split(self.net, np.cumsum([v + 1, v + 1, v, k])))
 
-def _counts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Token ids as -1 - id and windows as they are, with their counts."""
-    tokens, classes = Tokens(path), shapes(path)
-    held: list[np.ndarray] = []
-    n = 0
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
-    def sums() -> pa.RecordBatch:
-        tokens_n = np.bincount(np.concatenate(held))
-        windows_n = np.bincount(np.concatenate([windows(classes[ids]) for ids in held]), minlength=WINDOWS)
-        t, w = np.flatnonzero(tokens_n), np.flatnonzero(windows_n)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([-1 - t, w])), pa.array(np.concatenate([tokens_n[t], windows_n[w]]))], ["item", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            ids = tokens.encode(text)
-            if len(ids):
-                held.append(ids)
-                n += len(ids)
-            if n >= FLUSH:
-                yield sums()
-                held, n = [], 0
-    if held:
-        yield sums()
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> int:
+    return encoding(path).max_token_value + 1
 
 
-def corpus_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """item and n over all texts: -1 - id for tokens, and the number of each window of classes."""
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(lambda b: _counts(b, tokenizer), "item long, n long")
-    return parts.groupBy("item").agg(F.sum("n").alias("n"))
+def packed(ids: np.ndarray, edge: int) -> np.ndarray:
+    """left << 40 | right << 20 | token of every token; the edge stands beyond a text's ends."""
+    wide = np.concatenate([[edge], ids.astype(np.int64), [edge]])
+    return wide[:-2] << 40 | wide[2:] << 20 | wide[1:-1]
 
 
-def _one_hot(context: np.ndarray) -> np.ndarray:
-    """Columns of the first layer's inputs that are one, for the contexts (windows without their own class)."""
-    digits = [context // CLASSES**k % CLASSES + CLASSES * (2 * SIDE - 1 - k) for k in range(2 * SIDE)]
-    return np.stack(digits[::-1], 1)
+def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    tokens = Tokens(path)
+    for batch in batches:
+        ids = [tokens.encode(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
 
-def _forward(net: dict[str, np.ndarray], inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = np.tanh(net["in"][inputs].sum(1) + net["in_bias"])
-    logits = hidden @ net["out"] + net["out_bias"]
-    logits -= logits.max(1, keepdims=True)
-    return hidden, logits - np.log(np.exp(logits).sum(1, keepdims=True))
+def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and ids, the tokens as little-endian unsigned 32-bit numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: _encode(b, tokenizer), f"doc_id {kind}, ids binary")
 
 
-def train(counts: np.ndarray, rounds: int = 60, seed: int = 4, rate: float = 0.02) -> dict[str, np.ndarray]:
-    """The network from the counts of all windows (WINDOWS of them), by Adam on weighted cross-entropy.
+def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """Windows of the texts of some rows, how many each of these has, and the parts of their first column.
 
-    Every context that occurs takes part in each round with the counts of the classes met in it.
+    A group of rows is closed when it holds FLUSH tokens.
     """
-    rng = np.random.default_rng(seed)
-    net = {"in": rng.normal(0, 0.3, (2 * SIDE * CLASSES, HIDDEN)), "in_bias": np.zeros(HIDDEN), "out": rng.normal(0, 0.3, (HIDDEN, CLASSES)), "out_bias": np.zeros(CLASSES)}
-    table = counts.reshape(-1, CLASSES).astype(np.float64)
-    contexts = np.flatnonzero(table.sum(1))
-    target = table[contexts] / max(table.sum(), 1.0)
-    if not len(contexts):
-        return net
-    inputs, weight = _one_hot(contexts), target.sum(1, keepdims=True)
-    one = np.zeros((len(contexts), 2 * SIDE * CLASSES), np.float32)
-    np.put_along_axis(one, inputs, 1.0, 1)
-    mean, square = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
-    for step in range(1, rounds + 1):
-        hidden, log = _forward(net, inputs)
-        error = np.exp(log) * weight - target
-        back = error @ net["out"].T * (1 - hidden**2)
-        gradient = {"out": hidden.T @ error, "out_bias": error.sum(0), "in": one.T @ back, "in_bias": back.sum(0)}
-        for k, g in gradient.items():
-            mean[k] = 0.9 * mean[k] + 0.1 * g
-            square[k] = 0.99 * square[k] + 0.01 * g * g
-            net[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-9)
-    return net
-
-
-def tabled(net: dict[str, np.ndarray]) -> np.ndarray:
-    """The network's log-probability of every window's own class, by the window's number."""
-    contexts = np.arange(WINDOWS // CLASSES)
-    return np.concatenate([_forward(net, _one_hot(part))[1] for part in np.array_split(contexts, 16)]).ravel()
-
-
-def within_class(ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The logarithm of each id's share of its class, from the ids' counts; one is added to each count."""
-    sums = np.bincount(classes, ids + 1, CLASSES)
-    return np.log(ids + 1) - np.log(np.maximum(sums, 1))[classes]
-
-
-def _scores(batches: Iterator[pa.RecordBatch], path: str, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    tokens, classes = Tokens(path), shapes(path)
-    log_class, log_token = tables
+    windows, sizes, firsts, n = [], [], [], 0
     for batch in batches:
-        sizes, scores = [], []
-        for text in batch.column(1).to_pylist():
-            ids = tokens.encode(text)
+        start = 0
+        for i, data in enumerate(batch.column(column)):
+            ids = np.frombuffer(data.as_buffer(), "<u4")
+            windows.append(packed(ids, edge))
             sizes.append(len(ids))
-            scores.append(float((log_class[windows(classes[ids])] + log_token[ids]).sum()))
-        n, total = np.array(sizes, np.int64), np.array(scores, np.float64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(np.exp(-total / np.maximum(n, 1)))], ["doc_id", "n_tokens", "log_likelihood", "perplexity"])
+            n += len(ids)
+            if n >= FLUSH:
+                yield np.concatenate(windows), np.array(sizes, np.int64), [*firsts, batch.column(0).slice(start, i + 1 - start)]
+                windows, sizes, firsts, n, start = [], [], [], 0, i + 1
+        firsts.append(batch.column(0).slice(start))
+    if sizes:
+        yield np.concatenate(windows), np.array(sizes, np.int64), firsts
+
+
+def _counts(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
+    for windows, _, _ in _held(batches, 1, edge):
+        keys, n = np.unique(windows, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys >> 20), pa.array((keys & 0xFFFFF).astype(np.int32)), pa.array(n)], ["context", "token", "n"])
+
+
+def window_counts(ids: DataFrame, edge: int) -> DataFrame:
+    """context (left << 20 | right), token and n for every window of the corpus. Contexts are dealt by a hash, so all tokens of one are together."""
+    parts = ids.mapInArrow(lambda b: _counts(b, edge), "context long, token int, n long")
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Of a window that any number of documents share, each task sends one row for FLUSH tokens.
+    return parts.repartition(tasks, "context").groupBy("context", "token").agg(F.sum("n").alias("n"))
+
+
+def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rank and bounds from the counts of all ids: frequent tokens are classes of their own, rare ones share one."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    rank = np.empty(len(counts) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(counts)), len(counts)
+    bounds, mass, limit = [0], 0, max(float(counts.sum()) * SHARE, 1.0)
+    for place, n in enumerate(counts[order].tolist()):
+        mass += n
+        if mass >= limit or place + 1 - bounds[-1] >= MEMBERS:
+            bounds.append(place + 1)
+            mass = 0
+    return rank, np.array(bounds if bounds[-1] == len(counts) else [*bounds, len(counts)])
+
+
+def fresh(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 4) -> Model:
+    """A network that knows the tokens' counts (by id; one is added to each) only."""
+    rank, bounds = classes(counts)
+    rng = np.random.default_rng(seed)
+    net = rng.normal(0, 0.1, (3 * len(counts) + 2 + len(bounds), hidden + 1)).astype(np.float32)
+    model = Model(rank, bounds, net)
+    left, right, member, top, layer = model.parts
+    left[:, -1] = right[:, -1] = layer[:] = 0
+    by_place = np.empty(len(counts))
+    by_place[rank[:-1]] = counts + 1.0
+    sums = np.add.reduceat(by_place, bounds[:-1])
+    member[:, -1] = np.log(by_place / sums[model.class_of])
+    top[:, -1] = np.log(sums / sums.sum())
+    return model
+
+
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
+def _hidden(model: Model, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hidden layer for each context (left << 20 | right), and the places of its tokens."""
+    left, right, _, _, layer = model.parts
+    a, b = model.rank[contexts >> 20], model.rank[contexts & 0xFFFFF]
+    return np.tanh(left[a, :-1] + right[b, :-1] + layer[0, :-1]), a, b
+
+
+def _by_class(model: Model, place: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Rows of place that fall into a class of several tokens, and that class's bounds."""
+    kind = model.class_of[place]
+    order = np.argsort(kind, kind="stable")
+    cuts = np.flatnonzero(np.diff(kind[order])) + 1
+    for rows in np.split(order, cuts):
+        if len(rows):
+            lo, hi = model.bounds[kind[rows[0]]], model.bounds[kind[rows[0]] + 1]
+            if hi - lo > 1:
+                yield rows, int(lo), int(hi)
+
+
+def log_probabilities(model: Model, contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The logarithm of each token's probability in its context; contexts must be sorted."""
+    _, _, member, top, _ = model.parts
+    out = np.empty(len(tokens), np.float64)
+    class_of = model.class_of
+    for i in range(0, len(tokens), 1 << 16):
+        own, place = contexts[i : i + (1 << 16)], model.rank[tokens[i : i + (1 << 16)]]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        which = np.cumsum(np.diff(own, prepend=-1) != 0) - 1
+        h = _hidden(model, own[first])[0]
+        found = _log_softmax(h @ top[:, :-1].T + top[:, -1])[which, class_of[place]].astype(np.float64)
+        for rows, lo, hi in _by_class(model, place):
+            inner = _log_softmax(h[which[rows]] @ member[lo:hi, :-1].T + member[lo:hi, -1])
+            found[rows] += inner[np.arange(len(rows)), place[rows] - lo]
+        out[i : i + (1 << 16)] = found
+    return out
+
+
+def gradient(model: Model, contexts: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean loss of windows (sorted by context) with their counts, its gradient by row of the network, and the tokens behind each row."""
+    left, right, member, top, layer = model.parts
+    out, mass = np.zeros_like(model.net), np.zeros(len(model.net))
+    d_left, d_right, d_member, d_top, d_layer = Model(model.rank, model.bounds, out).parts
+    edges = np.cumsum([0, len(left), len(right), len(member), len(top)])
+    total = float(n.sum())
+    weight = (n / total).astype(np.float32)
+    place = model.rank[tokens]
+    kind = model.class_of[place]
+    step = np.diff(contexts, prepend=-1) != 0
+    first, which = np.flatnonzero(step), np.cumsum(step) - 1
+    h, a, b = _hidden(model, contexts[first])
+    log = _log_softmax(h @ top[:, :-1].T + top[:, -1])
+    loss = -float((weight * log[which, kind]).sum())
+    each = np.add.reduceat(weight, first)
+    error = np.exp(log) * each[:, None]
+    np.subtract.at(error, (which, kind), weight)
+    d_top[:, :-1], d_top[:, -1] = error.T @ h, error.sum(0)
+    d_h = error @ top[:, :-1]
+    mass[edges[3] : edges[4]] = total
+    back = np.zeros((len(place), h.shape[1]), np.float32)
+    for rows, lo, hi in _by_class(model, place):
+        own = h[which[rows]]
+        inner = _log_softmax(own @ member[lo:hi, :-1].T + member[lo:hi, -1])
+        at = np.arange(len(rows)), place[rows] - lo
+        loss -= float((weight[rows] * inner[at]).sum())
+        wrong = np.exp(inner) * weight[rows, None]
+        wrong[at] -= weight[rows]
+        d_member[lo:hi, :-1], d_member[lo:hi, -1] = wrong.T @ own, wrong.sum(0)
+        back[rows] = wrong @ member[lo:hi, :-1]
+        mass[edges[2] + lo : edges[2] + hi] = n[rows].sum()
+    d_h += np.add.reduceat(back, first)
+    d_x = d_h * (1 - h * h)
+    d_layer[0, :-1] = d_x.sum(0)
+    mass[edges[4]] = total
+    seen = np.add.reduceat(n, first)
+    for which_side, places, start in ((d_left, a, edges[0]), (d_right, b, edges[1])):
+        order = np.argsort(places, kind="stable")
+        begin = np.flatnonzero(np.diff(places[order], prepend=-1))
+        which_side[places[order][begin], :-1] = np.add.reduceat(d_x[order], begin)
+        mass[start + places[order][begin]] = np.add.reduceat(seen[order], begin)
+    return loss, out, mass
+
+
+class Descent:
+    """Steps downhill, shorter for rows that have moved much already."""
+
+    def __init__(self, model: Model):
+        self.model = Model(model.rank, model.bounds, model.net.copy())
+        self.square, self.mass = np.zeros_like(model.net), np.zeros(len(model.net))
+
+    def step(self, contexts: np.ndarray, tokens: np.ndarray, n: np.ndarray, rate: float) -> float:
+        loss, found, mass = gradient(self.model, contexts, tokens, n)
+        rows = np.flatnonzero(mass)
+        g = found[rows]
+        self.square[rows] += g * g
+        self.model.net[rows] -= rate * g / (np.sqrt(self.square[rows]) + 1e-6)
+        self.mass += mass
+        return loss
+
+
+def _moves(batches: Iterator[pa.RecordBatch], model: Model, passes: int, rate: float) -> Iterator[pa.RecordBatch]:
+    """row, mass and move for each row of the network that this task's windows touch."""
+    run, tables, held, size = Descent(model), [], [], 0
+
+    def settle(parts: list[tuple[np.ndarray, ...]]) -> None:
+        context, token, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(context, kind="stable")
+        run.step(context[order], token[order], n[order].astype(np.float64), rate)
+
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        size += batch.num_rows
+        if size >= STEP:
+            settle(held)
+            tables += [held] if passes > 1 else []  # so few windows that they fit
+            held, size = [], 0
+    if held:
+        settle(held)
+        tables += [held] if passes > 1 else []
+    for _ in range(passes - 1):
+        for parts in tables:
+            settle(parts)
+    rows = np.flatnonzero(run.mass)
+    moved = (run.model.net[rows] - model.net[rows]).astype("<f4")
+    for i in range(0, len(rows), 10_000):
+        data = [x.tobytes() for x in moved[i : i + 10_000]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + 10_000]), pa.array(run.mass[rows[i : i + 10_000]]), pa.array(data, pa.binary())], ["row", "mass", "move"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The mean move of each row, weighted by mass. All moves of a row come to one task, which holds their sum only."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for row, mass, move in zip(*(c.to_pylist() for c in batch.columns)):
+            own = sums.setdefault(row, np.zeros(width + 1))
+            own[:-1] += mass * np.frombuffer(move, "<f4")
+            own[-1] += mass
+    if sums:
+        means = [(x[:-1] / x[-1]).astype("<f4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(means, pa.binary())], ["row", "move"])
 
 
-def fit(docs: DataFrame, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of log-probabilities of windows and of tokens within their class, from all texts.
+def train(windows: DataFrame, model: Model, rounds: int = ROUNDS, least: int = LEAST, rate: float = RATE) -> Model:
+    """The network after so many rounds over slices of the windows (context, token, n) that together are all of them.
 
-    What comes to the driver is bounded by the vocabulary and the number of windows, not by the corpus.
+    A table of fewer than least windows is taken as often as makes up that number, or PASSES times. What comes to the driver is the network's moves.
     """
-    classes = shapes(tokenizer)
-    ids, counts = np.zeros(len(classes), np.int64), np.zeros(WINDOWS, np.int64)
-    found = cut(corpus_counts(docs, tokenizer)).toPandas()
-    item, n = found["item"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    ids[-1 - item[item < 0]] = n[item < 0]
-    counts[item[item >= 0]] = n[item >= 0]
-    return tabled(train(counts)).astype(np.float32), within_class(ids, classes).astype(np.float32)
+    spark = windows.sparkSession
+    total = windows.count()
+    if not total:
+        return model
+    passes = min(-(-least // total), PASSES)
+    slice_ = F.pmod(F.xxhash64("context", F.lit(4)), F.lit(rounds))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        own = windows.filter(slice_ == k).select("context", "token", "n")
+        moves = own.mapInArrow(lambda b, m=shared: _moves(b, m.value, passes, rate), "row long, mass double, move binary")
+        mean = moves.repartition(tasks, "row").mapInArrow(lambda b, w=model.net.shape[1]: _averaged(b, w), "row long, move binary")
+        found = mean.toArrow()  # a row for each of the network's, at most
+        net = model.net.copy()
+        if found.num_rows:
+            net[found["row"].to_numpy()] += np.frombuffer(b"".join(found["move"].to_pylist()), "<f4").reshape(found.num_rows, -1)
+        model = Model(model.rank, model.bounds, net)
+        shared.unpersist()
+    return model
+
+
+def fit(ids: DataFrame, size: int) -> Model:
+    """The network for encoded documents and a vocabulary of that size."""
+    windows = cut(window_counts(ids, size))
+    counts = np.zeros(size, np.int64)
+    found = windows.groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # a row for each token, at most
+    counts[found["token"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return train(windows, fresh(counts))
+
+
+def likelihoods(model: Model, windows: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """The log-likelihood of each text, given all their windows and how many each has. Equal windows are looked up once."""
+    keys, which = np.unique(windows, return_inverse=True)
+    each = log_probabilities(model, keys >> 20, keys & 0xFFFFF) if len(keys) else np.empty(0)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), each[which], len(sizes))
+
+
+def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for windows, n, ids in _held(batches, 1, len(model.rank) - 1):
+        total = likelihoods(model, windows, n)
+        at = 0
+        for part in ids:
+            some, sums = n[at : at + len(part)], total[at : at + len(part)]
+            at += len(part)
+            yield pa.RecordBatch.from_arrays([part, pa.array(some), pa.array(sums), pa.array(np.exp(-sums / np.maximum(some, 1)))], ["doc_id", "n_tokens", "log_likelihood", "perplexity"])
 
 
 def score(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and perplexity of each document under a model of all of them.
+    """doc_id, n_tokens, log_likelihood and perplexity of each document under a network trained on all of them.
 
-    docs: doc_id and text. A null or empty text has no tokens, the log-likelihood 0 and the perplexity 1.
-    Repeated rows count as often as they stand there, and get equal scores. No rows: none.
+    docs: doc_id and text; other columns are not read. A null or empty text has no tokens, the log-likelihood 0 and the perplexity 1.
+    A very long text is scored whole. Repeated rows and null ids get rows of their own; repeats count as often as they stand there. No rows: none.
     """
-    tables = docs.sparkSession.sparkContext.broadcast(fit(docs, tokenizer))  # 4 MB and 200 kB at any size of corpus
+    ids = cut(encoded(docs, tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(ids, vocabulary(tokenizer)))  # 15 MB at any size of corpus
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: _scores(b, tokenizer, tables.value), f"doc_id {kind}, n_tokens long, log_likelihood double, perplexity double")
+    return ids.mapInArrow(lambda b: _scores(b, shared.value), f"doc_id {kind}, n_tokens long, log_likelihood double, perplexity double")

@@ -156,7 +156,6 @@ def test_packing(docs, none):
     path = tokens.byte_bpe_50k()
     found = packing.pack(docs, path).toPandas()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = Counter()
     for r in rows():
         ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
@@ -187,7 +186,6 @@ def test_best_fit_is_best():
 
 def test_tokens_match(docs):
     plain = Tokenizer.from_file(tokens.byte_bpe_50k())
-    plain.encode_special_tokens = True
     ours = tokens.Tokens(tokens.byte_bpe_50k())
     for r in rows():
         assert ours.encode(r[1] or "").tolist() == plain.encode(r[1] or "", add_special_tokens=False).ids
@@ -198,38 +196,7 @@ def test_special_tokens_match():
     for text in ("<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b\n<|endoftext|><|endoftext|>", "<|endoftext", "x " * 50 + "<|endoftext|> 漢字"):
         assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
     assert ours.encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
-    assert len(scoring.shapes(tokens.byte_bpe_50k())) == 50257
-
-
-def test_scoring(docs, none):
-    path = tokens.byte_bpe_50k()
-    found = scoring.score(docs, path).collect()
-    classes, ours = scoring.shapes(path), tokens.Tokens(path)
-    ids, seen = Counter(), Counter()
-    texts = [ours.encode(r[1] or "") for r in rows()]
-    for t in texts:
-        ids.update(t.tolist())
-        wide = [scoring.EDGE] * 2 + classes[t].tolist() + [scoring.EDGE] * 2
-        for i in range(2, len(wide) - 2):
-            w = 0
-            for j in (i - 2, i - 1, i + 1, i + 2, i):
-                w = 16 * w + wide[j]
-            seen[w] += 1
-    got = {r["item"]: r["n"] for r in scoring.corpus_counts(docs, path).collect()}
-    assert got == {**{-1 - k: v for k, v in ids.items()}, **seen}
-    log_class, log_token = scoring.fit(docs, path)
-    assert np.allclose(np.exp(log_class.reshape(-1, 16)).sum(1), 1, atol=1e-4)
-    own = np.zeros(scoring.WINDOWS)
-    own[list(seen)] = list(seen.values())
-    share = own.reshape(-1, 16).sum(0) / own.sum()
-    uniform = -(share[share > 0] * np.log(share[share > 0])).sum()
-    assert -(own * log_class).sum() / own.sum() < 0.8 * uniform  # both sides tell more than frequency
-    for r in found:
-        if r.doc_id is not None:
-            t = texts[r.doc_id]
-            want = float(sum(log_class[scoring.windows(classes[t])].astype(float) + log_token[t])) if len(t) else 0.0
-            assert r.n_tokens == len(t) and abs(r.log_likelihood - want) < 1e-3 * max(1, abs(want))
-    assert scoring.score(none, path).count() == 0
+    assert scoring.vocabulary(tokens.byte_bpe_50k()) == 50257
 
 
 def test_pii(spark, docs, none):
