@@ -8,9 +8,15 @@ plus the part's threshold (1 + 1 bits), sixteen anchors at most a part, so that
 one bit apart always meet, and are compared in full there.
 
 Only different fingerprints are compared; equal texts and equal fingerprints are linked by their
-value. An anchor with many fingerprints is cut into blocks, and pairs of blocks are compared in
+value. One shuffle brings an anchor's fingerprints together, and of these only such go on as meet
+another one there. An anchor with many fingerprints is cut into blocks, and pairs of blocks are compared in
 tasks of their own. A task returns a path through each group that it finds, not all pairs. The
 groups are then joined by contraction rounds over the links, which never leave the executors.
+A part has 2^26 anchors; a thousand million fingerprints put some 240 at each.
+
+The same anchors serve near copies of a wider kind (near_copies): several fingerprints of a text's
+different words, which few changed words hardly move, bring texts together, and those that meet are
+compared by a longer fingerprint of their five-word shingles, whose differing bits tell how many they share.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = 4096
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 16
+#: Fingerprints of a text's words by which near copies meet, and of its shingles by which they are judged.
+MEET, JUDGE = 4, 4
+#: Differing bits of the 256 that two texts with four fifths of their shingles in common have, 39 on average, and a little more.
+NEAR = 46
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -42,11 +52,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     shingles = map(" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
+    return int(majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64)))
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0]
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -92,13 +106,32 @@ def anchors(part: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """anchor and node for each node, the first column, and each part of the fingerprints in the others."""
+    for batch in batches:
+        node = batch.column(0).to_numpy(zero_copy_only=False)
+        for c in range(1, batch.num_columns):
+            prints = batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(2):
+                part = np.uint64(2 * (c - 1) + k)
+                for rows, words in anchors(prints >> np.uint64(31 * k) & np.uint64((1 << 31) - 1)):
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array((words | part << np.uint64(31)).view(np.int64)), pa.array(node[rows])], ["anchor", "node"])
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by anchor those that share it with another one. One row at most is held back."""
+    held: tuple[np.ndarray, np.ndarray] | None = None  # a row that was first of its anchor, and the batch's last
+    last = None  # the anchor before it
     for batch in batches:
-        whole = batch.column(0).to_numpy(zero_copy_only=False)
-        prints = whole.view(np.uint64)
-        for k in range(2):
-            for rows, words in anchors(prints >> np.uint64(31 * k) & np.uint64((1 << 31) - 1)):
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array((words | np.uint64(k) << np.uint64(31)).view(np.int64)), pa.array(whole[rows])], ["anchor", "print"])
+        anchor, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(anchor):
+            continue
+        if held is not None:
+            anchor, node = np.concatenate([held[0], anchor]), np.concatenate([held[1], node])
+        same = np.concatenate([[anchor[0] == last], anchor[1:] == anchor[:-1]])
+        keep = same | np.append(same[1:], False)
+        held, last = (None, anchor[-1]) if keep[-1] else ((anchor[-1:], node[-1:]), anchor[-2] if len(anchor) > 1 else last)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(node[keep])], ["anchor", "node"])
 
 
 def _roots(links: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -117,36 +150,35 @@ def _roots(links: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def compare(prints: np.ndarray, threshold: int = 3) -> np.ndarray:
-    """Links (rows of two fingerprints) that connect what links within the threshold connect."""
-    prints = np.unique(prints)
-    n = len(prints)
+def compare(nodes: np.ndarray, prints: np.ndarray, threshold: int) -> np.ndarray:
+    """Links (two nodes each) that connect what fingerprints (rows of longs) within the threshold connect."""
+    n = len(nodes)
     if n < 2:
         return np.empty((0, 2), np.int64)
     label = np.arange(n)
     step = max(1, (1 << 20) // n)
-    bits = prints.view(np.uint64)
+    bits = np.ascontiguousarray(prints).view(np.uint64)
     for i in range(0, n, step):
-        near = np.bitwise_count(bits[i : i + step, None] ^ bits[None, :]) <= threshold
-        a, b = np.nonzero(near)
+        apart = sum(np.bitwise_count(bits[i : i + step, None, k] ^ bits[None, :, k]).astype(np.uint16) for k in range(bits.shape[1]))
+        a, b = np.nonzero(apart <= threshold)
         a += i
         fresh = (a < b) & (label[a] != label[b])  # most pairs of a group are connected already
         if fresh.any():
             pairs = np.unique(np.stack([label[a[fresh]], label[b[fresh]]], 1), axis=0)
             label = _roots(pairs.tolist(), n)[label]
-    order = np.lexsort((prints, label))
+    order = np.lexsort((nodes, label))
     same = label[order][1:] == label[order][:-1]
-    return np.stack([prints[order][:-1][same], prints[order][1:][same]], 1)
+    return np.stack([nodes[order][:-1][same], nodes[order][1:][same]], 1)
 
 
-def _compare_groups(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
+def _compare_groups(frames: Iterator[pd.DataFrame], columns: list[str], threshold: int) -> Iterator[pd.DataFrame]:
     """Rows come sorted by (anchor, block); a group may go on in the next frame."""
     rest: pd.DataFrame | None = None
 
     def done(pdf: pd.DataFrame) -> list[np.ndarray]:
         key = pdf[["anchor", "block"]].to_numpy()
         ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        return [compare(x, threshold) for x in np.split(pdf["print"].to_numpy(), ends) if len(x) > 1]
+        return [compare(x, p, threshold) for x, p in zip(np.split(pdf["node"].to_numpy(), ends), np.split(pdf[columns].to_numpy(), ends)) if len(x) > 1]
 
     def out(found: list[np.ndarray]) -> pd.DataFrame:
         links = np.concatenate([np.empty((0, 2), np.int64), *found])
@@ -162,31 +194,43 @@ def _compare_groups(frames: Iterator[pd.DataFrame], threshold: int) -> Iterator[
         yield out(done(rest))
 
 
-def links(prints: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
-    """Links a, b between different fingerprints (column print) which connect all that lie within the threshold (3 at most)."""
-    if not 0 <= threshold <= 3:
-        raise ValueError("threshold must be 0 to 3")
-    placed = cut(prints.select("print").distinct().mapInArrow(_cover, "anchor long, print long"))
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+def meetings(nodes: DataFrame) -> DataFrame:
+    """anchor and node of all that meet another one: nodes has a long, which must be different in all rows, and fingerprints behind it."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.mapInArrow(_cover, "anchor long, node long").repartition(tasks, "anchor").sortWithinPartitions("anchor")
+    return placed.mapInArrow(_meeting, "anchor long, node long")
+
+
+def compared(met: DataFrame, columns: list[str], threshold: int, block: int = BLOCK) -> DataFrame:
+    """Links a, b between nodes that meet at an anchor; columns of met are the fingerprint by which they are compared."""
+    sizes = met.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A row of block i goes to the pairs (0, i) .. (i, i) .. (i, blocks - 1); with one block, to one group.
     pair = lambda i: F.least("own", i) * F.col("blocks") + F.greatest("own", i)
     dealt = (
-        placed.join(sizes, "anchor")
-        .select("anchor", "print", blocks.alias("blocks"))
+        met.join(sizes, "anchor")
+        .withColumn("blocks", blocks)
         .withColumn("own", own)
-        .select("anchor", "print", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("block"))
+        .select("anchor", "node", *[c for c in columns if c != "node"], F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("block"))
     )
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         dealt.repartition(n, "anchor", "block")
         .sortWithinPartitions("anchor", "block")
-        .mapInPandas(lambda it: _compare_groups(it, threshold), "a long, b long")
+        .mapInPandas(lambda it: _compare_groups(it, columns, threshold), "a long, b long")
         .distinct()
     )
 
 
+def links(prints: DataFrame, threshold: int = 3, block: int = BLOCK) -> DataFrame:
+    """Links a, b between different fingerprints (column print) which connect all that lie within the threshold (3 at most)."""
+    if not 0 <= threshold <= 3:
+        raise ValueError("threshold must be 0 to 3")
+    one = prints.select("print").distinct()
+    return compared(cut(meetings(one.select("print", F.col("print").alias("word")))), ["node"], threshold, block)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the links a, b: equal roots where links connect.
 
@@ -229,11 +273,62 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> Data
     return signed.join(ids, "print").select("doc_id", "print", "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, threshold: int = 3) -> DataFrame:
-    """docs less all but one document of each component: that with the smallest doc_id.
+def _hashes(items: set, seed: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x, seed) for x in items), np.uint64, len(items))
+
+
+def sketch(text: str | None, width: int = 5) -> tuple[list[int], list[int]]:
+    """MEET fingerprints of a text's different words, and JUDGE of its different shingles; repeats don't count."""
+    words = WORDS.findall((text or "").translate(LOWER))
+    if not words:
+        return [0] * MEET, [0] * JUDGE
+    spans = map(" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [" ".join(words)]
+    out = []
+    for items, n, seed in ((set(words), MEET, 7), (set(spans), JUDGE, 5)):
+        first, prints = _hashes(items, seed), []
+        for k in range(n):  # other fingerprints come from the same hashes, multiplied and folded
+            mixed = first * np.uint64(2 * (0x9E3779B97F4A7C15 >> k + 1) + 1)
+            prints.append(int(majority(mixed ^ mixed >> np.uint64(32))))
+        out.append(prints)
+    return out[0], out[1]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    names = [*(f"m{k}" for k in range(MEET)), *(f"j{k}" for k in range(JUDGE))]
+    for batch in batches:
+        rows = np.array([sum(sketch(t, width), []) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, MEET + JUDGE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(rows[:, k]).view(np.int64)) for k in range(rows.shape[1]))], ["doc_id", *names])
+
+
+def near_copies(docs: DataFrame, width: int = 5, near: int = NEAR) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id that links reach, for each document with a doc_id.
+
+    Two texts are linked if they meet at an anchor by their words and their shingles' fingerprints differ in at most near of
+    256 bits. The default stands for a similarity (common part of the different shingles) of 0.8; at just that, nine pairs of ten
+    are found, above 0.9 all but a few in a hundred. Null and empty texts are alike. Equal texts are linked whatever their number:
+    they have one sketch, which is placed once. Repeated rows get rows of their own; rows without a doc_id none. No rows: none.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    meet, judge = [f"m{k}" for k in range(MEET)], [f"j{k}" for k in range(JUDGE)]
+    columns = ", ".join(f"{c} long" for c in (*meet, *judge))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
+    signed = cut(texts.mapInArrow(lambda b: _sketched(b, width), f"doc_id {kind}, {columns}").withColumn("node", F.xxhash64(*meet, *judge)))
+    first = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*meet, *judge)]))
+    met = meetings(first.select("node", *meet))
+    judged = cut(met.join(first.select("node", *judge), "node").select("anchor", "node", *judge))
+    roots = components(compared(judged, judge, near))
+    linked = first.select("node", "first").join(roots, "node")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    ids = cut(first.select("node", "first").join(linked.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id")))
+    return signed.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, near: int = NEAR) -> DataFrame:
+    """docs less all but one document of each group of near copies: that with the smallest doc_id. Columns keep their order.
 
-    Rows that share a doc_id are one document: they stay or go together. Rows without a doc_id stay,
-    as nothing names them.
+    Rows that share a doc_id are one document: they stay or go together, and go if any of their texts has a
+    smaller near copy. Rows without a doc_id stay, as nothing names them. Null and empty texts are copies of each other.
     """
-    found = near_duplicates(docs, width, threshold).filter(F.col("doc_id") > F.col("component_id"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = near_copies(docs, width, near).filter(F.col("doc_id") > F.col("component_id"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -344,7 +344,7 @@ def test_anchors_and_blocks(spark):
     flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (40, 30, 3)).astype(np.uint64), axis=2)
     prints = np.unique((base[:, None] ^ flips).view(np.int64))
     frame_ = spark.createDataFrame([(int(p),) for p in prints], "print long")
-    whole = simhash._roots([tuple(np.searchsorted(prints, x)) for x in simhash.compare(prints)], len(prints))
+    whole = simhash._roots([tuple(np.searchsorted(prints, x)) for x in simhash.compare(prints, prints[:, None], 3)], len(prints))
     for block in (7, 4096):
         found = simhash.links(frame_, block=block).toPandas().to_numpy()
         assert (simhash._roots([tuple(np.searchsorted(prints, x)) for x in found], len(prints)) == whole).all()
