@@ -30,6 +30,8 @@ SEGMENT = 2048
 HIDDEN, OWN, CHARS, BUCKETS = 8, 8, 8, 1 << 12
 #: Labelled texts of each class that the sample holds at most, and words with a vector of their own.
 SAMPLE, VOCABULARY = 2000, 20_000
+#: Characters of a text in the sample, at most. Any text is scored whole.
+LONGEST = 1 << 16
 #: Texts of the sample in which a word must occur to get a vector of its own.
 FREQUENT = 5
 #: A score from which a text counts as toxic.
@@ -293,14 +295,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], list[int], float]:
-    """Texts and labels of at most so many documents of each class that are not held out, and the share of toxic ones among all such labels."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[int], float]:
+    """Texts and labels of at most so many documents of each class, and the share of toxic ones among all labels that are not held out.
+
+    Labels are chosen by a hash of their doc_id, and none that is held out. Their texts of more than longest characters take no part, so that what
+    comes to the driver is at most 2 * rows * longest characters. A doc_id with several texts gives the first of them, however often it
+    stands there; one with both labels is an item of each class.
+    """
     open_ = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["count"] for r in open_.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(6))
     some = [open_.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * rows ids
-    found = docs.select("doc_id", "text").filter("text IS NOT NULL").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "text"])
+    texts = docs.select("doc_id", "text").filter(F.char_length("text") <= longest).join(chosen, "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).limit(2 * rows)
+    found = one.toPandas().sort_values(["doc_id", "toxic"])
     return found["text"].tolist(), found["toxic"].tolist(), n.get(1, 0) / max(sum(n.values()), 1)
 
 
@@ -314,7 +323,11 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Itera
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each document. A null text is an empty one, and has a score, too."""
+    """doc_id and score of each document.
+
+    A null text is an empty one, and has a score, too. A text of any length is scored whole, part by part. Repeated rows and null
+    ids get rows of their own; other columns are not read. No rows: none.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary allows, 3 MB
 
@@ -326,7 +339,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """docs, with all its columns, less the rows that score the limit or more."""
+    """docs, with all its columns in their order, less the rows that score the limit or more.
+
+    Rows are judged one by one by their text alone: null texts as empty ones, repeated rows alike, null ids like others, long texts
+    whole. No rows: none.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
