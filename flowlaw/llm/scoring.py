@@ -34,7 +34,7 @@ SHARE, MEMBERS = 1 / 128, 512
 STEP, LEAST, PASSES = 8192, 4_000_000, 20
 ROUNDS = 4
 RATE = 0.15
-#: Tokens whose windows are counted or scored at once.
+#: Tokens whose windows are counted or scored at once, and different windows that a task holds.
 FLUSH = 1 << 21
 
 
@@ -106,16 +106,26 @@ def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int) -> Iterator
 
 
 def _counts(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
+    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(keys >> 20), pa.array((keys & 0xFFFFF).astype(np.int32)), pa.array(n)], ["context", "token", "n"])
     for windows, _, _ in _held(batches, 1, edge):
-        keys, n = np.unique(windows, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys >> 20), pa.array((keys & 0xFFFFF).astype(np.int32)), pa.array(n)], ["context", "token", "n"])
+        new, count = np.unique(windows, return_counts=True)
+        both = np.concatenate([keys, new])
+        order = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.diff(both[order], prepend=-1))
+        keys, n = both[order][first], np.add.reduceat(np.concatenate([n, count])[order], first) if len(both) else n
+        if len(keys) >= FLUSH:
+            yield out()
+            keys, n = keys[:0], n[:0]
+    if len(keys):
+        yield out()
 
 
 def window_counts(ids: DataFrame, edge: int) -> DataFrame:
     """context (left << 20 | right), token and n for every window of the corpus. Contexts are dealt by a hash, so all tokens of one are together."""
     parts = ids.mapInArrow(lambda b: _counts(b, edge), "context long, token int, n long")
     tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Of a window that any number of documents share, each task sends one row for FLUSH tokens.
+    # Of a window that any number of documents share, each task sends one row for FLUSH different ones.
     return parts.repartition(tasks, "context").groupBy("context", "token").agg(F.sum("n").alias("n"))
 
 
