@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +26,52 @@ def text_or_empty(name: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a folder in the warehouse stands in for it.
+    Only where that is unset, as in tests, a folder in the warehouse, which is shared too, stands in for it.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts"
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts").rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and reread from a table in the shared folder.
+_within: ContextVar[str | None] = ContextVar("folder", default=None)
+_marked: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folder(spark: SparkSession) -> str:
+    """Where tables are cut to: a folder of the application, which is removed when it ends, or one of scratch() inside it."""
+    home = f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+    if home not in _marked:
+        files, where = _files(spark, home)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _marked.add(home)
+    return _within.get() or home
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside the with block is removed at its end; what is built on it must have been written before."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    before = _within.set(path)
+    try:
+        yield
+    finally:
+        _within.reset(before)
+        files, where = _files(spark, path)
+        files.delete(where, True)
+
+
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of df, computed once and reread from a table in the shared folder, at path or a new one.
 
     A written table survives the loss of any executor and frees the shuffle files behind it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = path or f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
