@@ -1,20 +1,25 @@
 """Operator 5, surrogates for personal data.
 
-Entities are found by one pattern: mail addresses, telephone and card numbers, network addresses,
+Entities are found by one pattern: mail addresses, telephone, account and card numbers, network addresses,
 keys and passwords, and names behind a title. Each becomes one or two units (a name's given
 and family part are units of their own, so that a family met again keeps its surrogate), and each
 distinct unit gets a replacement from a keyed hash: digits for digits and letters for letters in
-the same places, names of the same gender and script, addresses of the same kind.
+the same places, names of the same gender and script, private addresses for private ones.
 
 Replacements are checked over the whole corpus: where two units would get the same one, or one that
-occurs itself, all but one of them are drawn again. Only the distinct units take part in that.
-Texts are cut at their entities and put together again with the replacements.
+occurs itself, all but one of them are drawn again. Only the distinct units take part in that. A format that has
+hardly more forms than the corpus has values is dealt out at the end: the forms that are left, each to one value.
+
+Every text is searched once. Only those with entities are cut at them, shuffled and put together again; the others go
+straight through. A family name that was found in a text is replaced there where it stands alone, too.
 
 All of it is DataFrame functions; no Python runs in the tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +49,25 @@ PATTERNS = {
     "secret": rf"(?<=(?:{'|'.join(SECRETS)})[=:])[A-Za-z0-9]{{6,}}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])",
     "hexadecimal": r"(?<![A-Za-z0-9])(?=[0-9a-f]{32})(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9A-Za-z:])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
-    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .()-]?[ .()-]?\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+(?=(?:[ .()-]?[ .()-]?\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\.?\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])|(?<![\d.])\d{3}\.\d{3}\.\d{4}(?![\d.])|(?<![\d-])0\d{2,4} \d{3,4} \d{3,4}(?![\d-])",
     "name": rf"(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 PATTERN = rf"(?=[A-Za-z0-9(+{INITIALS}])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
 #: Entities that numbers make hold one of these, which are found much faster.
-HINT = r"[0-9][0-9. ()-]{5}|[0-9a-f]{32}"
+HINT = r"[0-9][0-9. ()-]{5}|[0-9a-f]{32}|:[0-9a-f]{1,4}:|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"
 NAME_HINT = rf"(?=[{INITIALS}])(?<!\p{{L}})(?:{TITLE}) \p{{Lu}}"
-ROUNDS = 8
+#: Tasks over which the texts with one value are dealt.
+SALT = 16
+#: Draws before a format's forms are dealt out; each leaves at most the share that its forms in use are of all of them.
+ROUNDS = 24
 
 
 def _kind(entity: Column) -> Column:
     whole = lambda name: entity.rlike(rf"\A(?:{PATTERNS[name]})\z")
-    return F.when(entity.contains("@"), "email").when(whole("ip"), "ip").when(whole("name"), "name").when(whole("card"), "card").when(whole("phone"), "phone").otherwise("secret")
+    return F.when(entity.contains("@"), "email").when(whole("ip"), "ip").when(whole("ipv6"), "ipv6").when(whole("name"), "name").when(whole("card"), "card").when(whole("iban"), "iban").when(whole("phone"), "phone").otherwise("secret")
 
 
 def _units(entity: Column, before: Column) -> Column:
@@ -91,8 +101,9 @@ def with_units(texts: DataFrame, text: str = "_text") -> DataFrame:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What makes two units the same: case does not count in mail addresses, nor separators in numbers."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone"), F.regexp_replace(value, r"\D", "")).otherwise(value)
+    """What makes two units the same: case does not count in mail addresses and names, nor separators in numbers."""
+    name = (kind == "family") | kind.startswith("given")
+    return F.when((kind == "email") | name, F.lower(value)).when(kind.isin("card", "phone"), F.regexp_replace(value, r"\D", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -159,24 +170,45 @@ def _phone(value: Column, hexes: Column) -> Column:
 
 
 def _email(value: Column, hexes: Column) -> Column:
-    """The shape of the local part stays, and the end of the domain; the rest of the domain is a reserved one."""
+    """The shape of the local part stays; the domain becomes one below example.org, which is reserved."""
     local = F.regexp_extract(value, r"\A([^@]*)@", 1)
     return F.concat(_shaped(local, hexes), F.lit(".x"), F.substr(hexes, F.lit(200), F.lit(6)), F.lit("@mail."), F.substr(hexes, F.lit(210), F.lit(4)), F.lit(".example.org"))
 
 
+def _iban(value: Column, hexes: Column) -> Column:
+    """The country, and all separators, stay."""
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return _separated(value, F.concat(F.substr(plain, F.lit(1), F.lit(2)), _shaped(F.substr(plain, F.lit(3)), hexes)))
+
+
+def _separated(value: Column, plain: Column) -> Column:
+    """plain with spaces where value has them."""
+    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("s"))
+    step = lambda acc, c: F.struct((acc["k"] + F.when(c == " ", 0).otherwise(1)).alias("k"), F.concat(acc["s"], F.when(c == " ", " ").otherwise(F.substr(plain, acc["k"] + 1, F.lit(1)))).alias("s"))
+    return F.aggregate(_chars(value), start, step, lambda acc: acc["s"])
+
+
 def _secret(value: Column, hexes: Column) -> Column:
-    """Hexadecimal digits for such, a known prefix before the rest of its shape, or the shape alone.
+    """Hexadecimal digits for such with letters among them, a known prefix before the rest of its shape, or the shape alone.
 
     Where a value is longer than the keyed digits are, they begin again.
     """
     enough = F.repeat(hexes, F.ceil(F.char_length(value) / F.char_length(hexes)).cast("int"))
     key = F.concat(F.lit("AKIA"), _shaped(F.substr(value, F.lit(5)), hexes))
-    return F.when(value.rlike(r"\A[0-9a-f]+\z"), F.substr(enough, F.lit(1), F.char_length(value))).when(value.startswith("AKIA"), key).otherwise(_shaped(value, hexes))
+    return F.when(value.rlike(r"\A(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]+\z"), F.substr(enough, F.lit(1), F.char_length(value))).when(value.startswith("AKIA"), key).otherwise(_shaped(value, hexes))
+
 
+def _ip(value: Column, hexes: Column) -> Column:
+    """Numbers from 1 to 254 behind what marks a private network, which stays; other addresses begin with 11 to 126."""
+    part = lambda i, low=1, n=254: (F.pmod(_number(hexes, 10 * i), F.lit(n)) + low).cast("string")
+    private = F.regexp_extract(value, r"\A(10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 1)
+    two, four = F.concat_ws(".", part(2), part(3)), F.concat_ws(".", part(0, 11, 116), part(1), part(2), part(3))
+    return F.when(private == "", four).when(private.rlike(r"\A1\d+\.\z"), F.concat(private, part(1), F.lit("."), two)).otherwise(F.concat(private, two))
 
-def _ip(hexes: Column) -> Column:
-    """Four numbers from 1 to 254."""
-    return F.concat_ws(".", *[(F.pmod(_number(hexes, 10 * i), F.lit(254)) + 1).cast("string") for i in range(4)])
+
+def _ipv6(hexes: Column) -> Column:
+    """Eight groups, the first two those of the network that is reserved for examples."""
+    return F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.substr(hexes, F.lit(4 * i + 1), F.lit(4)) for i in range(6)])
 
 
 def surrogate(kind: Column, value: Column, hexes: Column) -> Column:
@@ -189,37 +221,77 @@ def surrogate(kind: Column, value: Column, hexes: Column) -> Column:
             pick = lambda at, names=names: F.get(F.array(*map(F.lit, names)), F.pmod(_number(hexes, at), F.lit(len(names))).cast("int"))
             double = F.concat(pick(0), F.lit("-"), F.initcap(_syllables(hexes, script, 3)))
             given = F.when((kind == f"given {sex}") & (cyrillic == F.lit(script == "cyrillic")), double).otherwise(given)
-    family = F.initcap(F.when(cyrillic, _syllables(hexes, "cyrillic", 5)).otherwise(_syllables(hexes, "latin", 5)))
-    family = F.when(value == F.upper(value), F.upper(family)).otherwise(family)
+    family = F.initcap(F.when(cyrillic, _syllables(hexes, "cyrillic", 7)).otherwise(_syllables(hexes, "latin", 6)))
+    as_written = lambda name: F.when((value == F.upper(value)) & (F.char_length(value) > 1), F.upper(name)).otherwise(name)
     return (
         F.when(kind == "email", _email(value, hexes))
-        .when(kind == "ip", _ip(hexes))
+        .when(kind == "ip", _ip(value, hexes))
+        .when(kind == "ipv6", _ipv6(hexes))
+        .when(kind == "iban", _iban(value, hexes))
         .when(kind == "card", _card(value, hexes))
         .when(kind == "phone", _phone(value, hexes))
         .when(kind == "secret", _secret(value, hexes))
-        .when(kind == "family", family)
-        .otherwise(given)
+        .when(kind == "family", as_written(family))
+        .otherwise(as_written(given))
     )
 
 
+def _forms(shape: Column) -> Column:
+    """How many texts a shape (0 for digits, a and A for letters, anything else as it stands) has; null if over a million."""
+    places = lambda c: F.length(shape) - F.length(F.replace(shape, F.lit(c), F.lit("")))
+    log = places("0") * math.log10(10) + (places("a") + places("A")) * math.log10(26)
+    return F.when(log <= 6.001, F.round(F.pow(F.lit(10.0), log)).cast("long"))
+
+
+def _form(shape: Column, number: Column) -> Column:
+    """The text of a shape with that number: its places are digits of a number in bases 10 and 26."""
+    start = F.struct(number.cast("long").alias("k"), F.lit("").alias("s"))
+
+    def step(acc: Column, c: Column) -> Column:
+        base = F.when(c == "0", 10).when(c.isin("a", "A"), 26).otherwise(1)
+        first = F.when(c == "0", 48).when(c == "a", 97).otherwise(65)
+        drawn = F.when(base > 1, F.char(first + acc["k"] % base)).otherwise(c)
+        return F.struct(F.floor(acc["k"] / base).cast("long").alias("k"), F.concat(acc["s"], drawn).alias("s"))
+
+    return F.aggregate(_chars(shape), start, step, lambda acc: acc["s"])
+
+
+def _dealt_out(left: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
+    """kind, value, replacement where a format is nearly full: the i-th value left gets the i-th form left, both in a keyed order.
+
+    A million forms a shape at most are listed. Forms may be values of the corpus, which all have others by then.
+    """
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("canon", "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    left = left.withColumn("shape", shape)
+    each = Window.partitionBy("kind", "shape")
+    wanted = left.select("kind", "shape", "canon").distinct().withColumn("n", F.row_number().over(each.orderBy(_digest(key, F.col("kind"), F.col("canon"), F.lit("left")))))
+    size = F.coalesce(_forms(F.col("shape")), F.raise_error(F.lit("a format of over a million forms is full")).cast("long"))
+    all_ = left.select("kind", "shape").distinct().withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    all_ = all_.withColumn("form", _form(F.col("shape"), F.col("number"))).drop("number")
+    if done is not None:
+        all_ = all_.join(done.select("kind", F.col("taken").alias("form")).distinct(), ["kind", "form"], "left_anti")
+    free = all_.withColumn("n", F.row_number().over(each.orderBy(_digest(key, F.col("kind"), F.col("form"), F.lit("free")))))
+    given = left.join(wanted, ["kind", "shape", "canon"]).join(free, ["kind", "shape", "n"])
+    return given.select("kind", "value", F.when(F.col("kind").isin("card", "phone"), _laid_out(F.col("value"), F.col("form"))).when(F.col("kind") == "iban", _separated(F.col("value"), F.col("form"))).otherwise(F.col("form")).alias("replacement"))
+
+
 def surrogates(values: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """kind, value and replacement for the distinct kind and value.
 
-    Values with the same canonical form are written alike but for their separators. Two different
+    Values with the same canonical form are written alike but for their separators and case. Two different
     canonical forms of a kind never share a replacement, and no replacement is a value of the corpus: those
     that clash are drawn again, all but the first, until none do. What still clashes after that many rounds, as a
-    format may have fewer forms than the corpus has values, gets twelve keyed digits at its end.
+    format may have hardly more forms than the corpus has values, is dealt the forms that are left (which then may be such values). No values: no rows.
     """
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mark = canonical(F.col("kind"), F.col("value"))
-    left = cut(values.select("kind", "value").distinct().withColumn("canon", mark))
+    # Dealt by a hash into tasks of its own number, as a draw is costly and the rows are small.
+    left = cut(values.select("kind", "value").distinct().withColumn("canon", mark).repartition(tasks, "kind", "canon"))
     own = left.select("kind", F.col("canon").alias("taken")).distinct()
     done: DataFrame | None = None
-    for attempt in range(rounds + 1):
+    for attempt in range(rounds):
         drawn = left.withColumn("hexes", _digest(key, F.col("kind"), F.col("canon"), F.lit(attempt)))
         drawn = drawn.withColumn("replacement", surrogate(F.col("kind"), F.col("value"), F.col("hexes")))
-        if attempt == rounds:
-            longer = drawn.select("kind", "value", F.concat("replacement", F.lit("~"), F.substring("hexes", 100, 12)).alias("replacement"))
-            return longer if done is None else done.select("kind", "value", "replacement").unionByName(longer)
         drawn = cut(drawn.drop("hexes").withColumn("taken", canonical(F.col("kind"), F.col("replacement"))))
         first = Window.partitionBy("kind", "taken").orderBy("canon")
         # A replacement is asked for by a few values at most, so these windows stay small.
@@ -231,27 +303,45 @@ def surrogates(values: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
         left = cut(drawn.join(won, ["kind", "canon"], "left_anti").select("kind", "value", "canon"))
         done = good if done is None else done.unionByName(good)
         if left.isEmpty():
-            break
+            return done.select("kind", "value", "replacement")
         done = cut(done)
-    return done.select("kind", "value", "replacement")
+    rest = _dealt_out(left, done, key)
+    return rest if done is None else done.select("kind", "value", "replacement").unionByName(rest)
 
 
 def replaced(docs: DataFrame, key: str) -> DataFrame:
     """docs with the text's personal data replaced; the added column pii_units counts the units.
 
     docs: text and any other columns; one named pii_units is replaced. Null texts stay null and have
-    no units. Rows are told apart by their text alone, so repeated rows, null ids and ties agree.
+    no units, empty ones stay empty. Texts of any length are searched whole. Rows are told apart by their text alone, so repeated
+    rows, null ids and ties agree. No rows: no rows.
     """
     keep = [c for c in docs.columns if c not in ("text", "pii_units")]
     texts = docs.select(F.struct(*keep, F.lit(0).alias("_pad")).alias("_row"), F.col("text").alias("_text"))
-    # A text's mark: its length and two hashes. Texts without entities get marks of their own and meet nobody.
+    found = with_units(texts)
+    # A text's mark: its length and two hashes. The text itself is kept only where nothing was found in it.
+    hit = F.col("_units").isNotNull()
     mark = F.concat_ws("-", F.xxhash64("_text"), F.hash("_text"), F.char_length("_text"))
-    marked = with_units(texts).withColumn("_mark", F.when(F.col("_units").isNotNull(), mark).otherwise(F.concat(F.lit("+"), F.monotonically_increasing_id())))
-    units = marked.filter("_units IS NOT NULL").select("_mark", F.posexplode("_units").alias("at", "unit"))
+    searched = cut(found.select("_row", F.when(~hit, F.col("_text")).alias("_text"), "_units", "_tail", hit.alias("_hit"), F.when(hit, mark).alias("_mark")))
+    plain = searched.filter(~F.col("_hit")).select("_row.*", F.col("_text").alias("text"), F.lit(0).alias("pii_units"))
+    cut_up = searched.filter("_hit")
+    units = cut_up.select("_mark", F.posexplode("_units").alias("at", "unit"))
     units = cut(units.select("_mark", "at", "unit.kind", "unit.value").distinct())
-    lists = units.join(surrogates(units, key), ["kind", "value"]).groupBy("_mark").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_new"))
+    # A value may stand in a third of all texts: its rows are dealt to SALT tasks, and each replacement to all of these.
+    salt = F.pmod(F.xxhash64("_mark"), F.lit(SALT)).cast("int")
+    new = surrogates(units, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    lists = units.withColumn("_salt", salt).join(new, ["kind", "value", "_salt"]).groupBy("_mark").agg(F.sort_array(F.collect_list(F.struct("at", "replacement"))).alias("_new"))
     lists = cut(lists)  # so that the join deals out both sides anew, and the texts of a mark that many rows have can be split
-    joined = marked.join(lists.hint("merge"), "_mark", "left")  # the same way at every size
-    text = F.concat(F.array_join(F.zip_with("_units", "_new", lambda u, n: F.concat(u["before"], n["replacement"])), ""), F.col("_tail"))
-    out = joined.select("_row.*", F.coalesce(text, F.col("_text")).alias("text"), F.coalesce(F.size("_units"), F.lit(0)).cast("int").alias("pii_units"))
+    joined = cut_up.join(lists.hint("merge"), "_mark")  # the same way at every size
+    both = F.zip_with("_units", "_new", lambda u, n: F.struct(u["before"].alias("before"), u["kind"].alias("kind"), u["value"].alias("value"), n["replacement"].alias("replacement")))
+    named = joined.withColumn("_both", both).withColumn("_families", F.array_distinct(F.transform(F.filter("_both", lambda u: (u["kind"] == "family") & (F.char_length(u["value"]) > 2)), lambda u: F.struct(u["value"].alias("value"), u["replacement"].alias("replacement")))))
+    text = F.concat(F.array_join(F.transform("_both", lambda u: F.concat(_renamed(u["before"]), u["replacement"])), ""), _renamed(F.col("_tail")))
+    changed = named.select("_row.*", text.alias("text"), F.size("_units").cast("int").alias("pii_units"))
+    out = plain.drop("_pad").unionByName(changed.drop("_pad"))
     return out.select(*[c for c in docs.columns if c != "pii_units"], "pii_units")
+
+
+def _renamed(piece: Column) -> Column:
+    """A piece between units with the families of its text replaced where they stand alone."""
+    name = lambda x: F.concat(F.lit(r"(?<!\p{L})\Q"), x["value"], F.lit(r"\E(?!\p{L})"))
+    return F.aggregate("_families", piece, lambda text, x: F.when(text.contains(x["value"]), F.regexp_replace(text, name(x), x["replacement"])).otherwise(text))
