@@ -1,10 +1,12 @@
-"""Evolution laws u_t = sum of coefficient times term, and the rates that they give a field."""
+"""Evolution laws u_t = sum of coefficient times term, as mappings from terms to coefficients."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .terms import Term
 
@@ -16,7 +18,7 @@ DX2, DX3, DX4 = Term(r=2, q=1), Term(r=3, q=1), Term(r=4, q=1)
 
 
 def laws(nu: float = 0.05, eps: float = 0.01, growth: float = 1.0, spread: float = 0.1, beta: float = 1 / 6) -> dict[str, dict[Term, float]]:
-    """The known laws by name, each with the time over which it is watched left to the caller."""
+    """The known laws by name."""
     return {
         "kdv": {TRANSPORT: -6.0, DX3: -1.0},
         "ks": {TRANSPORT: -1.0, DX2: -1.0, DX4: -1.0},
@@ -29,19 +31,10 @@ def laws(nu: float = 0.05, eps: float = 0.01, growth: float = 1.0, spread: float
     }
 
 
-def slope(field: np.ndarray, order: int) -> np.ndarray:
-    """The derivative along the last axis of fields on an even periodic grid."""
-    n = field.shape[-1]
-    k = np.arange(n // 2 + 1)
-    if order % 2 and n % 2 == 0:
-        k = np.where(2 * k == n, 0, k)
-    return np.fft.irfft(np.fft.rfft(field) * (1j * k) ** order, n)
+def rate(law: Law, u: Column, derivatives: Sequence[Column]) -> Column:
+    """u_t at a point under a law; derivatives[r - 1] is the r-th."""
+    return reduce(lambda a, b: a + b, [F.lit(float(c)) * t.column(u, derivatives) for t, c in law.items()])
 
 
-def rate(field: np.ndarray, law: Law) -> np.ndarray:
-    """u_t of fields under a law."""
-    out = np.zeros_like(field)
-    for term, c in law.items():
-        value = {"sin": np.sin, "cos": np.cos}[term.wave](field) if term.wave else field**term.p
-        out += c * (value * slope(field, term.r) ** term.q if term.q else value)
-    return out
+def named(law: Law) -> list[str]:
+    return [t.name for t in law]

@@ -24,15 +24,14 @@ def relative_error(value: Column, true: Column) -> Column:
     return distance / F.when(length < 1e-14, 1.0).otherwise(length)
 
 
-def norm(x: Column) -> Column:
-    return F.sqrt(F.sum(x * x))
+def significant(coefficients: Column, share: float = 0.01) -> Column:
+    """Places (from 0) of the coefficients of an array that are over a share of the largest."""
+    size = F.transform(coefficients, F.abs)
+    marked = F.transform(size, lambda x, i: F.when(x > share * F.array_max(size), i))
+    return F.filter(marked, lambda i: i.isNotNull())
 
 
-def scale(length: Column) -> Column:
-    """What to divide by: nearly empty columns stay as they are."""
-    return F.when(length < 1e-14, 1.0).otherwise(length)
-
-
-def listed(names: Column, coefficients: Column) -> Column:
-    """A printable line for each term."""
-    return F.transform(F.arrays_zip(names.alias("n"), coefficients.alias("c")), lambda x: F.format_string("  %18s: %+.6f", x["n"], x["c"]))
+def flagged(names: Column, coefficients: Column, true: Column) -> Column:
+    """term, coefficient, right (whether the term is a true one) and a printable line for each term."""
+    line = lambda x: F.format_string("  %18s: %+.6f", x["n"], x["c"])
+    return F.transform(F.arrays_zip(names.alias("n"), coefficients.alias("c")), lambda x: F.struct(x["n"].alias("term"), x["c"].alias("coefficient"), F.array_contains(true, x["n"]).alias("right"), line(x).alias("line")))

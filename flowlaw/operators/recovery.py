@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plateau import plateau_runs
@@ -65,13 +65,23 @@ def pursuit(s: Summary, k: int) -> list[int]:
     return chosen
 
 
-def omp(s: Summary, k: int = 2, threshold: float = 0.0) -> Recovery:
-    """The first k picks, refitted; with a threshold, less those whose coefficient is that small a share of the largest."""
-    return _result("omp", s, truncated(s, sorted(pursuit(s, k)), threshold))
+def omp(s: Summary, k: int = 2, threshold: float = 0.0, full: Summary | None = None, centre: bool = False) -> Recovery:
+    """The first k picks, refitted; with a threshold, less those whose coefficient is that small a share of the largest.
+
+    With full, the summary of all rows, s is that of a sample: columns are scaled by their lengths over all rows, and coefficients
+    are those of the sample. centre takes all columns less their means. Coefficients of 1e-10 and less, on unit columns, count as none.
+    """
+    own = s.centred() if centre else s
+    length = (full or s).norms
+    scaled = Summary(own.factor / np.append(length, 1.0), own.n, own.names)
+    support = sorted(pursuit(scaled, k))
+    size = np.abs(scaled.fit(support)[0])
+    support = [i for i, c in zip(support, size) if c > 1e-10] or support
+    return _result("omp", own, truncated(own, support, threshold))
 
 
-def lasso(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float = 1e-4) -> Recovery:
-    """Coordinate descent on unit columns; terms over a thousandth of the largest are refitted without penalty."""
+def lasso_weights(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float = 1e-4) -> np.ndarray:
+    """The penalised coefficients of the unit columns, by coordinate descent; the penalty is alpha times the number of rows."""
     scaled = s.terms / s.norms
     g, c, w = scaled.T @ scaled, scaled.T @ s.target, np.zeros(scaled.shape[1])
     for _ in range(sweeps):
@@ -83,10 +93,15 @@ def lasso(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float =
                 moved, w[i] = max(moved, abs(new - w[i])), new
         if moved <= tolerance * np.abs(w).max(initial=1e-300):
             break
-    size = np.abs(w)
+    return w
+
+
+def lasso(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float = 1e-4, full: Summary | None = None) -> Recovery:
+    """Terms whose penalised coefficient is over a thousandth of the largest, refitted without penalty, on all rows if full has them."""
+    size = np.abs(lasso_weights(s, alpha, sweeps, tolerance))
     limit = 1e-3 * size.max() if size.max(initial=0) > 1e-10 else 1e-10
-    support = [i for i in range(len(w)) if size[i] > limit] or [int(size.argmax())]
-    return _result("lasso", s, support, alpha=alpha)
+    support = [i for i in range(len(size)) if size[i] > limit] or [int(size.argmax())]
+    return _result("lasso", full or s, support, alpha=alpha)
 
 
 def _leaves(laplacian: np.ndarray, inside: np.ndarray, size: int, limit: float) -> list[np.ndarray]:
@@ -100,30 +115,55 @@ def _leaves(laplacian: np.ndarray, inside: np.ndarray, size: int, limit: float)
     return [x for half in np.split(order, [len(order) // 2]) for x in _leaves(laplacian, np.sort(half), size, limit)]
 
 
-def ccp(s: Summary, cluster: int = 8, limit: float = 0.5, threshold: float | None = None, rounds: int = 8) -> Recovery:
-    """Groups of correlated terms vote in pairs: a term stays if it matters in enough fits of two groups."""
-    scaled, active, did = s.terms / s.norms, np.arange(len(s.names)), 0
+def likeness(s: Summary, active: np.ndarray | None = None) -> np.ndarray:
+    """How alike each two unit columns are, a mean over the rows; none is like itself."""
+    scaled = (s.terms / s.norms)[:, np.arange(len(s.names)) if active is None else active]
+    alike = np.abs(scaled.T @ scaled) / max(s.n, 1)
+    np.fill_diagonal(alike, 0)
+    return alike
+
+
+def laplacian(alike: np.ndarray) -> np.ndarray:
+    return np.diag(alike.sum(1)) - alike
+
+
+def votes(s: Summary, groups: list[np.ndarray], active: np.ndarray) -> np.ndarray:
+    """Of each active term: in how many fits of two groups (places in active) its coefficient on a unit column matters."""
+    scaled, out = s.terms / s.norms, np.zeros(len(active), int)
+    for a, b in combinations(groups, 2):
+        both = np.concatenate([a, b])
+        size = np.abs(np.linalg.lstsq(scaled[:, active[both]], s.target, rcond=None)[0])
+        out[both[size > max(1e-3 * size.max(), 1e-10)]] += 1
+    return out
+
+
+def survivors(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Which terms have votes enough: half of the groups, or all others where that rules out none."""
+    stay = counts >= max(1, groups // 2)
+    return counts >= max(1, groups - 1) if stay.all() and groups > 1 else stay
+
+
+def ccp(s: Summary, cluster: int = 8, limit: float = 0.5, threshold: float | None = None, rounds: int = 8, full: Summary | None = None) -> Recovery:
+    """Groups of correlated terms vote in pairs: a term stays if it matters in enough fits of two groups.
+
+    s may be a sample's summary; full then is that of all rows, on which what is left is fitted. At most six terms stay, of these such as have a coefficient over 1e-6 on unit columns.
+    """
+    whole, active, did, counts = full or s, np.arange(len(s.names)), 0, np.zeros(len(s.names), int)
     while did < rounds and len(active) > cluster:
-        likeness = np.abs(scaled[:, active].T @ scaled[:, active]) / max(s.n, 1)
-        np.fill_diagonal(likeness, 0)
-        groups = _leaves(np.diag(likeness.sum(1)) - likeness, np.arange(len(active)), cluster, limit)
-        votes = np.zeros(len(active))
-        for a, b in combinations(groups, 2):
-            both = np.concatenate([a, b])
-            size = np.abs(np.linalg.lstsq(scaled[:, active[both]], s.target, rcond=None)[0])
-            votes[both[size > max(1e-3 * size.max(), 1e-10)]] += 1
-        stay = votes >= max(1, len(groups) // 2)
-        if stay.all() and len(groups) > 1:
-            stay = votes >= max(1, len(groups) - 1)
+        groups = _leaves(laplacian(likeness(s, active)), np.arange(len(active)), cluster, limit)
+        counts = votes(s, groups, active)
+        stay = survivors(counts, len(groups))
         did += 1
         if stay.all() or not stay.any():
             break
         active = active[stay]
     support = active.tolist()
     if len(support) > 6:
-        own = Summary(s.factor[:, [*support, -1]], s.n, tuple(s.names[i] for i in support))
-        support = sorted(support[i] for i in pursuit(own, 6))
-    return _result("ccp", s, truncated(s, support, threshold), rounds=did)
+        own = whole.only(support)
+        picked = sorted(pursuit(own, 6))
+        size = np.abs(Summary(own.factor / np.append(own.norms, 1.0), own.n, own.names).fit(picked)[0])
+        support = [support[i] for i, c in zip(picked, size) if c > 1e-6] or [support[i] for i in picked]
+    return _result("ccp", whole, truncated(whole, support, threshold), rounds=did)
 
 
 def candidates(spark: SparkSession, terms: int, most: int) -> DataFrame:
@@ -148,24 +188,60 @@ def frontier(spark: SparkSession, s: Summary, most: int = 3) -> DataFrame:
     return found.groupBy("k").agg(F.min_by("support", F.struct("residual", "support")).alias("support"), F.min("residual").alias("residual"))
 
 
-def best_subset(spark: SparkSession, s: Summary, most: int = 3, steps: int = 30, threshold: float | None = None) -> Recovery:
-    """The support that stays longest optimal as the allowed residual falls.
+def winners(points: DataFrame, tolerances: DataFrame) -> DataFrame:
+    """eps and support: of each tolerance (column eps), the choice with the least terms whose residual is within it; null if none is."""
+    best = points.select("k", "support", "residual")
+    met = F.broadcast(best)  # a row for each number of terms
+    return tolerances.join(met, F.col("residual") <= F.col("eps"), "left").groupBy("eps").agg(F.min_by("support", "k").alias("support"))
+
+
+def as_set(support: Column) -> Column:
+    return F.array_sort(F.array_distinct(support))
 
-    For each of many tolerances, spaced evenly on a log scale, the least number of terms that meets it wins; the first run
-    of equal winners from the small end is the result.
+
+def best_subset(spark: SparkSession, s: Summary, most: int = 3, steps: int = 30, threshold: float | None = None, halvings: int = 60, floor: float = 1e-12, full: Summary | None = None) -> Recovery:
+    """The support that stays longest optimal as the allowed residual falls, out of all of at most so many terms.
+
+    For each of many tolerances, spaced evenly on a log scale, the least number of terms that meets it wins; the longest run of equal winners
+    counts, of those as long the one from the small end. From that run's own least residual the tolerance is halved then until three winners in a row are the same,
+    none is left or a floor is met; the last of them is the result. If no choice meets the small tolerances, meta says so.
     """
-    points = frontier(spark, s, most).withColumnRenamed("support", "best")
+    points = frontier(spark, s, most).persist()
     top = float(np.linalg.norm(s.target)) or 1.0
     scale = spark.range(steps).select((F.lit(top) * F.pow(F.lit(10.0), -F.col("id") / 3)).alias("eps"))
-    feasible = scale.join(points, F.col("residual") <= F.col("eps"), "left").groupBy("eps").agg(F.min_by("best", "k").alias("support"))
-    runs = plateau_runs(feasible.filter("support IS NOT NULL").withColumn("g", F.lit(0)), ["g"], "eps", F.col("support").cast("string"), extra=["support"])
+    runs = plateau_runs(winners(points, scale).filter("support IS NOT NULL").withColumn("g", F.lit(0)), ["g"], "eps", as_set(F.col("support")))
     first = runs.orderBy(F.desc("length"), "start").first()
+    listed = {r["k"]: (list(r["support"]), r["residual"]) for r in points.collect()}  # a row for each number of terms
+    points.unpersist()
     if first is None:
-        return _result("best subset", s, list(range(len(s.names))), warning="no choice meets any tolerance")
-    return _result("best subset", s, truncated(s, list(first["support"]), threshold), plateau=first["length"])
+        return _result("best subset", full or s, list(range(len(s.names))), warning="no choice meets any tolerance")
+    support, same, eps, halved = sorted(first["value"]), 1, float(first["start"]), 0
+    while same < 3 and halved < halvings and eps / 2 >= floor * top:
+        eps, halved = eps / 2, halved + 1
+        fits = [k for k, (_, left) in listed.items() if left <= eps]
+        if not fits:
+            break
+        found = sorted(listed[min(fits)][0])
+        support, same = (support, same + 1) if found == support else (found, 1)
+    meta = {"plateau": first["length"], "halvings": halved}
+    if min(left for _, left in listed.values()) > 1e-6 * top:
+        meta["warning"] = f"no {most} terms leave less than a millionth of the target"
+    return _result("best subset", full or s, truncated(full or s, support, threshold), **meta)
 
 
-METHODS: dict[str, Callable[..., Recovery]] = {"omp": omp, "lasso": lasso, "ccp": ccp}
+def nearest(s: Summary, most: int = 3, slack: float = 0.5, threshold: float | None = None, full: Summary | None = None) -> Recovery:
+    """The fewest terms, out of all choices of at most so many, that leave at most 1 + slack times what the best choice of most leaves.
+
+    All choices are tried in one place, which is for small dictionaries; what is within a thousand millionth of the target counts as nothing left.
+    """
+    best = [min(combinations(range(len(s.names)), k), key=lambda x: s.fit(x)[1]) for k in range(1, most + 1)]
+    enough = max((1 + slack) * s.fit(best[-1])[1], 1e-9 * float(np.linalg.norm(s.target)))
+    chosen = next(x for x in best if s.fit(x)[1] <= enough)
+    return _result("nearest", full or s, truncated(full or s, list(chosen), threshold))
+
+
+#: By name: functions of a Summary and of options that return a Recovery. Own methods may be added.
+METHODS: dict[str, Callable[..., Recovery]] = {"omp": omp, "lasso": lasso, "ccp": ccp, "nearest": nearest}
 
 
 def identify(s: Summary, method: str = "ccp", **how: object) -> Recovery:
@@ -174,6 +250,11 @@ def identify(s: Summary, method: str = "ccp", **how: object) -> Recovery:
     return METHODS[method](s, **how)
 
 
+def refitted(found: Recovery, s: Summary) -> Recovery:
+    """The same terms with the coefficients and the residual that other rows give them."""
+    return _result(found.method, s, list(found.support), **found.meta)
+
+
 def as_frame(spark: SparkSession, found: list[Recovery]) -> DataFrame:
     rows = [(r.method, list(r.names), list(r.support), list(r.coefficients), r.residual, r.meta) for r in found]
     return spark.createDataFrame(rows, RESULT)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +64,60 @@ def pivots(block: np.ndarray, m: int) -> list[int]:
     return (out + rest)[:m]
 
 
+def _norm(theta: str) -> Column:
+    return F.sqrt(F.aggregate(F.transform(F.col(theta), lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+
+
+def _chosen(rows: DataFrame, ids: list, row_id: str) -> DataFrame:
+    chosen = rows.sparkSession.createDataFrame([(x,) for x in ids], rows.select(row_id).schema)
+    return rows.join(F.broadcast(chosen), row_id, "left_semi")  # m ids
+
+
+def pivot_ids(pool: pd.DataFrame, m: int, row_id: str, theta: str) -> list:
+    """Ids of a bounded pool's rows in the order of pivots(); rows of one length by their id."""
+    pool = pool.sort_values(row_id)
+    return pool[row_id].iloc[pivots(np.stack(pool[theta].to_numpy()), m)].tolist() if len(pool) else []
+
+
 def signal_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta", ratio: float = 2.0) -> DataFrame:
     """m rows of those with the largest terms that span the most; ratio * m rows come to the driver."""
-    length = F.sqrt(F.aggregate(F.transform(F.col(theta), lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
-    pool = largest(rows, int(ratio * m), length, row_id).select(row_id, theta).toPandas()
-    if not len(pool):
-        return rows.limit(0)
-    chosen = pool[row_id].iloc[pivots(np.stack(pool[theta].to_numpy()), m)].tolist()
-    ids = rows.sparkSession.createDataFrame([(x,) for x in chosen], rows.select(row_id).schema)
-    return rows.join(F.broadcast(ids), row_id, "left_semi")  # m ids
+    pool = largest(rows, int(ratio * m), _norm(theta), row_id).select(row_id, theta).toPandas()
+    return _chosen(rows, pivot_ids(pool, m, row_id, theta), row_id)
+
+
+def spanning_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta", groups: int = 32) -> DataFrame:
+    """m rows out of all that span the most: each task puts forward m of its own, groups of tasks m of these, and the last m come from the groups."""
+    kind = rows.schema[row_id].dataType.simpleString()
+    schema = f"part int, `{row_id}` {kind}, theta array<double>"
+
+    def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in frames:
+            both = pdf if held is None else pd.concat([held, pdf])
+            held = both.set_index(row_id, drop=False).loc[pivot_ids(both, m, row_id, "theta")].reset_index(drop=True) if len(both) > m else both
+        if held is not None:
+            yield held
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return next(forward(iter([pdf])))
+
+    one = rows.select(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"), row_id, F.col(theta).alias("theta"))
+    pool = one.mapInPandas(forward, schema).groupBy("part").applyInPandas(merge, schema).drop("part").toPandas()  # groups * m rows
+    return _chosen(rows, pivot_ids(pool, m, row_id, "theta"), row_id)
+
+
+#: By name: functions of rows, how many of them, their id's name and a seed. Fewer rows than asked for are all taken.
+SAMPLERS: dict[str, Callable[[DataFrame, int, str, int], DataFrame]] = {
+    "full": lambda rows, m, row_id, seed: rows,
+    "head": lambda rows, m, row_id, seed: head(rows, m, row_id),
+    "random": lambda rows, m, row_id, seed: uniform(rows, m, row_id, seed=seed),
+    "qr": lambda rows, m, row_id, seed: spanning_rows(rows, m, row_id),
+    "signal_qr": lambda rows, m, row_id, seed: signal_rows(rows, m, row_id),
+}
+
+
+def sample(rows: DataFrame, sampler: str | Callable[[DataFrame, int, str, int], DataFrame], m: int, row_id: str = "row_id", seed: int = 0) -> DataFrame:
+    """m of the rows (theta, y and an id), or all if there are fewer, by a sampler's name or an own function like those in SAMPLERS."""
+    if isinstance(sampler, str) and sampler not in SAMPLERS:
+        raise ValueError(f"unknown sampler {sampler!r}; there are {', '.join(SAMPLERS)}")
+    return (SAMPLERS[sampler] if isinstance(sampler, str) else sampler)(rows, m, row_id, seed)

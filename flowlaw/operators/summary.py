@@ -48,6 +48,15 @@ class Summary:
     def gram(self) -> np.ndarray:
         return self.terms.T @ self.terms
 
+    def only(self, chosen: Sequence[int]) -> Summary:
+        """The summary of some terms."""
+        return Summary(self.factor[:, [*chosen, -1]], self.n, tuple(self.names[i] for i in chosen))
+
+    def centred(self) -> Summary:
+        """All columns less their means, for which the constant term "1" must be among them; that becomes zero."""
+        one = self.factor[:, self.names.index("1")]
+        return Summary(self.factor - np.outer(one, one @ self.factor) / (one @ one), self.n, self.names)
+
 
 def _triangle(block: np.ndarray) -> np.ndarray:
     return np.linalg.qr(block, mode="r")
@@ -102,12 +111,14 @@ def residual(rows: DataFrame, coefficients: dict[str, float], target: str) -> Da
     return rows.agg(F.sqrt(F.sum(left * left)).alias("l2"), F.sum(F.abs(left)).alias("l1"))
 
 
-def normalised(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """rows with each column divided by its length; lengths come from one pass and go back as one row."""
-    lengths = norms(rows, columns).select(*[F.col(c).alias(f"_n_{c}") for c in columns])
+def normalised(rows: DataFrame, columns: Sequence[str], mean: bool = False) -> DataFrame:
+    """rows with each column divided by its length, or with mean by its root mean square; lengths come from one pass and go back as one row."""
+    share = F.count("*").cast("double") if mean else F.lit(1.0)
+    lengths = rows.agg(*[F.sqrt(F.sum(F.col(c) * F.col(c)) / share).alias(f"_n_{c}") for c in columns])
     joined = rows.crossJoin(F.broadcast(lengths))  # one row
-    return joined.withColumns({c: F.col(c) / _scale(F.col(f"_n_{c}")) for c in columns}).drop(*[f"_n_{c}" for c in columns])
+    return joined.withColumns({c: F.col(c) / scale(F.col(f"_n_{c}")) for c in columns}).drop(*[f"_n_{c}" for c in columns])
 
 
-def _scale(length: Column) -> Column:
+def scale(length: Column) -> Column:
+    """What to divide by: nearly empty columns stay as they are."""
     return F.when(length < 1e-14, 1.0).otherwise(length)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.laws import Law
+from ..functions import arrays
+from ..functions.laws import Law, rate
 from ..functions.terms import Term, theta
-from ..operators import evolve, recovery, spectral
+from ..operators import noise, recovery, sampling, spectral
 from ..operators.summary import Summary, summarize
 from ..sources.tables import event_snapshots, table
 
@@ -41,39 +42,51 @@ def charge_summary(spark: SparkSession, sf_dir: str) -> Summary:
     return summarize(rows, names)
 
 
-def field_rows(snapshots: DataFrame, terms: Sequence[Term], law: dict[int, float], orders: Sequence[int]) -> DataFrame:
-    """theta and y at all grid points; y is what the law (coefficients by place in terms) says."""
+def field_points(snapshots: DataFrame, terms: Sequence[Term], orders: Sequence[int], keys: Sequence[str] = ("series", "j")) -> DataFrame:
+    """keys, i, u, d1 and so on, theta at all grid points of the snapshots."""
     wide = spectral.with_derivatives(snapshots, orders)
-    grid = spectral.points(wide, ["u", *[f"d{r}" for r in orders]], ["series", "j"])
-    rows = theta(grid, terms, "u", [f"d{r}" for r in orders])
-    y = reduce(lambda a, b: a + b, [F.lit(c) * F.col("theta")[i] for i, c in law.items()])
-    return rows.withColumn("y", y)
+    grid = spectral.points(wide, ["u", *[f"d{r}" for r in orders]], list(keys))
+    return theta(grid, terms, "u", [f"d{r}" for r in orders])
 
 
-def field_summary(spark: SparkSession, sf_dir: str, terms: Sequence[Term], law: dict[int, float], orders: Sequence[int]) -> Summary:
-    return summarize(field_rows(event_snapshots(spark, sf_dir), terms, law, orders), [t.name for t in terms])
+def field_rows(snapshots: DataFrame, terms: Sequence[Term], law: Law, orders: Sequence[int]) -> DataFrame:
+    """theta and y at all grid points; y is the rate that the law gives the field there."""
+    return field_points(snapshots, terms, orders).withColumn("y", rate(law, F.col("u"), [F.col(f"d{r}") for r in orders]))
 
 
-def smooth_starts(spark: SparkSession, sf_dir: str, modes: int = 4) -> DataFrame:
-    """series, j, u, unit: the first waves of the event fields, of unit spread and in the range from 0 to 1."""
-    grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
-    low = spectral.synthesis(spectral.fourier(grid, ["series", "j"], 64, modes), ["series", "j"], 64)
-    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("v"))  # 64 values
-    return rows.select("series", "j", evolve.standardised(F.col("v")).alias("u"), evolve.rescaled(F.col("v")).alias("unit"))
+def law_rows(snapshots: DataFrame, known: Mapping[str, Law], terms: Sequence[Term], orders: Sequence[int], level: float = 0.01, seed: int = 0) -> DataFrame:
+    """law, series, j, i, theta, y: every field under every law, its rates measured with noise.
+
+    The noise is level times a normal number, of a hash of law and place, times the size of the rate's own largest part at the place.
+    """
+    points = field_points(snapshots, terms, orders)
+    derivatives = [F.col(f"d{r}") for r in orders]
+    rates = F.array(*[F.struct(F.lit(name).alias("law"), rate(law, F.col("u"), derivatives).alias("y")) for name, law in known.items()])
+    rows = points.withColumn("_r", F.explode(rates)).select("_r.law", "series", "j", "i", "theta", F.col("_r.y").alias("y"))
+    drawn = noise.gauss(F.col("law"), F.col("series"), F.col("j"), F.col("i"), seed=seed)
+    return rows.withColumn("y", F.col("y") * (1 + level * drawn))
 
 
-def with_laws(starts: DataFrame, laws: Mapping[str, Law], unit: Sequence[str] = ()) -> DataFrame:
-    """law, series, j, u: every start under every law; those named in unit start in the range from 0 to 1."""
-    rows = starts.withColumn("law", F.explode(F.array(*map(F.lit, laws))))
-    return rows.select("law", "series", "j", F.when(F.col("law").isin(*unit), F.col("unit")).otherwise(F.col("u")).alias("u"))
+def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, **how: object) -> recovery.Recovery:
+    """The terms that explain rows of an id, theta and y, chosen on a sample of them and, with debias, fitted on all.
 
+    sampler: a name in sampling.SAMPLERS or a function like those. method: a name in recovery.METHODS, or "best subset".
+    """
+    some = summarize(sampling.sample(rows, sampler, samples, row_id, seed), names)
+    full = summarize(rows, names) if debias else None
+    if method == "best subset":
+        found = recovery.best_subset(rows.sparkSession, some, full=full, **how)
+    else:
+        found = recovery.identify(some, method, full=full, **how)
+    return recovery.refitted(found, full) if full else found
 
-def law_rows(starts: DataFrame, law: Law | Mapping[str, Law], end: float | Mapping[str, float], times: int, terms: Sequence[Term], orders: Sequence[int]) -> DataFrame:
-    """theta and y (the exact rate) at all points of the trajectories that start there."""
-    moved = spectral.with_derivatives(evolve.trajectories(starts, law, end, times), orders)
-    keys = [k for k in ("law", "series", "j", "m") if k in moved.columns]
-    grid = spectral.points(moved, ["u", "u_t", *[f"d{r}" for r in orders]], keys)
-    return theta(grid, terms, "u", [f"d{r}" for r in orders]).withColumnRenamed("u_t", "y")
+
+def smooth_fields(spark: SparkSession, sf_dir: str, modes: int = 4) -> DataFrame:
+    """series, j, u: the first waves of the event fields, with mean 0 and unit spread."""
+    grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
+    low = spectral.synthesis(spectral.fourier(grid, ["series", "j"], 64, modes), ["series", "j"], 64)
+    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("v"))  # 64 values
+    return rows.select("series", "j", arrays.standardised(F.col("v")).alias("u"))
 
 
 def found_terms(spark: SparkSession, found: recovery.Recovery) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,10 +15,16 @@ from ..operators import recovery
 from ..operators.summary import Summary
 
 
+#: Rows of an axis of a grid, but the first, at most.
+AXIS = 100_000
+
+
 def grid(*axes: DataFrame) -> DataFrame:
-    """All combinations of the axes, each a small table of distinct values."""
+    """All combinations of the axes. All but the first are small tables of distinct values, which is checked, and go to the tasks as they are."""
     out = axes[0]
     for axis in axes[1:]:
+        if axis.limit(AXIS + 1).count() > AXIS:
+            raise ValueError(f"an axis has over {AXIS} rows")
         out = out.crossJoin(F.broadcast(axis))
     return out
 
@@ -30,51 +36,66 @@ def group_factors(rows: DataFrame, keys: Sequence[str], names: Sequence[str], sa
 
     def triangle(block: np.ndarray) -> np.ndarray:
         r = np.linalg.qr(block, mode="r")
-        return np.vstack([r, np.zeros((width - len(r), width))]).ravel()
+        return np.vstack([r, np.zeros((width - len(r), width))])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One triangle for each group that a task meets, or a few where it meets very many groups."""
-        part, held = TaskContext.get().partitionId() % salt, {}
+        """Rows come sorted by key, so a task holds the triangle of one group only."""
+        part = TaskContext.get().partitionId() % salt
+        last, n, held = None, 0, np.zeros((0, width))
+        done: list[tuple] = []
 
         def out() -> pd.DataFrame:
-            rows = [(*key, part, n, block.ravel()) for key, (n, block) in held.items()]
+            rows = [(*key, part, n, block.ravel()) for key, n, block in done]
+            done.clear()
             return pd.DataFrame(rows, columns=[*keys, "_salt", "n", "factor"])
 
         for pdf in frames:
-            for key, own in pdf.groupby(list(keys), dropna=False):
+            for key, own in pdf.groupby(list(keys), sort=False, dropna=False):
+                if last is not None and key != last:
+                    done.append((last, n, triangle(held)))
+                    n, held = 0, np.zeros((0, width))
                 block = np.column_stack([np.stack(own["theta"].to_numpy()), own["y"]])
-                n, before = held.get(key, (0, np.zeros((0, width))))
-                held[key] = n + len(own), triangle(np.vstack([before, block])).reshape(width, width)
-            if len(held) > 500:
+                held, n, last = np.vstack([held, block]), n + len(own), key
+                if len(held) > 4 * width:
+                    held = triangle(held)
+            if len(done) > 500:
                 yield out()
-                held.clear()
-        if held:
+        if last is not None:
+            done.append((last, n, triangle(held)))
             yield out()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks = np.vstack([np.asarray(f).reshape(width, width) for f in pdf["factor"]])
-        return pdf.iloc[:1].assign(n=int(pdf["n"].sum()), factor=[triangle(blocks)])
+        return pdf.iloc[:1].assign(n=int(pdf["n"].sum()), factor=[triangle(blocks).ravel()])
 
     schema = f"{kinds}, _salt int, n long, factor array<double>"
-    parts = rows.select(*keys, "theta", "y").mapInPandas(partial, schema)
+    parts = rows.select(*keys, "theta", "y").sortWithinPartitions(*keys).mapInPandas(partial, schema)
     salted = parts.groupBy(*keys, "_salt").applyInPandas(merge, schema)
     return salted.groupBy(*keys).applyInPandas(merge, schema).drop("_salt")
 
 
-def identify_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], method: str = "ccp", **how: object) -> DataFrame:
-    """keys and the fields of a result: the terms found for each group of rows with theta and y."""
+def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], function: Callable[[Summary], Sequence[object]], schema: str) -> DataFrame:
+    """keys and the columns of schema: what a function makes of the Summary of each group of rows with theta and y."""
     factors, width = group_factors(rows, keys, names), len(names) + 1
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def fit(frames):
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                found = recovery.identify(Summary(np.asarray(row.factor).reshape(width, width), row.n, tuple(names)), method, **how)
-                out.append((*[getattr(row, k) for k in keys], list(found.names), list(found.coefficients), found.residual))
-            yield pd.DataFrame(out, columns=[*keys, "names", "coefficients", "residual"])
+            found = [(*[getattr(row, k) for k in keys], *function(Summary(np.asarray(row.factor).reshape(width, width), row.n, tuple(names)))) for row in pdf.itertuples(index=False)]
+            yield pd.DataFrame(found, columns=[*keys, *columns])
+
+    return factors.mapInPandas(fit, f"{kinds}, {schema}")
+
 
-    return factors.mapInPandas(fit, f"{kinds}, names array<string>, coefficients array<double>, residual double")
+def identify_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], method: str = "ccp", **how: object) -> DataFrame:
+    """keys and the fields of a result: the terms found for each group of rows with theta and y."""
+
+    def fit(s: Summary) -> tuple:
+        found = recovery.identify(s, method, **how)
+        return list(found.names), list(found.coefficients), found.residual
+
+    return of_groups(rows, keys, names, fit, "names array<string>, coefficients array<double>, residual double")
 
 
 def scored(results: DataFrame, true: Sequence[str]) -> DataFrame:
@@ -88,5 +109,3 @@ def success(results: DataFrame, row: str, column: str, values: Sequence[object],
 
 def mean_time(results: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
     return results.groupBy(*keys).agg(F.coalesce(F.avg(seconds), F.lit(0.0)).alias("seconds"))
-
-

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def pending(specs: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> DataFrame:
@@ -26,3 +27,12 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
 def append(results: DataFrame, path: str, *partitions: str) -> None:
     writer = results.write.mode("append")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+
+def store(frame: DataFrame, path: str, *partitions: str) -> DataFrame:
+    """frame as a table at path, written unless it is there already, in folders by the partitions' values; rows and columns are read again from it."""
+    there = load(frame.sparkSession, path)
+    if there is None:
+        append(frame, path, *partitions)
+        there = frame.sparkSession.read.parquet(path)
+    return there.select([F.col(f.name).cast(f.dataType) if f.name in partitions else F.col(f.name) for f in frame.schema.fields])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +32,18 @@ def event_snapshots(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
     """Trajectories of the event types: hundreds of value units an hour."""
     events = table(spark, sf_dir, "events")
     return snapshots(trajectory_grid(events, "event_type", event_hour(), F.col("value") / 100, n), n)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables").rstrip("/")
+
+
+def temporary(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that is removed when the application ends."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/rows"

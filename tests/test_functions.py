@@ -70,6 +70,51 @@ def test_splines(spark, degree):
         splines.design(points, "id", F.col("x"), degree, degree)
 
 
+def derived(x, knots, k, i, m):
+    """The m-th derivative, by the rule for differences."""
+    if m == 0:
+        return bspline(x, knots, k, i) if all(knots[i + k] > knots[i] for _ in (0,)) or k == 0 else 0.0
+    over = lambda v, w: v / w if w else 0.0
+    return k * (over(derived(x, knots, k - 1, i, m - 1), knots[i + k] - knots[i]) - over(derived(x, knots, k - 1, i + 1, m - 1), knots[i + k + 1] - knots[i + 1]))
+
+
+@pytest.mark.parametrize("degree, derivative", [(0, 0), (1, 0), (1, 1), (2, 1), (3, 0), (3, 2), (5, 3), (2, 3)])
+def test_uneven_knots(spark, degree, derivative):
+    knots = [0.0, 0.4, 0.5, 1.1, 1.7, 1.8, 2.6, 3.0, 3.3, 4.1, 4.2, 5.0, 5.5, 6.1]
+    n, low, high = len(knots) - degree - 1, knots[degree], knots[len(knots) - degree - 1]
+    xs = [low, low + 0.01, (low + high) / 2, high - 0.3, high - 1e-9]
+    points = spark.createDataFrame([*enumerate(xs), (98, None), (99, float("nan"))], "id int, x double")
+    got = np.zeros((len(xs), n))
+    for r in splines.on_knots(points, "id", F.col("x"), knots, degree, derivative).collect():
+        got[r.row, r.col] += r.val
+    want = np.array([[0.0 if derivative > degree else derived(x, knots, degree, i, derivative) for i in range(n)] for x in xs])
+    assert got == pytest.approx(want, abs=1e-7)
+    around = spark.createDataFrame([(0, xs[1] + 3 * (high - low))], "id int, x double")
+    wrapped = {r.col: r.val for r in splines.on_knots(around, "id", F.col("x"), knots, degree, derivative, outside="wrap").collect()}
+    assert all(wrapped.get(i, 0) == pytest.approx(want[1][i], abs=1e-6) for i in range(n))
+    with pytest.raises(Exception, match="outside the knots"):
+        splines.on_knots(around, "id", F.col("x"), knots, degree).collect()
+    if degree < 3 and derivative <= degree:
+        assert splines.on_knots(around, "id", F.col("x"), knots, degree, derivative, outside="extrapolate").count() == degree + 1
+
+
+def test_ends_and_checks(spark):
+    """At repeated end knots the first and the last spline are one; wrong knots are refused."""
+    points = spark.createDataFrame([(0, 0.0), (1, 1.0)], "id int, x double")
+    got = {(r.row, r.col): r.val for r in splines.on_knots(points, "id", F.col("x"), [0, 0, 0, 0.5, 1, 1, 1], 2).collect()}
+    assert got[0, 0] == pytest.approx(1) and got[1, 3] == pytest.approx(1)
+    for knots, degree in (([0, 1, 2], 1), ([0, 2, 1, 3], 1), ([0, 0, 0, 0], 1), ([0, 1], -1)):
+        with pytest.raises(ValueError):
+            splines.on_knots(points, "id", F.col("x"), knots, degree)
+    with pytest.raises(ValueError):
+        splines.on_knots(points, "id", F.col("x"), [0, 1], 0, outside="ignore")
+
+
+def test_flags(spark):
+    row = spark.createDataFrame([(["p", "q"], [2.0, -0.01])], "n array<string>, c array<double>").select(metrics.flagged(F.col("n"), F.col("c"), F.array(F.lit("p"))).alias("f"), metrics.significant(F.col("c")).alias("s")).first()
+    assert [(x.term, x.right, x.line) for x in row.f] == [("p", True, "                   p: +2.000000"), ("q", False, "                   q: -0.010000")] and row.s == [0]
+
+
 def test_kronecker(spark):
     rng = np.random.default_rng(0)
     a, b = rng.random((2, 3)), rng.random((3, 2))
