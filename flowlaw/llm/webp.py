@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +25,6 @@ CACHE_FACTOR = 0x1E35A7BD
 BLACK = 0xFF000000
 #: Longest code that the encoder uses; short codes make small tables.
 MAX_CODE = 11
-#: Pictures up to so many pixels are written with one fixed code, which fits text.
-FIXED_CODE_PIXELS = 1 << 13
 
 
 def plane_codes() -> list[tuple[int, int]]:
@@ -231,6 +230,20 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     return np.array(out, np.uint32)
 
 
+def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    """Places of pixels in the colour cache."""
+    return (pixels.astype(np.uint32) * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def last_same(keys: np.ndarray) -> np.ndarray:
+    """The place of the last equal key before each, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1)
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
 def channels(pixels: np.ndarray) -> np.ndarray:
     """Flat pixels as rows of blue, green, red, alpha samples."""
     return pixels.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -308,14 +321,16 @@ def predict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bloc
     """The residuals that unpredict() turns back."""
     rows = channels(pixels).astype(np.int32).reshape(height, width, 4)
     out = rows.copy()
-    across = -(-width >> block)
-    modes = (modes >> np.uint32(8) & np.uint32(15)).reshape(-1, across)
+    kinds = _spread(modes >> np.uint32(8) & np.uint32(15), width, height, block).reshape(height, width)[1:, 1:]
     out[0, 0] -= (0, 0, 0, 255)
     out[0, 1:] -= rows[0, :-1]
     out[1:, 0] -= rows[:-1, 0]
-    for y in range(1, height):
-        for x in range(1, width):
-            out[y, x] -= _predicted(int(modes[y >> block, x >> block]), *_neighbours(rows, x, y))
+    if height > 1 and width > 1:
+        over = np.concatenate([rows[:-1, 2:], rows[1:, :1]], 1)  # of a row's last pixel the next row's first one
+        around = rows[1:, :-1], rows[:-1, 1:], over, rows[:-1, :-1]
+        for mode in np.unique(kinds).tolist():
+            here = kinds == mode
+            out[1:, 1:][here] -= _predicted(mode, *(x[here] for x in around))
     return (out & 255).reshape(-1, 4).astype(np.uint8).view("<u4").ravel()
 
 
@@ -534,21 +549,38 @@ def _put_code(out: Writer, lengths: np.ndarray) -> None:
     out.put(*_stored_code(lengths.tobytes()))
 
 
-@lru_cache(maxsize=2)
+#: What a code of a picture's own must save of the fixed one's bits to be worth its making and reading.
+WORTH = 0.35
+
+
+@lru_cache(maxsize=32)
 def fixed_code(alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, codes and sizes of a code for text in UTF-8, by a rule: letters by rank, the rest by kind."""
-    weights = np.full(256, 2, np.int64)
-    weights[0x20:0x7F] = 30
-    weights[0x80:0xC0] = 60
-    weights[0xC2:0xD2] = 40
-    weights[0x0A], weights[0xC3] = 120, 300
-    for rank, letter in enumerate(b" etnioahrsdlcumgbpfwyvk,."):
-        weights[letter] = 60_000 // (rank * rank + 6 * rank + 30)
-    lengths = np.pad(code_lengths(weights), (0, alphabet - 256))
+    """Lengths, codes and sizes of a code for text in UTF-8, by a rule: letters by rank, the rest by kind.
+
+    Behind the 256 samples the alphabet may have 24 lengths and the colour cache; one of 40 is that of distances.
+    """
+    if alphabet == 40:
+        weights = np.full(40, 2, np.int64)
+        weights[8:24] = 12
+    else:
+        weights = np.full(256, 2, np.int64)
+        weights[0x20:0x7F] = 30
+        weights[0x80:0xC0] = 60
+        weights[0xC2:0xD2] = 40
+        weights[0x0A], weights[0xC3] = 120, 300
+        for rank, letter in enumerate(b" etnioahrsdlcumgbpfwyvk,."):
+            weights[letter] = 60_000 // (rank * rank + 6 * rank + 30)
+        if alphabet > 280:
+            weights = np.concatenate([weights, np.full(24, 24), np.full(alphabet - 280, int(weights.sum()) // (2 * (alphabet - 280)))])
+    lengths = np.pad(code_lengths(weights), (0, alphabet - len(weights)))
     return lengths, *encoding_table(lengths)
 
 
-NO_DISTANCES = code_lengths(np.zeros(40, np.int64))
+@lru_cache(maxsize=32)
+def _fixed_lengths(alphabet: int) -> tuple[np.ndarray, int]:
+    """The fixed code's length of each symbol, as no bits count where it has none, and how many bits store it."""
+    lengths = fixed_code(alphabet)[0]
+    return np.where(lengths > 0, lengths, 1 << 20).astype(np.int64), _stored_code(lengths.tobytes())[1]
 
 
 def _split(value: int) -> tuple[int, int, int]:
@@ -560,83 +592,170 @@ def _split(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + (value >> extra & 1), value & ((1 << extra) - 1), extra
 
 
-def _tokens(pixels: list[int], width: int, cache_bits: int, references: bool) -> list[tuple]:
-    """('p', pixel), ('c', cache index) or ('r', length, stored distance) in order."""
-    short = {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(PLANE)))}
-    cache, seen, out, n = [0] * (1 << cache_bits), {}, [], 0
-    while n < len(pixels):
-        run = 0
-        at = seen.get(tuple(pixels[n : n + 3]))
-        if references and at is not None and n + 3 <= len(pixels):
-            while n + run < len(pixels) and run < 4096 and pixels[at + run] == pixels[n + run]:
-                run += 1
-        slot = (CACHE_FACTOR * pixels[n] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        if run >= 3:
-            out.append(("r", run, short.get(n - at, n - at + 120)))
+#: Longest run of a back-reference that the encoder writes.
+RUN = 4096
+
+
+def _matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, run, distance) of back-references of three pixels and more, from left to right."""
+    n = len(pixels)
+    if n < 4:
+        return []
+    wide = pixels.astype(np.uint64)
+    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:]
+    before = last_same(key)
+    here = np.flatnonzero(before >= 0)
+    for k in range(3):
+        here = here[pixels[here + k] == pixels[before[here] + k]]
+    out, free = [], 0
+    for at, source in zip(here.tolist(), before[here].tolist()):
+        if at < free:
+            continue
+        run, most = 3, min(RUN, n - at)
+        while run < most:
+            chunk = min(64 if run < 64 else RUN, most - run)
+            differs = pixels[source + run : source + run + chunk] != pixels[at + run : at + run + chunk]
+            if differs.any():
+                run += int(differs.argmax())
+                break
+            run += chunk
+        out.append((at, run, at - source))
+        free = at + run
+    return out
+
+
+@dataclass
+class Tokens:
+    """Tokens of a picture in order: the symbols of the first code, the samples and which of them are written, and the back-references.
+
+    refs: rows of a token's place and, for its length and its distance, symbol, value and number of the extra bits.
+    """
+
+    green: np.ndarray
+    samples: np.ndarray
+    single: np.ndarray | None
+    refs: np.ndarray
+    cache_bits: int
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each symbol of the five codes occurs."""
+        own = self.samples if self.single is None else self.samples[self.single]
+        rest = [np.bincount(own[:, k], minlength=256) for k in (2, 0, 3)]
+        return [np.bincount(self.green, minlength=280 + (1 << self.cache_bits if self.cache_bits else 0)), *rest, np.bincount(self.refs[:, 4], minlength=40)]
+
+    def extra_bits(self) -> int:
+        return int(self.refs[:, 3].sum() + self.refs[:, 6].sum())
+
+
+NO_REFS = np.zeros((0, 7), np.int64)
+
+
+def tokens(pixels: np.ndarray, width: int, cache_bits: int = 0, references: bool = False) -> Tokens:
+    """A picture's tokens: single pixels, ones that the colour cache holds, and back-references."""
+    samples, single, refs = channels(pixels), None, NO_REFS
+    green = samples[:, 1].astype(np.int16)
+    if cache_bits:
+        slot = slots(pixels, cache_bits)
+        before = last_same(slot)
+        hit = (before >= 0) & (pixels[before] == pixels)
+        green[hit] = 280 + slot[hit]
+        single = ~hit
+    found = _matches(pixels) if references else []
+    if found:
+        short, keep = _short_distances(width), np.ones(len(pixels), bool)
+        single = np.ones(len(pixels), bool) if single is None else single
+        rows = []
+        for at, run, distance in found:
+            keep[at + 1 : at + run] = False
+            rows.append((at, *_split(run), *_split(short.get(distance, distance + 120))))
+        refs = np.array(rows, np.int64)
+        green[refs[:, 0]] = 256 + refs[:, 1]
+        single[refs[:, 0]] = False
+        refs[:, 0] = np.cumsum(keep)[refs[:, 0]] - 1
+        green, samples, single = green[keep], samples[keep], single[keep]
+    return Tokens(green, samples, single, refs, cache_bits)
+
+
+@lru_cache(maxsize=16)
+def _short_distances(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(PLANE)))}
+
+
+def _own_bits(counts: np.ndarray) -> float:
+    """About how many bits a code of its own takes, with what it takes to store it."""
+    used = counts[counts > 0].astype(float)
+    if len(used) < 2:
+        return 4.0
+    return float((used * np.log2(used.sum() / used)).sum()) + 5.5 * len(used) + 60
+
+
+def fixed_bits(counts: list[np.ndarray]) -> float:
+    """The bits that tokens with such counts take in the fixed codes, and these themselves; a single symbol takes none but to say which it is."""
+    total = 0
+    for count in counts:
+        if np.count_nonzero(count) < 2:
+            total += 12
         else:
-            run = 1
-            out.append(("c", slot) if cache_bits and cache[slot] == pixels[n] else ("p", pixels[n]))
-        for i in range(n, n + run):
-            seen[tuple(pixels[i : i + 3])] = i
-            if cache_bits:
-                cache[(CACHE_FACTOR * pixels[i] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[i]
-        n += run
+            lengths, stored = _fixed_lengths(len(count))
+            total += int(count @ lengths) + stored
+    return float(total)
+
+
+def plan(counts: list[np.ndarray]) -> list[bool]:
+    """Which of the codes for tokens with such counts are the fixed one: all whose own would not save WORTH of it."""
+    out = []
+    for count in counts:
+        lengths, stored = _fixed_lengths(len(count))
+        out.append((1 - WORTH) * (float(count @ lengths) + stored) < _own_bits(count))
     return out
 
 
-def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int = 0, references: bool = False) -> None:
-    out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
+def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool = False, cache_bits: int = 0, references: bool = False, made: Tokens | None = None) -> None:
+    """Tokens, the picture's own if they are not given, behind their codes."""
+    made = made or tokens(pixels, width, cache_bits, references)
+    out.put(1 | made.cache_bits << 1 if made.cache_bits else 0, 5 if made.cache_bits else 1)
     if main:
         out.put(0, 1)
-    greens = 280 + (1 << cache_bits if cache_bits else 0)
-    if not cache_bits and not references:
-        samples = channels(pixels)
-        values, sizes = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.int64)
-        for k in (1, 2, 0, 3):
-            own = samples[:, k]
-            alphabet = greens if k == 1 else 256
-            if main and len(pixels) <= FIXED_CODE_PIXELS and width >= 16:
-                lengths, codes, bits = fixed_code(alphabet)
-            else:
-                lengths = code_lengths(np.bincount(own, minlength=alphabet))
-                codes, bits = encoding_table(lengths)
-            _put_code(out, lengths)
-            values |= codes[own].astype(np.uint64) << sizes.astype(np.uint64)
-            sizes += bits[own]
-        _put_code(out, NO_DISTANCES)
-        out.put_many(values, sizes)
-        return
-    tokens = _tokens(pixels.tolist(), width, cache_bits, references)
-    counts = [np.zeros(n, np.int64) for n in (greens, 256, 256, 256, 40)]
-    for t in tokens:
-        if t[0] == "p":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                counts[k][t[1] >> shift & 255] += 1
-        elif t[0] == "c":
-            counts[0][280 + t[1]] += 1
-        else:
-            counts[0][256 + _split(t[1])[0]] += 1
-            counts[4][_split(t[2])[0]] += 1
-    lengths = [code_lengths(c) for c in counts]
-    for x in lengths:
-        _put_code(out, x)
-    tables = [encoding_table(x) for x in lengths]
-    put = lambda k, s: out.put(tables[k][0][s], tables[k][1][s])
-    for t in tokens:
-        if t[0] == "p":
-            for k, shift in enumerate((8, 16, 0, 24)):
-                put(k, t[1] >> shift & 255)
-        elif t[0] == "c":
-            put(0, 280 + t[1])
-        else:
-            for k, base, value in ((0, 256, t[1]), (4, 0, t[2])):
-                symbol, extra, n = _split(value)
-                put(k, base + symbol)
-                out.put(extra, n)
+    counts, tables = made.counts(), []
+    for count, fixed in zip(counts, plan(counts)):
+        lengths, codes, sizes = fixed_code(len(count)) if fixed else (lambda x: (x, *encoding_table(x)))(code_lengths(count))
+        _put_code(out, lengths)
+        tables.append((codes.astype(np.uint64), sizes))
+    values, sizes = tables[0][0][made.green], tables[0][1][made.green]
+    for (code, size), k in zip(tables[1:4], (2, 0, 3)):
+        own = made.samples[:, k]
+        values |= (code[own] if made.single is None else code[own] * made.single) << sizes.astype(np.uint64)
+        sizes = sizes + (size[own] if made.single is None else size[own] * made.single)
+    if len(made.refs):  # behind a length's symbol are its extra bits, the distance's symbol, and its extra bits
+        at, _, more, n, far, far_more, far_n = made.refs.T
+        for value, size in ((more, n), (tables[4][0][far], tables[4][1][far]), (far_more, far_n)):
+            values[at] |= value.astype(np.uint64) << sizes[at].astype(np.uint64)
+            sizes[at] += size
+    out.put_many(values, sizes)
+
+
+def smallest(picture: np.ndarray) -> bytes:
+    """The file that is smallest, as far as the fixed codes tell: of single pixels, of the colour cache with back-references, or of a palette."""
+    height, width = picture.shape
+    pixels = picture.astype(np.uint32).ravel()
+    plain, short = tokens(pixels, width), tokens(pixels, width, 8, True)
+    choices = [(fixed_bits(plain.counts()), {"made": plain}), (fixed_bits(short.counts()) + short.extra_bits(), {"made": short})]
+    ordered = np.sort(pixels)
+    colours = ordered[np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))]
+    if len(colours) <= 256:
+        packed = tokens(to_palette(pixels, colours, width, height), -(-width >> _packing(len(colours))), 0, True)
+        own = sum(map(_own_bits, packed.counts())) + packed.extra_bits() + fixed_bits(tokens(_deltas(colours), len(colours)).counts())
+        choices.append((own, {"palette": True, "references": True}))
+    return encode(picture, **min(choices, key=lambda x: x[0])[1])
+
+
+def _deltas(colours: np.ndarray) -> np.ndarray:
+    """A palette as it is stored, each colour less the one before."""
+    return np.diff(channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8).view("<u4").ravel()
 
 
-def encode(picture: np.ndarray, palette: bool | None = None, green: bool = False, modes: np.ndarray | None = None, elements: np.ndarray | None = None, block: int = 2, cache_bits: int = 0, references: bool = False) -> bytes:
-    """A lossless WebP file of the picture (height, width). palette None: if there are few colours."""
+def encode(picture: np.ndarray, palette: bool = False, green: bool = False, modes: np.ndarray | None = None, elements: np.ndarray | None = None, block: int = 2, cache_bits: int = 0, references: bool = False, made: Tokens | None = None) -> bytes:
+    """A lossless WebP file of the picture (height, width) with these transforms and tokens. made are those of a picture without transforms."""
     height, width = picture.shape
     if not (0 < height <= 1 << 14 and 0 < width <= 1 << 14):
         raise ValueError("a side must have 1 to 16384 pixels")
@@ -655,17 +774,15 @@ def encode(picture: np.ndarray, palette: bool | None = None, green: bool = False
         write_pixels(out, elements.astype(np.uint32).ravel(), -(-width >> block))
         pixels = cross_colour(pixels, elements.astype(np.uint32).ravel(), width, height, block, -1)
     wide = width
-    if palette or palette is None and len(pixels) <= 64:
+    if palette:
         colours = np.unique(pixels)
-        if palette or len(colours) <= 16:
-            if len(colours) > 256:
-                raise ValueError("a palette holds 256 colours")
-            out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
-            deltas = np.diff(channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-            write_pixels(out, deltas.view("<u4").ravel(), len(colours))
-            pixels, wide = to_palette(pixels, colours, width, height), -(-width >> _packing(len(colours)))
+        if len(colours) > 256:
+            raise ValueError("a palette holds 256 colours")
+        out.put(1 | PALETTE << 1 | (len(colours) - 1) << 3, 11)
+        write_pixels(out, _deltas(colours), len(colours))
+        pixels, wide = to_palette(pixels, colours, width, height), -(-width >> _packing(len(colours)))
     out.put(0, 1)
-    write_pixels(out, pixels, wide, True, cache_bits, references)
+    write_pixels(out, pixels, wide, True, cache_bits, references, made)
     body = b"\x2f" + out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk

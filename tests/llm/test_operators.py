@@ -86,6 +86,8 @@ def test_webp_features():
             how |= {"modes": rng.integers(0, 14, side), "elements": rng.integers(0, 2**24, side) | 0xFF000000}
         else:
             how["palette"] = True
+        if trial % 4 == 0:
+            picture[:] = picture[0]  # rows that repeat
         assert (webp.decode(webp.encode(picture, **how)) == picture).all()
     assert len(set(webp.PLANE)) == 120 and webp.PLANE[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and webp.PLANE[-1] == (8, 7)
     with pytest.raises(ValueError):
@@ -509,3 +511,53 @@ def test_repetition(docs, none):
         rolled = repetition.rolling(ids, n)
         assert len(rolled) == len(ids) - n + 1
         assert all((rolled[i] == rolled[j]) == (tuple(ids[i : i + n]) == tuple(ids[j : j + n])) for i in range(len(rolled)) for j in range(len(rolled)))
+
+
+def test_media_meets_every_branch(monkeypatch):
+    """Over the documents of sf0.01 the decoder inverts every transform and predictor, and reads both kinds of codes, the cache, and references."""
+    import pyarrow.parquet as pq
+
+    met = Counter()
+
+    def counted(name, note):
+        old = getattr(webp, name)
+
+        def run(*args, **how):
+            note(*args)
+            return old(*args, **how)
+
+        monkeypatch.setattr(webp, name, run)
+
+    counted("unpredict", lambda residuals, width, height, modes, block: met.update(f"predictor {m}" for m in np.unique(modes >> 8 & 15).tolist()))
+    counted("cross_colour", lambda *a: met.update(["cross colour"] if a[5] > 0 else []))
+    counted("add_green", lambda pixels, sign: met.update(["green"] if sign > 0 else []))
+    counted("from_palette", lambda *a: met.update(["palette"]))
+    counted("_prefixed", lambda bits, code: met.update(["reference"]))
+    counted("_parse_code", lambda *a: met.update(["code"]))
+    old_plan = webp.plan
+
+    def plan(counts):
+        found = old_plan(counts)
+        met.update("fixed" if f else "own" for f in found[:4])
+        met["cache"] += int(counts[0][280:].sum() > 0)
+        return found
+
+    monkeypatch.setattr(webp, "plan", plan)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text in texts:
+        data = media.pad((text or "").encode())
+        assert media.load(media.store(data), len(data))[0] == data
+    assert not {"cross colour", "green", "reference", "code", "fixed", "own", "cache", "palette", *(f"predictor {m}" for m in range(14))} - set(met), met
+
+
+def test_media_smallest():
+    """Of the ways without transforms, the one that is taken is hardly ever longer than another."""
+    rng = np.random.default_rng(1)
+    texts = [b"the cat sat on the mat " * 40, bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), b"x" * 2000, ("größer " * 90 + "end").encode(), b"ab" * 16, b"one"]
+    for text in texts:
+        picture = media.to_picture(media.pad(text))
+        made = webp.smallest(picture)
+        others = [webp.encode(picture), webp.encode(picture, cache_bits=8, references=True)]
+        if len(np.unique(picture)) <= 256:
+            others.append(webp.encode(picture, palette=True, references=True))
+        assert (webp.decode(made) == picture).all() and len(made) <= min(map(len, others)) * 1.3 + 40
