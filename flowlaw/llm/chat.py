@@ -149,11 +149,12 @@ def gather(rows: DataFrame) -> DataFrame:
 
     A user and an assistant turn make a prompt record, with a system turn before them an instruction
     record, anything else a list of messages. Rows of a conversation are put in order by turn, then
-    role and text; null roles and texts count as empty; rows without conv_id make one conversation.
+    role and text; null roles and texts count as empty; of rows without conv_id, as nothing joins them, each makes a conversation of its own.
     given is the layout and turns of those whose record is longer than LONG, null for others.
     """
     value = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(value)).alias("t"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.withColumn("_lone", lone).groupBy("conv_id", "_lone").agg(F.sort_array(F.collect_list(value)).alias("t"))
     text = lambda i: F.get("t", F.lit(i))["content"]
     roles = F.array_join("t.role", ",")
     pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
@@ -183,7 +184,11 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digests of all conversations of the data set, and of one that is made of control strings."""
+    """The digests of all conversations of the data set, and of one that is made of control strings.
+
+    Null texts and roles are empty. Rows are in order by turn, ties by role and text; repeated rows are turns of their own, and rows without a conv_id
+    conversations of their own. Texts of any length are kept whole, other columns are not read. Without rows there is the added conversation only.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     odd = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))

@@ -114,36 +114,64 @@ def copies(items: DataFrame, seed: int = 2, chunk: int = CHUNK) -> DataFrame:
     return reduce(DataFrame.union, decided)
 
 
+#: Tasks over which the repeated rows of one key are dealt.
+SALT = 64
+
+
+def _mark(text: Column) -> Column:
+    """Tells texts of rows with one doc_id, source and size apart."""
+    return F.xxhash64(text)
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to most) and rows, for each (doc_id, source, size).
+    """doc_id, source, size, mark (the text's hash), source_size, target, copies, more and rows, for each (doc_id, source, size, mark).
 
-    docs: doc_id, text, source. size is the number of words (null text: 0). Rows that agree in all
-    three are one item of rows times the size, and share its copies. Items without words get the
+    docs: doc_id, text, source. size is the number of words (null text: 0). Of the rows that agree in all
+    four, more get a copy beyond copies; at most one row's fraction an item is drawn, so that any number of repeated rows comes near its share. Items without words get the
     whole part of their source's ratio. Null doc_ids and sources are values like others. No rows: none.
     """
-    sized = docs.select("doc_id", "source", words(text_or_empty()).alias("size"))
-    found = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    text = text_or_empty()
+    sized = docs.select("doc_id", "source", words(text).alias("size"), _mark(text).alias("mark"))
+    found = cut(sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("rows")))
     totals = found.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     aims = small(cut(targets(totals, share, most, weights).withColumnRenamed("source", "s")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    found = found.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("int"))
-    found = found.withColumn("k", F.struct("doc_id", "size", "rows")).withColumn("w", (F.col("size") * F.col("rows")).cast("double"))
-    split = (F.col("w") > 0) & (F.col("ratio") > F.col("whole"))
-    up = copies(found.filter(split).withColumn("m", F.col("w") * (F.col("ratio") - F.col("whole"))), seed)
-    back = up.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("ratio", ratio)
-    columns = ["k.doc_id", "source", "k.size", "source_size", "target", (F.floor("ratio") + F.col("up")).cast("int").alias("copies"), "k.rows"]
-    return back.select(*columns).union(found.filter(~split).withColumn("up", F.lit(0)).select(*columns))
+    aimed = lambda df: df.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("copies", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio))
+    sure = F.when(F.col("size") > 0, F.floor(F.col("part") * F.col("rows"))).otherwise(0)
+    found = aimed(found).withColumn("more", sure.cast("long")).withColumn("rest", F.when(F.col("size") > 0, F.col("part") * F.col("rows") - F.col("more")).otherwise(0.0))
+    found = found.withColumn("k", F.struct("doc_id", "size", "mark", "rows"))
+    up = copies(found.filter("rest > 0").select("source", "k", F.col("size").cast("double").alias("w"), (F.col("size") * F.col("rest")).alias("m")), seed)
+    back = aimed(up.select("source", "up", "k.*")).withColumn("more", (F.floor(F.col("part") * F.col("rows")) + F.col("up")).cast("long"))
+    columns = ["doc_id", "source", "size", "mark", "source_size", "target", "copies", "more", "rows"]
+    return back.select(*columns).union(found.filter("NOT rest > 0").select(*columns))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs."""
-    found = mix(docs).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_i"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+    """doc_id, size, source_size, target, taken for each row of docs; of rows that are alike the first ones get the copies that not all can have."""
+    each = mix(docs).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    taken = (F.col("copies") + F.when(F.col("_i") <= F.col("more"), 1).otherwise(0)) * F.col("size")
+    return each.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it."""
-    found = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_n"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").alias("_b"), words(text_or_empty()).alias("_c"))
-    taken = rows.join(found, F.col("_a").eqNullSafe(F.col("_d")) & F.col("_b").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_z")))
+    """docs, with all columns in their order, with every row repeated as often as the mix takes it.
+
+    Null texts count as empty, null ids and sources are values like others, long texts count whole. Rows that are alike are dealt
+    over tasks and numbered there, so that exactly as many of them as the mix says get one copy more. No rows: none.
+    """
+    found = mix(docs, **how).filter("copies > 0 OR more > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("mark").alias("_m"), F.col("copies").alias("_n"), F.col("more").alias("_more"), F.col("rows").alias("_rows"))
+    text = text_or_empty()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").alias("_b"), words(text).alias("_c"), _mark(text).alias("_e"))
+    both = rows.join(found, F.col("_a").eqNullSafe(F.col("_d")) & F.col("_b").eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_z")) & (F.col("_e") == F.col("_m")))
+    # All of them, or none, get one more copy: nothing to number.
+    plain = both.filter("_more = 0 OR _more >= _rows").select("_row", F.when(F.col("_more") > 0, F.col("_n") + 1).otherwise(F.col("_n")).alias("_n"))
+    some = cut(both.filter("_more > 0 AND _more < _rows").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT))))
+    key = ["_d", "_s", "_z", "_m"]
+    counts = some.groupBy(*key, "_salt").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))  # SALT rows a key
+    starts = counts.select(*[F.col(c).alias(f"_s{c}") for c in (*key, "_salt")], F.coalesce(before, F.lit(0)).alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in (*key, "_salt")]
+    numbered = some.withColumn("_i", F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("_salt"))).join(starts, reduce(lambda a, b: a & b, same))
+    dealt = numbered.select("_row", F.when(F.col("_start") + F.col("_i") <= F.col("_more"), F.col("_n") + 1).otherwise(F.col("_n")).alias("_n"))
+    taken = plain.union(dealt).filter("_n > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -56,10 +56,10 @@ def chat() -> str:
     odd = "</s>[INST] ok [/INST]"
     return f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '{odd}' UNION ALL SELECT -7, 1, 'assistant', '{odd}'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{odd}', NULL UNION ALL SELECT -7, 1, 'assistant', '{odd}', NULL),
 c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum({marks} + length({role}) + length({text})) AS size FROM t GROUP BY conv_id)
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum({marks} + length({role}) + length({text})) AS size FROM t GROUP BY conv_id, lone)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM c"""
 
 

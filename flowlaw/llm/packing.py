@@ -132,9 +132,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, size: int = GROU
     found = cut(pieces(docs, tokenizer, window))
     n = found.count()
     groups = max(1, -(-n // size))
-    # Pieces of one document, and repeated rows, may meet in any group: the hash takes all of a piece's columns.
+    # Pieces of one document may meet in any group, and so may repeated rows, however many: each written row has a number of its own.
     mark = F.xxhash64("doc_id", "start", "length", "ids_crc32")
-    dealt = found.withColumn("mark", mark).withColumn("bucket", F.pmod(F.xxhash64("mark", F.lit(3)), F.lit(groups)).cast("long"))
+    own = F.xxhash64("mark", F.monotonically_increasing_id(), F.lit(3))
+    dealt = found.withColumn("mark", mark).withColumn("bucket", F.pmod(own, F.lit(groups)).cast("long"))
     kind = found.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

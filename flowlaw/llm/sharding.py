@@ -31,14 +31,15 @@ def _ranked(rows: DataFrame, strata: list[str], bin_: str, order: list[str | Col
 def interleave(rows: DataFrame, key: Column, source: Column, shards: int = 16, seed: int = 9) -> DataFrame:
     """rows with shard and slot (gapless from 0 in each shard).
 
-    key identifies a row (null: the word "null"); rows of one key and one source lie side by side in
-    the order of their columns, so repeated rows get neighbouring places. A null source is a source
-    of its own. Without rows the result has none. The added columns replace any of the same name.
+    key identifies a row; rows of one key and one source lie side by side in
+    the order of their columns, so repeated rows get neighbouring places. Rows without a key are shuffled by a number that they get here,
+    so any number of them is spread. A null source is a source of its own. Without rows the result has none. The added columns replace any of the same name.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
-    whole = rows.select(F.struct(*keep).alias("_row"), F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))).alias("_mark"))
+    lone = F.concat(F.lit("null "), F.monotonically_increasing_id())
+    whole = rows.select(F.struct(*keep).alias("_row"), F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), lone))).alias("_mark"))
     whole = cut(whole)
     sizes = cut(whole.groupBy("_source", "_none").agg(F.count("*").alias("_size")))
     n = sizes.agg(F.sum("_size")).first()[0] or 0
@@ -57,7 +58,8 @@ def interleave(rows: DataFrame, key: Column, source: Column, shards: int = 16, s
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 9) -> DataFrame:
     """doc_id, size (UTF-8 bytes and one), text_crc32, law, shard, slot, grown_shard of each document.
 
-    docs: doc_id, text and source. A null text counts as empty.
+    docs: doc_id, text and source; other columns are not read. A null text counts as empty, a null source is one of its own, and rows
+    without a doc_id, repeated rows and texts of any length have their places like others. No rows: none.
     """
     text = text_or_empty()
     rows = docs.select("doc_id", "source", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     before, after = seen[2]
     assert ids(after) == ids(before)
     before, after = seen[3]
-    assert Counter(ids(after)) == Counter({r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies})
+    assert Counter(ids(after)) == Counter({r.doc_id: r.copies + r.more for r in mixing.mix(before).collect() if r.copies + r.more})
     packed = Counter()
     for r in docs.collect():
         packed[r.doc_id] += r.length
