@@ -67,13 +67,14 @@ def law_rows(snapshots: DataFrame, known: Mapping[str, Law], terms: Sequence[Ter
     return rows.withColumn("y", F.col("y") * (1 + level * drawn))
 
 
-def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, **how: object) -> recovery.Recovery:
+def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, full: Summary | None = None, **how: object) -> recovery.Recovery:
     """The terms that explain rows of an id, theta and y, chosen on a sample of them and, with debias, fitted on all.
 
-    sampler: a name in sampling.SAMPLERS or a function like those. method: a name in recovery.METHODS, or "best subset".
+    sampler: a name in sampling.SAMPLERS or a function like those. method: a name in recovery.METHODS, or "best subset". full is the
+    summary of all rows where it is known already, as when several methods or samplers are compared.
     """
     some = summarize(sampling.sample(rows, sampler, samples, row_id, seed), names)
-    full = summarize(rows, names) if debias else None
+    full = (full or summarize(rows, names)) if debias else None
     if method == "best subset":
         found = recovery.best_subset(rows.sparkSession, some, full=full, **how)
     else:
