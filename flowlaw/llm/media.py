@@ -96,7 +96,8 @@ def load(media: bytes, n: int) -> tuple[bytes, str]:
 def sketch(picture: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
     """Size, sum of each channel, and the luma (of 0 to 255) of each pixel."""
     samples = webp.channels(picture.ravel())
-    luma = samples[:, :3] @ np.array([29, 150, 77], np.int64) >> 8
+    blue, green, red = (samples[:, k].astype(np.uint16) for k in range(3))
+    luma = (29 * blue + 150 * green + 77 * red) >> 8
     return f"{picture.shape[1]}x{picture.shape[0]}", samples.sum(0, dtype=np.int64), luma.astype(np.uint8)
 
 

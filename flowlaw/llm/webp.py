@@ -287,10 +287,32 @@ def _predicted(mode: int, left: np.ndarray, top: np.ndarray, top_right: np.ndarr
     return np.broadcast_to(np.array([0, 0, 0, 255], np.int32), left.shape)
 
 
-def _neighbours(rows: np.ndarray, x: int, y: int) -> tuple[np.ndarray, ...]:
-    width = rows.shape[1]
-    over = rows[y - 1, x + 1] if x + 1 < width else rows[y, 0]
-    return rows[y, x - 1], rows[y - 1, x], over, rows[y - 1, x - 1]
+def _along(mode: int, row: list[list[int]], above: list[list[int]], lo: int, hi: int) -> None:
+    """Adds to the samples of a row from lo to hi what a mode predicts that needs the sample on the left; above goes on with the row's first sample."""
+    for x in range(lo, hi):
+        left, top, top_left, own = row[x - 1], above[x], above[x - 1], row[x]
+        over = above[x + 1] if x + 1 < len(row) else row[0]
+        if mode == 11:
+            to_left = sum(abs(top[k] - top_left[k]) for k in range(4))
+            guess = left if to_left < sum(abs(left[k] - top_left[k]) for k in range(4)) else top
+            row[x] = [own[k] + guess[k] & 255 for k in range(4)]
+        elif mode == 12:
+            row[x] = [own[k] + min(255, max(0, left[k] + top[k] - top_left[k])) & 255 for k in range(4)]
+        elif mode == 13:
+            made = []
+            for k in range(4):
+                middle = left[k] + top[k] >> 1
+                apart = middle - top_left[k]
+                made.append(own[k] + min(255, max(0, middle + (apart // 2 if apart >= 0 else -(-apart // 2)))) & 255)
+            row[x] = made
+        elif mode == 5:
+            row[x] = [own[k] + ((left[k] + over[k] >> 1) + top[k] >> 1) & 255 for k in range(4)]
+        elif mode == 6:
+            row[x] = [own[k] + (left[k] + top_left[k] >> 1) & 255 for k in range(4)]
+        elif mode == 7:
+            row[x] = [own[k] + (left[k] + top[k] >> 1) & 255 for k in range(4)]
+        else:
+            row[x] = [own[k] + ((left[k] + top_left[k] >> 1) + (top[k] + over[k] >> 1) >> 1) & 255 for k in range(4)]
 
 
 def unpredict(residuals: np.ndarray, width: int, height: int, modes: np.ndarray, block: int) -> np.ndarray:
@@ -301,19 +323,22 @@ def unpredict(residuals: np.ndarray, width: int, height: int, modes: np.ndarray,
     rows[0] = np.cumsum(rows[0], 0) & 255
     for y in range(1, height):
         rows[y, 0] = (rows[y, 0] + rows[y - 1, 0]) & 255
+        above = rows[y - 1]
+        right = np.concatenate([above[1:], rows[y, :1]])
+        held: list[list[list[int]]] = []
         for bx in range(across):
             mode, lo, hi = int(modes[y >> block, bx]), max(1, bx << block), min(width, (bx + 1) << block)
             if lo >= hi:
                 continue
             if mode in (0, 2, 3, 4, 8, 9) or mode > 13:  # what they need of the row above is all there
-                above = rows[y - 1]
-                right = np.concatenate([above[1:], rows[y, :1]])
                 rows[y, lo:hi] = (rows[y, lo:hi] + _predicted(mode, above[lo:hi], above[lo:hi], right[lo:hi], above[lo - 1 : hi - 1])) & 255
             elif mode == 1:
                 rows[y, lo:hi] = (rows[y, lo - 1] + np.cumsum(rows[y, lo:hi], 0)) & 255
             else:
-                for x in range(lo, hi):
-                    rows[y, x] = (rows[y, x] + _predicted(mode, *_neighbours(rows, x, y))) & 255
+                own = rows[y].tolist()
+                held = held or [above.tolist()]
+                _along(mode, own, held[0], lo, hi)
+                rows[y, lo:hi] = own[lo:hi]
     return rows.reshape(-1, 4).astype(np.uint8).view("<u4").ravel()
 
 
@@ -550,7 +575,7 @@ def _put_code(out: Writer, lengths: np.ndarray) -> None:
 
 
 #: What a code of a picture's own must save of the fixed one's bits to be worth its making and reading.
-WORTH = 0.35
+WORTH = 0.45
 
 
 @lru_cache(maxsize=32)
@@ -742,7 +767,9 @@ def smallest(picture: np.ndarray) -> bytes:
     choices = [(fixed_bits(plain.counts()), {"made": plain}), (fixed_bits(short.counts()) + short.extra_bits(), {"made": short})]
     ordered = np.sort(pixels)
     colours = ordered[np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))]
-    if len(colours) <= 256:
+    # A palette holds each colour about as a single pixel is held, and each pixel then is a number below that of colours.
+    least = choices[0][0] * len(colours) / len(pixels) + len(pixels) * np.log2(len(colours))
+    if len(colours) <= 256 and least < 1.5 * min(choices[0][0], choices[1][0]):
         packed = tokens(to_palette(pixels, colours, width, height), -(-width >> _packing(len(colours))), 0, True)
         own = sum(map(_own_bits, packed.counts())) + packed.extra_bits() + fixed_bits(tokens(_deltas(colours), len(colours)).counts())
         choices.append((own, {"palette": True, "references": True}))
