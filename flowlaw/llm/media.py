@@ -47,12 +47,14 @@ def from_picture(picture: np.ndarray, n: int) -> bytes:
 
 def drawn(picture: np.ndarray, digest: bytes) -> dict[str, object] | None:
     """The transforms of the pictures that get some, by their payload's digest; None for all others."""
+    if digest[0] >= 4 * TURNED:
+        return None
     height, width = picture.shape
     sides, rng = (-(-height >> 4), -(-width >> 4)), np.random.default_rng(np.frombuffer(digest, np.uint32))
     modes = {"modes": rng.integers(0, 14, sides), "block": 4}
     elements = {"elements": rng.integers(0, 1 << 24, sides) | webp.BLACK, "block": 4}
     kinds = ({"green": True}, modes, elements, {"green": True, **modes, **elements, "cache_bits": 6, "references": True})
-    return kinds[digest[0] // TURNED] if digest[0] < TURNED * len(kinds) else None
+    return kinds[digest[0] // TURNED]
 
 
 def store(payload: bytes) -> bytes:
