@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, toxicity
+from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, tokenfiles, toxicity
 from .common import table
-from .tokens import byte_bpe_50k
+from .tokens import byte_bpe_50k, word_bpe_49k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,11 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(table(spark, sf_dir, "documents"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = tokenfiles.write(table(spark, sf_dir, "documents"), word_bpe_49k(), end=2)
+    return tokenfiles.documents(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this subpackage
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition)
+    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition, op11_tokens)
     return {f.__name__: f for f in (*found, pipeline)}
 
 

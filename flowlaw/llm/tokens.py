@@ -13,7 +13,7 @@ import tiktoken
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_names() -> dict[str, int]:
+def byte_names() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -24,7 +24,7 @@ def _byte_names() -> dict[str, int]:
 def encoding(path: str) -> tiktoken.Encoding:
     """The vocabulary in a file of ranks (.tiktoken) or of the tokenizers library (.json)."""
     if path.endswith(".json"):
-        names = _byte_names()
+        names = byte_names()
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         vocabulary = whole["model"]["vocab"]
@@ -52,3 +52,10 @@ def byte_bpe_50k() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def word_bpe_49k() -> str:
+    """The path of the installed vocabulary of lower-case words, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
