@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, tokenfiles, toxicity
+from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, tokenfiles, toxicity, whitening
 from .common import table
 from .tokens import byte_bpe_50k, word_bpe_49k
 
@@ -60,6 +60,10 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.documents(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this subpackage
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition, op11_tokens)
+    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition, op11_tokens, op12_whitening)
     return {f.__name__: f for f in (*found, pipeline)}
 
 
