@@ -63,5 +63,25 @@ c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM c"""
 
 
+def trie() -> str:
+    """A node is the joined digests of its turns; every node below another one is found through its smallest member."""
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END, CAST(i AS BIGINT)) AS c FROM range(256) r(i))),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, n, conv_id - conv_id % 20 AS family, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS b FROM n),
+c AS (SELECT s.conv_id, family, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS h, coalesce(f.n, 0) AS n0 FROM s CROSS JOIN crc LEFT JOIN n f ON f.conv_id = family),
+r AS (SELECT c.conv_id, pos AS d, role, text FROM c JOIN t ON t.conv_id = family AND pos <= h
+  UNION ALL SELECT c.conv_id, pos - h + least(h, n0), role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+p AS (SELECT conv_id, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS key, len(regexp_extract_all(text, '{WORD}')) AS words FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+m AS (SELECT p.d, key, min(p.conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, sha256(coalesce(string_agg(CASE WHEN p.d = e.d THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '')) AS ends FROM p JOIN e USING (conv_id) GROUP BY p.d, key),
+k AS (SELECT d - 1 AS d, left(key, length(key) - 64) AS key, count(*) AS n FROM m WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT m.*, coalesce(k.n, 0) AS n_children FROM m LEFT JOIN k USING (d, key)),
+u AS (SELECT p.d, p.key, sum(CASE WHEN a.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((a.n_convs - 1) * a.words) AS saved_tokens FROM a JOIN p ON p.conv_id = a.conv_id AND p.d <= a.d GROUP BY p.d, p.key)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN u USING (d, key) LEFT JOIN a up ON up.d = a.d - 1 AND up.key = left(a.key, length(a.key) - 64)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat(), "op9_sharding": sharding(), "op10_repetition": repetition()}
+    return {"op8_chat": chat(), "op9_sharding": sharding(), "op10_repetition": repetition(), "op13_trie": trie()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, tokenfiles, toxicity, whitening
+from . import chat, media, mixing, oracles, packing, pii, repetition, scoring, sharding, simhash, tokenfiles, toxicity, trie, whitening
 from .common import table
 from .tokens import byte_bpe_50k, word_bpe_49k
 
@@ -64,6 +64,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), most=32).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it builds on this subpackage
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition, op11_tokens, op12_whitening)
+    found = (op1_media, op2_mixing, op3_packing, op4_scoring, op5_pii, op6_toxicity, op7_simhash, op8_chat, op9_sharding, op10_repetition, op11_tokens, op12_whitening, op13_trie)
     return {f.__name__: f for f in (*found, pipeline)}
 
 
