@@ -1,21 +1,19 @@
 """Sparse regression on a Summary: which few terms explain the target.
 
 A Summary is as small as the dictionary, so the searches are a few lines of linear algebra; the
-rows were reduced by Spark before. Best-subset search, whose candidates are many, runs on Spark.
+rows were reduced by Spark before. Best-subset search, whose nodes may be many, is in search.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .plateau import plateau_runs
+from .search import choice, frontier
 from .summary import Summary
 
 RESULT = "method string, names array<string>, support array<int>, coefficients array<double>, residual double, meta map<string, string>"
@@ -166,77 +164,70 @@ def ccp(s: Summary, cluster: int = 8, limit: float = 0.5, threshold: float | Non
     return _result("ccp", whole, truncated(whole, support, threshold), rounds=did)
 
 
-def candidates(spark: SparkSession, terms: int, most: int) -> DataFrame:
-    """k and support: all choices of 1 to most terms, made by joins, each from the choices of one term less."""
-    one = spark.range(terms).select(F.array(F.col("id").cast("int")).alias("support"))
-    out = layer = one
-    for _ in range(most - 1):
-        last = F.element_at("support", -1)
-        layer = layer.withColumn("next", F.explode(F.when(last < terms - 1, F.sequence(last + 1, F.lit(terms - 1))))).select(F.concat("support", F.array("next")).alias("support"))
-        out = out.union(layer)
-    return out.select(F.size("support").alias("k"), "support")
+def tolerances(floor: float, high: float = 100.0, low: float = 0.01, steps: int = 30) -> list[float]:
+    """Allowed residuals in units of a noise floor, evenly spaced on a log scale from high to low."""
+    return [float(x) for x in np.geomspace(high * floor, low * floor, steps)]
 
 
-def frontier(spark: SparkSession, s: Summary, most: int = 3) -> DataFrame:
-    """k, support, residual: the best choice of each number of terms, out of all."""
-
-    def fits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(residual=[s.fit(x)[1] for x in pdf["support"]])
-
-    found = candidates(spark, len(s.names), most).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(fits, "k int, support array<int>, residual double")
-    return found.groupBy("k").agg(F.min_by("support", F.struct("residual", "support")).alias("support"), F.min("residual").alias("residual"))
-
-
-def winners(points: DataFrame, tolerances: DataFrame) -> DataFrame:
-    """eps and support: of each tolerance (column eps), the choice with the least terms whose residual is within it; null if none is."""
-    best = points.select("k", "support", "residual")
-    met = F.broadcast(best)  # a row for each number of terms
-    return tolerances.join(met, F.col("residual") <= F.col("eps"), "left").groupBy("eps").agg(F.min_by("support", "k").alias("support"))
+def stable_choice(points: Sequence[tuple[int, list[int], float]], scale: Sequence[float], halvings: int, floor: float, longest: bool = True) -> tuple[list[int] | None, dict[str, object]]:
+    """The support that stays longest the smallest one within the tolerances of a scale (or, unless longest, the one at their small end), and how it was found; None if no tolerance is met.
 
+    points: number of terms, support and residual, a row for each number of terms; so this is a small matter. Of runs of equal winners the longest
+    counts, of those as long the one from the small end. From that run's own least tolerance on, the tolerance is halved until three winners in a row are the same,
+    none is left or it comes under the floor; the last of them is the result.
+    """
 
-def as_set(support: Column) -> Column:
-    return F.array_sort(F.array_distinct(support))
+    def winner(eps: float) -> list[int] | None:
+        return next((sorted(support) for _, support, left in sorted(points, key=lambda x: x[0]) if left <= eps), None)
+
+    runs: list[list] = []  # support, least tolerance, length
+    for eps in sorted(scale):
+        found = winner(eps)
+        if found is not None:
+            if runs and runs[-1][0] == found:
+                runs[-1][2] += 1
+            else:
+                runs.append([found, eps, 1])
+    if not runs:
+        return None, {}
+    support, eps, length = max(runs, key=lambda r: (r[2], -r[1])) if longest else runs[0]
+    same, halved = 1, 0
+    while same < 3 and halved < halvings and eps / 2 >= floor:
+        eps, halved = eps / 2, halved + 1
+        found = winner(eps)
+        if found is None:
+            break
+        support, same = (support, same + 1) if found == support else (found, 1)
+    return support, {"plateau": length, "halvings": halved}
 
 
-def best_subset(spark: SparkSession, s: Summary, most: int = 3, steps: int = 30, threshold: float | None = None, halvings: int = 60, floor: float = 1e-12, full: Summary | None = None) -> Recovery:
-    """The support that stays longest optimal as the allowed residual falls, out of all of at most so many terms.
+def best_subset(spark: SparkSession, s: Summary, most: int | None = None, steps: int = 30, threshold: float | None = None, halvings: int = 60, floor: float = 1e-12, full: Summary | None = None, scale: Sequence[float] | None = None, slack: float = 0.01) -> Recovery:
+    """The support that stays longest optimal as the allowed residual falls, out of all choices of terms, by branch and bound.
 
-    For each of many tolerances, spaced evenly on a log scale, the least number of terms that meets it wins; the longest run of equal winners
-    counts, of those as long the one from the small end. From that run's own least residual the tolerance is halved then until three winners in a row are the same,
-    none is left or a floor is met; the last of them is the result. If no choice meets the small tolerances, meta says so.
+    For each of many tolerances (scale; by default evenly spaced on a log scale down from the target's length) the least number of terms that meets it wins, see
+    stable_choice(). Numbers of terms are tried up to the first whose best choice leaves at most the least tolerance, or 1 + slack times what all terms leave, or up to
+    most. If that is reached before, meta says so.
     """
-    points = frontier(spark, s, most).persist()
     top = float(np.linalg.norm(s.target)) or 1.0
-    scale = spark.range(steps).select((F.lit(top) * F.pow(F.lit(10.0), -F.col("id") / 3)).alias("eps"))
-    runs = plateau_runs(winners(points, scale).filter("support IS NOT NULL").withColumn("g", F.lit(0)), ["g"], "eps", as_set(F.col("support")))
-    first = runs.orderBy(F.desc("length"), "start").first()
-    listed = {r["k"]: (list(r["support"]), r["residual"]) for r in points.collect()}  # a row for each number of terms
-    points.unpersist()
-    if first is None:
+    scale = [top * 10.0 ** (-i / 3) for i in range(steps)] if scale is None else list(scale)
+    least = max(min(scale), (1 + slack) * s.fit(range(len(s.names)))[1], floor * top)
+    points = frontier(spark, s, len(s.names) if most is None else most, least)
+    support, meta = stable_choice(points, scale, halvings, floor * top)
+    if support is None:
         return _result("best subset", full or s, list(range(len(s.names))), warning="no choice meets any tolerance")
-    support, same, eps, halved = sorted(first["value"]), 1, float(first["start"]), 0
-    while same < 3 and halved < halvings and eps / 2 >= floor * top:
-        eps, halved = eps / 2, halved + 1
-        fits = [k for k, (_, left) in listed.items() if left <= eps]
-        if not fits:
-            break
-        found = sorted(listed[min(fits)][0])
-        support, same = (support, same + 1) if found == support else (found, 1)
-    meta = {"plateau": first["length"], "halvings": halved}
-    if min(left for _, left in listed.values()) > 1e-6 * top:
-        meta["warning"] = f"no {most} terms leave less than a millionth of the target"
+    if points[-1][2] > max(least, 1e-6 * top):
+        meta["warning"] = f"no {len(points[-1][1])} terms leave less than {least:.3g}"
     return _result("best subset", full or s, truncated(full or s, support, threshold), **meta)
 
 
 def nearest(s: Summary, most: int = 3, slack: float = 0.5, threshold: float | None = None, full: Summary | None = None) -> Recovery:
     """The fewest terms, out of all choices of at most so many, that leave at most 1 + slack times what the best choice of most leaves.
 
-    All choices are tried in one place, which is for small dictionaries; what is within a thousand millionth of the target counts as nothing left.
+    Choices are searched by branch and bound in one place; what is within a thousand millionth of the target counts as nothing left.
     """
-    best = [min(combinations(range(len(s.names)), k), key=lambda x: s.fit(x)[1]) for k in range(1, most + 1)]
-    enough = max((1 + slack) * s.fit(best[-1])[1], 1e-9 * float(np.linalg.norm(s.target)))
-    chosen = next(x for x in best if s.fit(x)[1] <= enough)
+    best = [choice(s, k) for k in range(1, min(most, len(s.names)) + 1)]
+    enough = max((1 + slack) * best[-1][1], 1e-9 * float(np.linalg.norm(s.target)))
+    chosen = next(x for x, left in best if left <= enough)
     return _result("nearest", full or s, truncated(full or s, list(chosen), threshold))
 
 

@@ -8,7 +8,7 @@ zero, as only their imaginary part would be left.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,26 +16,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def derivative(order: int):
-    """A function of an array Column: its derivative of that order. Rows of equal length are transformed together."""
+def spectrum(weights: Callable[[np.ndarray], np.ndarray]):
+    """A function of an array Column: an array of fields, one for each row of weights(k), by which the field's waves k are multiplied.
+
+    Rows of equal length are transformed together, forth once and back once a field; all in one pass over Arrow batches.
+    """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<array<double>>")
     def run(values: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(values), index=values.index, dtype=object)
-        for _, part in values.dropna().groupby(values.dropna().map(len)):
-            field = np.stack(part.to_numpy()).astype(float)
-            n = field.shape[1]
+        for n, part in values.dropna().groupby(values.dropna().map(len)):
             if n:
-                field = np.fft.irfft(np.fft.rfft(field) * (1j * np.arange(n // 2 + 1)) ** order, n)
-            out.loc[part.index] = pd.Series(list(field), index=part.index)
+                waves = np.fft.rfft(np.stack(part.to_numpy()).astype(float))
+                fields = np.stack([np.fft.irfft(waves * w, n) for w in weights(np.arange(n // 2 + 1))], axis=1)
+            else:
+                fields = np.zeros((len(part), len(weights(np.arange(1))), 0))
+            out.loc[part.index] = pd.Series([list(f) for f in fields], index=part.index)
         return out
 
-    return run
+    return run.asNondeterministic()  # so that it runs once, however often its result is used
+
+
+def derivatives(orders: Sequence[int]):
+    """A function of an array Column: the array of its derivatives of these orders."""
+    return spectrum(lambda k: np.stack([(1j * k) ** r for r in orders]))
+
+
+def derivative(order: int):
+    """A function of an array Column: its derivative of that order."""
+    return lambda field: F.get(derivatives([order])(field), F.lit(0))
+
+
+def low_pass(modes: int):
+    """A function of an array Column: the field of its waves 0 to modes."""
+    return lambda field: F.get(spectrum(lambda k: (k <= modes)[None].astype(float))(field), F.lit(0))
 
 
 def with_derivatives(snapshots: DataFrame, orders: Sequence[int], u: str = "u") -> DataFrame:
-    """snapshots with an array column d<r> for each order r."""
-    return snapshots.withColumns({f"d{r}": derivative(r)(F.col(u)) for r in orders})
+    """snapshots with an array column d<r> for each order r; all come from one transform of the field."""
+    once = snapshots.withColumn("_d", derivatives(orders)(F.col(u)))
+    return once.withColumns({f"d{r}": F.get("_d", F.lit(i)) for i, r in enumerate(orders)}).drop("_d")
 
 
 def points(snapshots: DataFrame, arrays: Sequence[str], keys: Sequence[str]) -> DataFrame:

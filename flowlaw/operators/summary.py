@@ -1,7 +1,8 @@
-"""What least squares needs of any number of rows: a triangular factor of [terms | target].
+"""What least squares needs of any number of rows: a triangular factor of [terms | targets].
 
-Every task reduces its rows to a triangle, and triangles are merged in groups before the last few
-come to the driver; none holds more than a few megabytes. With that factor, the fit of any choice of terms costs a
+Every task reduces its rows to a triangle. A triangle's rows are rows again, so triangles are merged by the same reduction:
+first those that meet in a task of a shuffle, then these in a task of 64, then in one. Each task holds one triangle and one block
+of rows, however many come to it. With the factor, the fit of any choice of terms costs a
 few small matrix products, as often as a search wants. Sums of squares are not used for it, as they
 would square the condition number of terms that differ by many orders of magnitude.
 """
@@ -12,10 +13,14 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that are reduced together, at least; a triangle's own rows if they are more. Tasks of the last step but one.
+BLOCK, FAN = 2048, 64
+
 
 @dataclass(frozen=True)
 class Summary:
@@ -57,38 +62,108 @@ class Summary:
         one = self.factor[:, self.names.index("1")]
         return Summary(self.factor - np.outer(one, one @ self.factor) / (one @ one), self.n, self.names)
 
+    def merged(self, other: Summary) -> Summary:
+        """The summary of both ones' rows."""
+        return Summary(triangle(np.vstack([self.factor, other.factor])), self.n + other.n, self.names)
+
+
+def triangle(block: np.ndarray) -> np.ndarray:
+    """A square triangle with the same products as the block."""
+    r, width = np.linalg.qr(block, mode="r"), block.shape[1]
+    return np.vstack([r, np.zeros((width - len(r), width))]) if len(r) < width else r
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of an Arrow column of arrays that are all of one length."""
+    if column.null_count or (column.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError(f"a row is not an array of {width} numbers")
+    block = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    if not np.isfinite(block).all():
+        raise ValueError("a term or the target is not a number")
+    return block
+
+
+class Triangle:
+    """Takes rows in blocks of any size and holds their factor, and few rows more."""
+
+    def __init__(self, width: int):
+        self.held, self.waiting, self.rows, self.n = np.zeros((0, width)), [], 0, 0
+        self.most = max(BLOCK, width)
+
+    def add(self, block: np.ndarray, n: int) -> None:
+        for i in range(0, len(block), self.most):
+            self.waiting.append(block[i : i + self.most])
+            self.rows += len(self.waiting[-1])
+            if self.rows >= self.most:
+                self._reduce()
+        self.n += n
+
+    def _reduce(self) -> None:
+        if self.waiting:
+            self.held, self.waiting, self.rows = np.linalg.qr(np.vstack([self.held, *self.waiting]), mode="r"), [], 0
+
+    def factor(self) -> np.ndarray:
+        self._reduce()
+        return self.held
+
 
-def _triangle(block: np.ndarray) -> np.ndarray:
-    return np.linalg.qr(block, mode="r")
+def reduced(batches: Iterator[tuple[object, np.ndarray, int]], width: int) -> Iterator[tuple[object, int, np.ndarray]]:
+    """key, n and factor of each run of equal keys in blocks of rows (key, block, number of rows that the block stands for)."""
+    last, held = None, None
+    for key, block, n in batches:
+        if held is None or key != last:
+            if held is not None:
+                yield last, held.n, held.factor()
+            last, held = key, Triangle(width)
+        held.add(block, n)
+    if held is not None:
+        yield last, held.n, held.factor()
 
 
-def summarize(rows: DataFrame, names: Sequence[str], theta: str = "theta", target: str = "y", groups: int = 32) -> Summary:
+def _factor_rows(found: Iterator[tuple[object, int, np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for _, n, factor in found:
+        for i in range(0, max(len(factor), 1), 512):
+            rows = factor[i : i + 512] if len(factor) else np.zeros((1, width))
+            counts = np.zeros(len(rows), np.int64)
+            counts[0] = n if i == 0 else 0
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(rows), part, np.int32)), "n": counts, "row": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), width).cast(pa.list_(pa.float64()))})
+
+
+def _arrays(column: Column, targets: Sequence[str]) -> Column:
+    return F.concat(column, F.array(*[F.col(t).cast("double") for t in targets]))
+
+
+def _factor(rows: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """The triangle of rows with an array column row, and their number."""
+    schema = "part int, n long, row array<double>"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _factor_rows(reduced(((0, matrix_of(b.column(0), width), b.num_rows) for b in batches if b.num_rows), width), width)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _factor_rows(reduced(((0, matrix_of(b.column(2), width), sum(b.column(1).to_pylist())) for b in batches if b.num_rows), width), width)
+
+    parts = rows.mapInArrow(first, schema).repartition("part").mapInArrow(merge, schema)
+    if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) > FAN:
+        parts = parts.withColumn("part", F.pmod("part", F.lit(FAN))).repartition(FAN, "part").mapInArrow(merge, schema)
+    found = parts.repartition(1).mapInArrow(merge, schema).toArrow()  # the rows of one triangle
+    if not found.num_rows:
+        return np.zeros((width, width)), 0
+    block = found.column("row").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return triangle(block), sum(found.column("n").to_pylist())
+
+
+def summarize(rows: DataFrame, names: Sequence[str], theta: str = "theta", target: str = "y") -> Summary:
     """The Summary of rows with an array of terms and a target. Rows with a null or NaN in either raise an error."""
-    width = len(names) + 1
-    schema = "part int, n long, factor array<double>"
-
-    def reduce_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n, part = np.zeros((0, width)), 0, None
-        for pdf in frames:
-            part = int(pdf["_part"].iloc[0]) if part is None else part
-            block = np.column_stack([np.stack(pdf["_theta"].to_numpy()).astype(float), pdf["_y"].to_numpy(float)])
-            if not np.isfinite(block).all():
-                raise ValueError("a term or the target is not a number")
-            held, n = _triangle(np.vstack([held, block])), n + len(block)
-        if n:
-            yield pd.DataFrame({"part": [part], "n": [n], "factor": [np.vstack([held, np.zeros((width - len(held), width))]).ravel()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        stacked = np.vstack([np.asarray(f).reshape(width, width) for f in pdf["factor"]])
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [int(pdf["n"].sum())], "factor": [_triangle(stacked).ravel()]})
-
-    parts = rows.select(F.spark_partition_id().alias("_part"), F.col(theta).alias("_theta"), F.col(target).alias("_y")).mapInPandas(reduce_rows, schema)
-    merged = parts.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInPandas(merge, schema)
-    found = merged.collect()  # a triangle for each group
-    if not found:
-        return Summary(np.zeros((width, width)), 0, tuple(names))
-    factor = _triangle(np.vstack([np.asarray(r["factor"]).reshape(width, width) for r in sorted(found, key=lambda r: r["part"])]))
-    return Summary(factor, sum(r["n"] for r in found), tuple(names))
+    return summarize_targets(rows, names, [target], theta)[target]
+
+
+def summarize_targets(rows: DataFrame, names: Sequence[str], targets: Sequence[str], theta: str = "theta") -> dict[str, Summary]:
+    """The Summary of each of several targets of the same terms, all from one triangle of [terms | targets]."""
+    width, p = len(names) + len(targets), len(names)
+    factor, n = _factor(rows.select(_arrays(F.col(theta), targets).alias("row")), width)
+    return {t: Summary(factor[:, [*range(p), p + i]], n, tuple(names)) for i, t in enumerate(targets)}
 
 
 def norms(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

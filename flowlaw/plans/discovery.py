@@ -55,16 +55,14 @@ def field_rows(snapshots: DataFrame, terms: Sequence[Term], law: Law, orders: Se
 
 
 def law_rows(snapshots: DataFrame, known: Mapping[str, Law], terms: Sequence[Term], orders: Sequence[int], level: float = 0.01, seed: int = 0) -> DataFrame:
-    """law, series, j, i, theta, y: every field under every law, its rates measured with noise.
+    """series, j, i, theta and a column for each law, by its name: the rate of every field under it, measured with noise.
 
     The noise is level times a normal number, of a hash of law and place, times the size of the rate's own largest part at the place.
     """
-    points = field_points(snapshots, terms, orders)
     derivatives = [F.col(f"d{r}") for r in orders]
-    rates = F.array(*[F.struct(F.lit(name).alias("law"), rate(law, F.col("u"), derivatives).alias("y")) for name, law in known.items()])
-    rows = points.withColumn("_r", F.explode(rates)).select("_r.law", "series", "j", "i", "theta", F.col("_r.y").alias("y"))
-    drawn = noise.gauss(F.col("law"), F.col("series"), F.col("j"), F.col("i"), seed=seed)
-    return rows.withColumn("y", F.col("y") * (1 + level * drawn))
+    drawn = lambda name: noise.gauss(F.lit(name), F.col("series"), F.col("j"), F.col("i"), seed=seed)
+    rates = {name: rate(law, F.col("u"), derivatives) * (1 + level * drawn(name)) for name, law in known.items()}
+    return field_points(snapshots, terms, orders).select("series", "j", "i", "theta", *[y.alias(name) for name, y in rates.items()])
 
 
 def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, full: Summary | None = None, **how: object) -> recovery.Recovery:
@@ -83,11 +81,9 @@ def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler
 
 
 def smooth_fields(spark: SparkSession, sf_dir: str, modes: int = 4) -> DataFrame:
-    """series, j, u: the first waves of the event fields, with mean 0 and unit spread."""
-    grid = spectral.points(event_snapshots(spark, sf_dir), ["u"], ["series", "j"])
-    low = spectral.synthesis(spectral.fourier(grid, ["series", "j"], 64, modes), ["series", "j"], 64)
-    rows = low.groupBy("series", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "u"))), lambda x: x["u"]).alias("v"))  # 64 values
-    return rows.select("series", "j", arrays.standardised(F.col("v")).alias("u"))
+    """series, j, u: the first waves of the event fields, with mean 0 and unit spread. A snapshot stays in its row."""
+    low = event_snapshots(spark, sf_dir).select("series", "j", spectral.low_pass(modes)(F.col("u")).alias("v"))
+    return low.select("series", "j", arrays.standardised(F.col("v")).alias("u"))
 
 
 def found_terms(spark: SparkSession, found: recovery.Recovery) -> DataFrame:

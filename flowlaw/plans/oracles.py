@@ -96,6 +96,41 @@ terms AS (SELECT c.grp, c.i, n.name, c.unit * y.len / s.len AS coefficient FROM
     return out
 
 
+def enumeration(rows: str, names: list[str], most: int) -> str:
+    """CTEs that end in best (k, s, left_): of each number of terms up to most, the best choice and what it leaves of the unit target, squared.
+
+    All choices are listed. The products of a choice's unit columns and the target are reduced by one pivot after the other, so that the target's own is what is left.
+    """
+    n = len(names)
+    out = f"{search(rows, names, 2)}, c1 AS (SELECT [CAST(i AS INTEGER)] AS s FROM range({n}) t(i))"
+    for k in range(2, most + 1):
+        out += f", c{k} AS (SELECT list_append(s, CAST(i AS INTEGER)) AS s FROM c{k - 1}, range({n}) t(i) WHERE i > s[-1])"
+    union = " UNION ALL ".join(f"SELECT s FROM c{k}" for k in range(1, most + 1))
+    out += f", c AS (SELECT row_number() OVER () AS id, s, list_append(s, {n}) AS e FROM ({union})), cells AS (SELECT id, s, i, unnest(e) AS j FROM (SELECT id, s, e, unnest(e) AS i FROM c)), m0 AS (SELECT id, s, cells.i, cells.j, v FROM cells JOIN u ON u.i = cells.i AND u.j = cells.j)"
+    for t in range(1, most + 1):
+        last = f"m{t - 1}"
+        out += f", m{t} AS (SELECT m.id, m.s, m.i, m.j, CASE WHEN len(m.s) < {t} THEN m.v ELSE m.v - a.v * b.v / c.v END AS v FROM {last} m LEFT JOIN {last} a ON a.id = m.id AND a.i = m.i AND a.j = m.s[{t}] LEFT JOIN {last} b ON b.id = m.id AND b.j = m.j AND b.i = m.s[{t}] LEFT JOIN {last} c ON c.id = m.id AND c.i = m.s[{t}] AND c.j = m.s[{t}])"
+    return out + f", best AS (SELECT len(s) AS k, s, v AS left_ FROM m{most} WHERE i = {n} AND j = {n} QUALIFY row_number() OVER (PARTITION BY len(s) ORDER BY v) = 1)"
+
+
+def _products() -> tuple[str, list[str]]:
+    """The products of up to two scaled columns as x0, x1 and so on."""
+    choices = [x for k in (1, 2) for x in combinations_with_replacement("qpdt", k)]
+    return ", ".join(f"{v} AS x{i}" for i, v in enumerate(["1.0", *(" * ".join(x) for x in choices)])), ["1", *(" ".join(x) for x in choices)]
+
+
+def _exact_search() -> str:
+    columns, names = _products()
+    rows = f"SELECT 0 AS grp, {columns}, q + 2 * q * p - 1.5 * d + 0.7 * t * t + 0.05 * {gauss(13, 'l_orderkey', 'l_linenumber')} AS y FROM ({SCALED})"
+    return f"WITH {enumeration(rows, names, 5)} SELECT CAST(k AS INTEGER) AS k, array_to_string(list_transform(s, lambda i: {names!r}[i + 1]), ', ') AS terms, round(sqrt(greatest(left_, 0)) * y.len, 3) AS residual FROM best, (SELECT len FROM size WHERE i = {len(names)}) y"
+
+
+def _absolute_law() -> str:
+    """Least squares over the items whose charges are right."""
+    rows = f"SELECT 0 AS grp, 1.0 AS x0, q AS x1, p AS x2, d AS x3, t AS x4, p * d AS x5, p - 0.1 * p * d AS y FROM ({SCALED}) WHERE {mark(17, 'l_orderkey', 'l_linenumber')} >= 0.1"
+    return f"WITH {search(rows, ['1', 'q', 'p', 'd', 't', 'p d'], 2)} SELECT name AS term, round(coefficient, 3) AS coefficient FROM terms"
+
+
 def _charge_terms() -> tuple[str, list[str]]:
     names = ["1"] + [" ".join(x) for k in (1, 2) for x in combinations_with_replacement("qpdt", k)]
     values = ["1.0"] + [" * ".join(x) for k in (1, 2) for x in combinations_with_replacement("qpdt", k)]
@@ -282,6 +317,8 @@ def oracle_sql() -> dict[str, str]:
         "q_field_law": _field_law(),
         "q_best_subset": CHARGE,
         "q_law_recovery": _law_recovery(),
+        "q_exact_search": _exact_search(),
+        "q_absolute_law": _absolute_law(),
         "q_step_error": f"WITH {GRID}, d AS (SELECT series, lead(u) OVER w - lag(u) OVER w AS f, (lead(u, 2) OVER w - lag(u, 2) OVER w) / 2 AS c FROM field WINDOW w AS (PARTITION BY series, i ORDER BY j)) SELECT series, round(sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10), 4) AS error, sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10) < 0.5 AS settled FROM d WHERE f IS NOT NULL AND c IS NOT NULL GROUP BY 1",
         "q_group_laws": _charge("l_returnflag") + " SELECT grp AS l_returnflag, array_to_string(list_sort(list(name)), ',') AS terms, round(len(list_intersect(list(name), ['p', 'p d'])) / len(list_distinct(list_concat(list(name), ['p', 'p d']))), 4) AS score FROM terms GROUP BY grp",
         "q_smooth": _smooth(),

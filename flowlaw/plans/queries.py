@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, metrics, splines
 from ..functions.laws import laws, named
 from ..functions.terms import Term, describe, dictionary, theta
-from ..operators import noise, plateau, recovery, sampling, smoothing, spectral, summary
+from ..operators import noise, plateau, recovery, robust, sampling, search, smoothing, spectral, summary
 from ..sources.results import pending, store
 from ..sources.tables import event_hour, event_snapshots, table, temporary, trajectory_grid
 from ..streaming.refit import slope, windowed_moments
@@ -470,6 +470,30 @@ def q_step_error(spark, sf_dir):
     return spectral.step_error(grid, ["series"], "i", 0.5).select("series", _r(F.col("error")).alias("error"), (F.col("error") < 0.5).alias("settled"))
 
 
+def _products(spark, sf_dir):
+    """All products of up to two scaled columns of a line item, with its ids and a normal number of its own."""
+    columns = {k: F.col(k) for k in ("q", "p", "d", "t")}
+    terms = discovery.products(columns)
+    scaled = _scaled(spark, sf_dir)
+    return scaled.withColumn("z", noise.gauss(F.col("l_orderkey"), F.col("l_linenumber"), seed=13)).withColumn("theta", F.array(*terms.values())), list(terms)
+
+
+def q_exact_search(spark, sf_dir):
+    """The best choice of each number of terms out of 15, for a noisy target of four: by branch and bound."""
+    rows, names = _products(spark, sf_dir)
+    y = F.col("q") + 2 * F.col("q") * F.col("p") - 1.5 * F.col("d") + 0.7 * F.col("t") * F.col("t") + 0.05 * F.col("z")
+    found = search.frontier(spark, summary.summarize(rows.withColumn("y", y), names), 5)
+    return spark.createDataFrame([(k, ", ".join(names[i] for i in sorted(support)), left) for k, support, left in found], "k int, terms string, residual double").withColumn("residual", _r(F.col("residual"), 3))
+
+
+def q_absolute_law(spark, sf_dir):
+    """The charge of nine of ten items, found although the charges of the others are grossly wrong: by absolute residuals."""
+    one = _scaled(spark, sf_dir).select(F.array(F.lit(1.0), "q", "p", "d", "t", F.col("p") * F.col("d")).alias("theta"), "q", "p", "d", sampling.mark(F.col("l_orderkey"), F.col("l_linenumber"), seed=17).alias("mark"))
+    y = F.col("p") - 0.1 * F.col("p") * F.col("d") + F.when(F.col("mark") < 0.1, 5 + 3 * F.col("q")).otherwise(0.0)
+    found = robust.best_subset(spark, one.select("theta", y.alias("y")), ("1", "q", "p", "d", "t", "p d"))
+    return discovery.found_terms(spark, found).select("term", _r(F.col("coefficient"), 3).alias("coefficient"))
+
+
 #: The laws that are looked for, and the terms among which.
 WATCHED = ("kdv", "burgers", "allen_cahn", "ks", "fisher_kpp", "kdv_burgers", "fitzhugh_nagumo")
 CHOICE = dictionary(3, 4, True, 2)
@@ -479,7 +503,7 @@ def law_recovery(spark, sf_dir, method: str = "nearest", level: float = 0.01, **
     """law, series, names, residual, score: rates of each law at the smooth fields of the events, measured with noise, and the terms found for each kind of event."""
     known = {name: laws()[name] for name in WATCHED}
     rows = discovery.law_rows(discovery.smooth_fields(spark, sf_dir), known, CHOICE, (1, 2, 3, 4), level, 11)
-    found = sweeps.identify_groups(rows, ["law", "series"], [t.name for t in CHOICE], method, **how)
+    found = sweeps.identify_groups(rows, ["series"], [t.name for t in CHOICE], method, targets=tuple(known), label="law", **how)
     true = F.create_map(*[F.lit(name) if i == 0 else F.array(*map(F.lit, named(law))) for name, law in known.items() for i in (0, 1)])
     return found.withColumn("score", metrics.jaccard(F.col("names"), true[F.col("law")]))
 

@@ -6,13 +6,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.metrics import jaccard
 from ..operators import recovery
-from ..operators.summary import Summary
+from ..operators.summary import FAN, Summary, matrix_of, reduced
 
 
 #: Rows of an axis of a grid, but the first, at most.
@@ -29,73 +31,78 @@ def grid(*axes: DataFrame) -> DataFrame:
     return out
 
 
-def group_factors(rows: DataFrame, keys: Sequence[str], names: Sequence[str], salt: int = 32) -> DataFrame:
-    """keys, n, factor: the triangle of each group of rows with theta and y. A group of any size is reduced in salted parts first."""
-    width = len(names) + 1
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def triangle(block: np.ndarray) -> np.ndarray:
-        r = np.linalg.qr(block, mode="r")
-        return np.vstack([r, np.zeros((width - len(r), width))])
+def group_factors(rows: DataFrame, keys: Sequence[str], names: Sequence[str], targets: Sequence[str] = ("y",), salt: int = FAN) -> DataFrame:
+    """keys, n, factor: the triangle of [terms | targets] of each group of rows with theta and the targets.
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by key, so a task holds the triangle of one group only."""
-        part = TaskContext.get().partitionId() % salt
-        last, n, held = None, 0, np.zeros((0, width))
-        done: list[tuple] = []
+    Tasks sort their rows by key and hold one triangle at a time; those of a group are merged in salted parts, then together, so a group may hold any share of the rows.
+    """
+    width, schema = len(names) + len(targets), rows.select(*keys).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    arrow = to_arrow_schema(schema)
 
-        def out() -> pd.DataFrame:
-            rows = [(*key, part, n, block.ravel()) for key, n, block in done]
-            done.clear()
-            return pd.DataFrame(rows, columns=[*keys, "_salt", "n", "factor"])
+    def runs(batch: pa.RecordBatch, place: int, counts: np.ndarray | None) -> Iterator[tuple[tuple, np.ndarray, int]]:
+        """Key, rows and number of each run of equal keys in a batch."""
+        block = matrix_of(batch.column(place), width)
+        values = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))]))
+        cuts = [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield values[a], block[a:b], b - a if counts is None else int(counts[a:b].sum())
 
-        for pdf in frames:
-            for key, own in pdf.groupby(list(keys), sort=False, dropna=False):
-                if last is not None and key != last:
-                    done.append((last, n, triangle(held)))
-                    n, held = 0, np.zeros((0, width))
-                block = np.column_stack([np.stack(own["theta"].to_numpy()), own["y"]])
-                held, n, last = np.vstack([held, block]), n + len(own), key
-                if len(held) > 4 * width:
-                    held = triangle(held)
-            if len(done) > 500:
-                yield out()
-        if last is not None:
-            done.append((last, n, triangle(held)))
-            yield out()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = np.vstack([np.asarray(f).reshape(width, width) for f in pdf["factor"]])
-        return pdf.iloc[:1].assign(n=int(pdf["n"].sum()), factor=[triangle(blocks).ravel()])
-
-    schema = f"{kinds}, _salt int, n long, factor array<double>"
-    parts = rows.select(*keys, "theta", "y").sortWithinPartitions(*keys).mapInPandas(partial, schema)
-    salted = parts.groupBy(*keys, "_salt").applyInPandas(merge, schema)
-    return salted.groupBy(*keys).applyInPandas(merge, schema).drop("_salt")
-
-
-def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], function: Callable[[Summary], Sequence[object]], schema: str) -> DataFrame:
-    """keys and the columns of schema: what a function makes of the Summary of each group of rows with theta and y."""
-    factors, width = group_factors(rows, keys, names), len(names) + 1
+    def reduce(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() % salt
+        blocks = (x for b in batches if b.num_rows for x in runs(b, len(keys) + 2 if again else len(keys), b.column(len(keys) + 1).to_numpy() if again else None))
+        for key, n, factor in reduced(blocks, width):
+            whole = factor if len(factor) else np.zeros((1, width))
+            named = [pa.array([k] * len(whole), f.type) for k, f in zip(key, arrow)]
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(whole.ravel()), width).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*named, pa.array([part] * len(whole), pa.int32()), pa.array([n] + [0] * (len(whole) - 1), pa.int64()), flat], [*keys, "_salt", "n", "row"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = (x for b in batches if b.num_rows for x in runs(b, len(keys) + 2, b.column(len(keys) + 1).to_numpy()))
+        for key, n, factor in reduced(blocks, width):
+            whole = np.vstack([factor, np.zeros((width - len(factor), width))])
+            yield pa.RecordBatch.from_arrays([*[pa.array([k], f.type) for k, f in zip(key, arrow)], pa.array([n], pa.int64()), pa.array([whole.ravel()], pa.list_(pa.float64()))], [*keys, "n", "factor"])
+
+    parts = f"{kinds}, _salt int, n long, row array<double>"
+    first = rows.select(*keys, F.concat("theta", F.array(*[F.col(t).cast("double") for t in targets])).alias("row")).sortWithinPartitions(*keys).mapInArrow(lambda b: reduce(b, False), parts)
+    salted = first.repartition(*keys, "_salt").sortWithinPartitions(*keys).mapInArrow(lambda b: reduce(b, True), parts)
+    return salted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, f"{kinds}, n long, factor array<double>")
+
+
+def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], function: Callable[[Summary], Sequence[object]], schema: str, targets: Sequence[str] = ("y",), label: str | None = None) -> DataFrame:
+    """keys and the columns of schema: what a function makes of the Summary of each group of rows with theta and targets.
+
+    Each target gives a row, with its name in the column label where that is given; all targets of a group share one triangle.
+    """
+    factors, p = group_factors(rows, keys, names, targets), len(names)
+    width = p + len(targets)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    columns = [c.split()[0] for c in schema.split(", ")]
+    columns = [*([label] if label else []), *(c.split()[0] for c in schema.split(", "))]
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [(*[getattr(row, k) for k in keys], *function(Summary(np.asarray(row.factor).reshape(width, width), row.n, tuple(names)))) for row in pdf.itertuples(index=False)]
+            found = []
+            for row in pdf.itertuples(index=False):
+                factor = np.asarray(row.factor).reshape(width, width)
+                s = Summary(factor[:, [*range(p), p + row.target_]], row.n, tuple(names))
+                found.append((*row[: len(keys)], *([targets[row.target_]] if label else []), *function(s)))
             yield pd.DataFrame(found, columns=[*keys, *columns])
 
-    return factors.mapInPandas(fit, f"{kinds}, {schema}")
+    # A group and a target are a piece of work of their own.
+    each = factors.withColumn("target_", F.explode(F.array(*map(F.lit, range(len(targets))))))
+    if len(targets) > 1:
+        each = each.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "target_")
+    return each.mapInPandas(fit, ", ".join([kinds, *([f"{label} string"] if label else []), schema]))
 
 
-def identify_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], method: str = "ccp", **how: object) -> DataFrame:
-    """keys and the fields of a result: the terms found for each group of rows with theta and y."""
+def identify_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], method: str = "ccp", targets: Sequence[str] = ("y",), label: str | None = None, **how: object) -> DataFrame:
+    """keys, label if given, and the fields of a result: the terms found for each group of rows with theta and targets."""
 
     def fit(s: Summary) -> tuple:
         found = recovery.identify(s, method, **how)
         return list(found.names), list(found.coefficients), found.residual
 
-    return of_groups(rows, keys, names, fit, "names array<string>, coefficients array<double>, residual double")
+    return of_groups(rows, keys, names, fit, "names array<string>, coefficients array<double>, residual double", targets, label)
 
 
 def scored(results: DataFrame, true: Sequence[str]) -> DataFrame:
