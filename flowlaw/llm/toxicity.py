@@ -36,6 +36,10 @@ LONGEST = 1 << 16
 FREQUENT = 5
 #: A score from which a text counts as toxic.
 LIMIT = 0.7
+#: One of so many labelled texts stands apart for calibration; the least and the largest slope of that.
+APART, SLOPES = 3, (0.2, 2.0)
+#: The power of a label's likelihood that weights a text in calibration.
+TRUST = 0.7
 GATES = 3 * HIDDEN
 INPUT = OWN + 1 + CHARS
 
@@ -237,13 +241,34 @@ def _pick(model: Model, texts: list[list[str]], labels: np.ndarray, rng: np.rand
     return words, grid[:, chosen], np.concatenate([labels, np.zeros(int((labels == 0).sum()))])
 
 
-def train(texts: list[str], labels: list[int], share: float, seed: int = 6, passes: int = 2, epochs: int = 3, batch: int = 128, rate: float = 0.01, steps: int = 150, decay: float = 1e-3) -> Model:
-    """A model of labelled texts. share: that of toxic texts among all, for which scores are calibrated.
+def train(texts: list[str], labels: list[int], seed: int = 6, apart: int = APART, **how: float) -> Model:
+    """A model of labelled texts. Scores are calibrated as if as many texts were toxic as not.
 
-    A pass takes that many epochs over its windows, or as many as make up steps; decay draws words' own vectors to zero.
+    Every apart-th text of each class stands apart from a first model, and its scores there calibrate the last one, which is
+    trained on all texts: on texts that it has seen, a network is surer than elsewhere. With less than two of a class apart, scores are left as they are.
     """
     split, y = [words_of(t) for t in texts], np.array(labels, np.float32)
-    seen = {k: Counter(w for words, x in zip(split, labels) if x == k for w in set(words)) for k in (0, 1)}
+    place = np.zeros(len(y), int)
+    for k in (0, 1):
+        place[y == k] = np.arange((y == k).sum())
+    out = place % apart == apart - 1
+    model = learnt(split, y, seed, **how)
+    if not (y == 0).any() or not (y == 1).any():
+        model.slope, model.offset = 0.0, float(np.log(((y == 1).sum() + 0.5) / ((y == 0).sum() + 0.5)))
+    elif min((y[out] == 0).sum(), (y[out] == 1).sum()) > 1:
+        first = learnt([w for w, o in zip(split, out) if not o], y[~out], seed, **how)
+        model.slope, model.offset = calibrated(highest(first, [w for w, o in zip(split, out) if o]), y[out])
+    else:
+        model.slope, model.offset = 1.0, 0.0
+    return model
+
+
+def learnt(split: list[list[str]], y: np.ndarray, seed: int = 6, passes: int = 2, epochs: int = 3, batch: int = 128, rate: float = 0.01, steps: int = 150, decay: float = 1e-3) -> Model:
+    """A network trained on texts, as words, and their labels.
+
+    A pass takes that many epochs over its windows, or as many as make up steps; decay draws words' own vectors to zero.
+    """
+    seen = {k: Counter(w for words, x in zip(split, y) if x == k for w in set(words)) for k in (0, 1)}
     totals = {k: int((y == k).sum()) for k in (0, 1)}
     rank = sorted((w for w in seen[0] | seen[1] if seen[0][w] + seen[1][w] >= FREQUENT and w), key=lambda w: (-seen[0][w] - seen[1][w], w))[:VOCABULARY]
     number = {w: i + 1 for i, w in enumerate(rank)}
@@ -251,7 +276,6 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 6, pass
     odds = np.array([0.0, *(np.log(chance(w, 1)) - np.log(chance(w, 0)) for w in rank)])
     model, rng = fresh(number, np.clip(odds, -6, 6) / 3, seed), np.random.default_rng(seed)
     if not totals[0] or not totals[1]:
-        model.slope, model.offset = 0.0, float(np.log((totals[1] + 0.5) / (totals[0] + 0.5)))
         return model
     # At first a window is as toxic as its words' odds.
     model.net["fore_in"][OWN, 2 * HIDDEN :] = 1.0
@@ -273,20 +297,26 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 6, pass
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     model.net[k] -= (rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    model.slope, model.offset = calibrated(highest(model, split), y, share)
     return model
 
 
-def calibrated(score: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through the scores, with toxic texts weighted to their share; by Newton steps."""
-    share = min(max(share, 1e-3), 1 - 1e-3)
-    weight = np.where(labels > 0, share / max((labels > 0).mean(), 1e-9), (1 - share) / max((labels == 0).mean(), 1e-9))
-    x, beta = np.stack([score, np.ones_like(score)], 1).astype(np.float64), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (weight * (p - labels)) + 1e-3 * beta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta -= np.clip(np.linalg.solve(curve, gradient), -5, 5)
+def calibrated(score: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through the scores, with both kinds of texts weighing the same; by Newton steps.
+
+    Labels are drawn a little to the middle, as for one more text of either kind, and the slope stays within SLOPES, so that scores neither tie nor turn.
+    A text counts the less, the less likely its label is by the curve so far: a few texts whose words tell nothing of their label would flatten the curve for all others.
+    """
+    toxic = labels > 0
+    weight = np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max((~toxic).mean(), 1e-9))
+    aim = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    x, beta = np.stack([score, np.ones_like(score)], 1).astype(np.float64), np.array([0.5, 0.0])
+    for _ in range(200):
+        p = np.exp(-np.logaddexp(0, -(x @ beta)))
+        trusted = weight * np.where(toxic, p, 1 - p) ** TRUST
+        gradient = x.T @ (trusted * (p - aim)) + 1e-3 * beta
+        curve = (x * (trusted * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        beta -= np.clip(np.linalg.solve(curve, gradient), -0.5, 0.5)
+        beta[0] = min(max(beta[0], SLOPES[0]), SLOPES[1])
     return float(beta[0]), float(beta[1])
 
 
@@ -298,16 +328,18 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[int], float]:
     """Texts and labels of at most so many documents of each class, and the share of toxic ones among all labels that are not held out.
 
-    Labels are chosen by a hash of their doc_id, and none that is held out. Their texts of more than longest characters take no part, so that what
+    Labels are chosen by a hash of their doc_id among those that have such a text, and none that is held out. Their texts of more than longest characters take no part, so that what
     comes to the driver is at most 2 * rows * longest characters. A doc_id with several texts gives the first of them, however often it
     stands there; one with both labels is an item of each class.
     """
+    short = docs.select("doc_id", "text").filter(F.char_length("text") <= longest)
     open_ = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["count"] for r in open_.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id", F.lit(6))
-    some = [open_.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
+    met = open_.join(short.select("doc_id"), "doc_id", "left_semi")  # ids alone are shuffled
+    some = [met.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(rows) for k in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * rows ids
-    texts = docs.select("doc_id", "text").filter(F.char_length("text") <= longest).join(chosen, "doc_id")
+    texts = short.join(chosen, "doc_id")
     one = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).limit(2 * rows)
     found = one.toPandas().sort_values(["doc_id", "toxic"])
     return found["text"].tolist(), found["toxic"].tolist(), n.get(1, 0) / max(sum(n.values()), 1)
@@ -319,7 +351,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Itera
         for i in range(0, batch.num_rows, 128):
             part = batch.slice(i, 128)
             top = highest(model, [words_of(t or "") for t in part.column(text).to_pylist()]).astype(np.float64)
-            yield part, 1 / (1 + np.exp(-np.clip(model.slope * top + model.offset, -30, 30)))
+            yield part, np.exp(-np.logaddexp(0, -(model.slope * top + model.offset)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -354,7 +386,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
-    return train(*sample(docs, labels, rows))
+    return train(*sample(docs, labels, rows)[:2])
 
 
 def judged(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
