@@ -17,6 +17,8 @@ from .common import cut, small, text_or_empty
 
 #: Rows that a bin is meant to hold, and the most bins, whose counts one task sums up.
 BIN, BINS = 250, 1 << 16
+#: A key with more rows than this share of all is spread.
+KEYS = 10_000
 
 
 def _ranked(rows: DataFrame, strata: list[str], bin_: str, order: list[str | Column], name: str) -> DataFrame:
@@ -32,15 +34,19 @@ def interleave(rows: DataFrame, key: Column, source: Column, shards: int = 16, s
     """rows with shard and slot (gapless from 0 in each shard).
 
     key identifies a row; rows of one key and one source lie side by side in
-    the order of their columns, so repeated rows get neighbouring places. Rows without a key are shuffled by a number that they get here,
-    so any number of them is spread. A null source is a source of its own. Without rows the result has none. The added columns replace any of the same name.
+    the order of their columns, so repeated rows get neighbouring places. Rows without a key, and those of a key with over 250 rows and a ten-thousandth of all, are
+    shuffled by a number that they get here, so any number of them is spread. A null source is a source of its own. Without rows the result has none. The added columns replace any of the same name.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
-    lone = F.concat(F.lit("null "), F.monotonically_increasing_id())
-    whole = rows.select(F.struct(*keep).alias("_row"), F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), lone))).alias("_mark"))
-    whole = cut(whole)
+    named = rows.select(F.struct(*keep).alias("_row"), F.coalesce(source.cast("string"), F.lit("")).alias("_source"), source.isNull().alias("_none"), key.cast("string").alias("_key"))
+    most = max(BIN, named.count() // KEYS)
+    often = named.filter("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_times")).filter(F.col("_times") > most)  # KEYS rows at most
+    lone = F.concat(F.coalesce("_key", F.lit("null")), F.lit(" "), F.monotonically_increasing_id())
+    own = F.when(F.col("_key").isNull() | F.col("_times").isNotNull(), lone).otherwise(F.col("_key"))
+    marked = named.join(F.broadcast(often), "_key", "left").select("_row", "_source", "_none", F.md5(F.concat_ws(":", F.lit(str(seed)), own)).alias("_mark"))
+    whole = cut(marked)
     sizes = cut(whole.groupBy("_source", "_none").agg(F.count("*").alias("_size")))
     n = sizes.agg(F.sum("_size")).first()[0] or 0
     bins = min(max(1, n // BIN), BINS)
