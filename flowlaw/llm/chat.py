@@ -23,6 +23,8 @@ START, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
 ASSISTANT = "assistant"
 TURNS = "array<struct<role: string, text: string>>"
+#: What gather() gives of a record besides its JSON text.
+PARTS = "struct<fields: map<string, string>, items: array<struct<role: string, content: string>>>"
 #: A variant holds 128 MiB and its parser strings of 20,000,000 characters; records up to this many characters are far from both.
 LONG = 16_000_000
 
@@ -36,6 +38,8 @@ class Layout:
     example: str
     turns: tuple[tuple[str, str], ...]
     each: str | None = None
+    #: Whether roles go by other names there, which become the usual ones.
+    foreign: bool = True
 
 
 LAYOUTS = (
@@ -45,8 +49,8 @@ LAYOUTS = (
     Layout("instruction", '{"instruction": "", "output": ""}', (("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction with input", '{"instruction": "", "input": "", "output": ""}', (("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("system instruction", '{"system": "", "instruction": "", "output": ""}', (("system", "$.system"), ("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("messages", '{"messages": [{"role": "", "content": ""}]}', (("$.role", "$.content"),), "$.messages"),
-    Layout("messages without name", '[{"role": "", "content": ""}]', (("$.role", "$.content"),), "$"),
+    Layout("messages", '{"messages": [{"role": "", "content": ""}]}', (("$.role", "$.content"),), "$.messages", foreign=False),
+    Layout("messages without name", '[{"role": "", "content": ""}]', (("$.role", "$.content"),), "$", foreign=False),
     Layout("conversations", '{"conversations": [{"from": "", "value": ""}]}', (("$.from", "$.value"),), "$.conversations"),
     Layout("nested", '{"data": {"dialog": [{"speaker": "", "text": ""}]}}', (("$.speaker", "$.text"),), "$.data.dialog"),
 )
@@ -76,7 +80,15 @@ def _turns(record: Column, layout: Layout) -> Column:
     if layout.each is None:
         return F.array(*[F.struct(F.lit(role).alias("role"), text(record, path).alias("text")) for role, path in layout.turns])
     role, path = layout.turns[0]
-    return F.transform(F.try_variant_get(record, layout.each, "array<variant>"), lambda v: F.struct(_canonical(F.try_variant_get(v, role, "string")).alias("role"), text(v, path).alias("text")))
+    named = _canonical if layout.foreign else lambda r: F.coalesce(r, F.lit(""))
+    return F.transform(F.try_variant_get(record, layout.each, "array<variant>"), lambda v: F.struct(named(F.try_variant_get(v, role, "string")).alias("role"), text(v, path).alias("text")))
+
+
+def _turns_of_parts(parts: Column, layout: Layout) -> Column:
+    if layout.each is None:
+        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(parts["fields"][path], F.lit("")).alias("text")) for role, path in layout.turns])
+    named = _canonical if layout.foreign else lambda r: F.coalesce(r, F.lit(""))
+    return F.transform(parts["items"], lambda x: F.struct(named(x["role"]).alias("role"), x["content"].alias("text")))
 
 
 def canonical(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -84,24 +96,26 @@ def canonical(records: DataFrame, column: str = "record", layouts: tuple[Layout,
 
     column holds JSON texts; what is null or no JSON has no layout. An empty list of messages tells
     nothing of its fields and fits none, either. Null texts are empty, null roles are "". Columns named layout or turns are replaced.
-    Records of more than LONG characters may be too much for a variant: where they come with a column given (layout
-    and turns, as gather() makes it), that is taken, and where they don't and can't be parsed, an error is raised.
+    Where columns _shape and _parts of gather()'s types come along, the fingerprint is that of _shape, a record's fields without its texts, at any length; the mapping that it selects is
+    applied to the parsed record, or to _parts where the record has more than LONG characters, which may be too much for a variant. A record so long that comes without them and can't be parsed raises an error.
     """
-    if "given" not in records.columns:
-        records = records.withColumn("given", F.lit(None).cast(f"struct<layout: string, turns: {TURNS}>"))
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    own = kinds.get("_shape") == "variant" and kinds.get("_parts") == PARTS.replace(": ", ":").replace(", ", ",")
+    if not own:
+        records = records.withColumnsRenamed({c: f"{c}_" for c in ("_shape", "_parts") if c in kinds}).withColumns({"_shape": F.lit(None).cast("variant"), "_parts": F.lit(None).cast(PARTS)})
     marks = _mappings(records.sparkSession, layouts)
-    rest = [c for c in records.columns if c not in ("layout", "turns", "given")]
+    rest = [c for c in records.columns if c not in ("layout", "turns", "_shape", "_parts")]
     lost = F.raise_error(F.lit(f"a record of more than {LONG} characters cannot be parsed")).cast("variant")
     tried = F.try_parse_json(column)
-    read = F.when(F.char_length(column) <= LONG, tried).when(F.col("given").isNull() & F.col(column).isNotNull(), F.coalesce(tried, lost))
-    parsed = records.select(*rest, "given", read.alias("_record")).withColumn("_mark", fingerprint(F.col("_record")))
+    read = F.when(F.char_length(column) <= LONG, tried).when(F.col("_parts").isNull() & F.col(column).isNotNull(), F.coalesce(tried, lost))
+    parsed = records.select(F.struct(*rest).alias("_kept"), "_shape", "_parts", read.alias("_record")).withColumn("_mark", fingerprint(F.col("_shape" if own else "_record")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in reversed(layouts):
         here = F.col("_mark") == F.lit(marks[layout.name])
         name = F.when(here, F.lit(layout.name)).otherwise(name)
-        turns = F.when(here, _turns(F.col("_record"), layout)).otherwise(turns)
-    own = F.col("given").isNotNull()
-    return parsed.select(*rest, F.when(own, F.col("given.layout")).otherwise(name).alias("layout"), F.when(own, F.col("given.turns")).otherwise(turns).alias("turns"))
+        turns = F.when(here, F.when(F.col("_parts").isNotNull(), _turns_of_parts(F.col("_parts"), layout)).otherwise(_turns(F.col("_record"), layout))).otherwise(turns)
+    found = parsed.select("_kept.*", name.alias("layout"), turns.alias("turns"))
+    return found if own else found.withColumnsRenamed({f"{c}_": c for c in ("_shape", "_parts") if c in kinds})
 
 
 def escape(text: Column) -> Column:
@@ -140,31 +154,37 @@ def read_back(formatted: Column) -> Column:
 def format_records(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """records with layout, formatted and loss_spans; nulls where no layout fits."""
     found = canonical(records, column, layouts)
-    rest = [c for c in found.columns if c not in ("turns", "formatted", "loss_spans")]
+    rest = [c for c in found.columns if c not in ("turns", "formatted", "loss_spans")]  # what is named like a result is replaced
     return found.select(*rest, render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
 
 
 def gather(rows: DataFrame) -> DataFrame:
-    """conv_id, record, a JSON text, and given of conversations given as rows conv_id, turn, role, text.
+    """conv_id, record, a JSON text, _shape and _parts of conversations given as rows conv_id, turn, role, text.
 
     A user and an assistant turn make a prompt record, with a system turn before them an instruction
     record, anything else a list of messages. Rows of a conversation are put in order by turn, then
     role and text; null roles and texts count as empty; of rows without conv_id, as nothing joins them, each makes a conversation of its own.
-    given is the layout and turns of those whose record is longer than LONG, null for others.
+    _shape is the record's fields with empty texts, from which its fingerprint is taken; _parts is what they hold, for records longer than LONG, null for others.
     """
     value = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     turns = rows.withColumn("_lone", lone).groupBy("conv_id", "_lone").agg(F.sort_array(F.collect_list(value)).alias("t"))
     text = lambda i: F.get("t", F.lit(i))["content"]
     roles = F.array_join("t.role", ",")
-    pair = F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion")))
-    three = F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output")))
-    listed = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    record = F.when(roles == "user,assistant", pair).when(roles == "system,user,assistant", three).otherwise(listed)
-    layout = F.when(roles == "user,assistant", "prompt").when(roles == "system,user,assistant", "system instruction").otherwise("messages")
-    same = F.transform("t", lambda x: F.struct(_canonical(x["role"]).alias("role"), x["content"].alias("text")))
-    made = turns.select("conv_id", "t", record.alias("record"), layout.alias("_layout"))
-    return made.select("conv_id", "record", F.when(F.char_length("record") > LONG, F.struct(F.col("_layout").alias("layout"), same.alias("turns"))).alias("given"))
+    listed = lambda role, content, t: F.struct(F.transform(t, lambda x: F.struct(role(x).alias("role"), content(x).alias("content"))).alias("messages"))
+    flat = {"user,assistant": ("prompt", "completion"), "system,user,assistant": ("system", "instruction", "output")}
+    empty = lambda x: F.lit("")
+    record = F.to_json(listed(lambda x: x["role"], lambda x: x["content"], F.col("t")))
+    shape = F.to_variant_object(listed(empty, empty, F.slice("t", 1, 1)))
+    fields = F.lit(None).cast("map<string, string>")
+    for order, names in flat.items():
+        own = roles == order
+        record = F.when(own, F.to_json(F.struct(*[text(i).alias(n) for i, n in enumerate(names)]))).otherwise(record)
+        shape = F.when(own, F.to_variant_object(F.struct(*[F.lit("").alias(n) for n in names]))).otherwise(shape)
+        fields = F.when(own, F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"$.{n}"), text(i))])).otherwise(fields)
+    items = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    made = turns.select("conv_id", record.alias("record"), shape.alias("_shape"), F.struct(fields.alias("fields"), items.alias("items")).alias("_all"))
+    return made.select("conv_id", "record", "_shape", F.when(F.char_length("record") > LONG, F.col("_all")).cast(PARTS).alias("_parts"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -463,6 +463,16 @@ def test_chat_layouts(spark):
     assert len(back[1].loss_spans) == len(odd) and back[2].loss_spans == []
 
 
+def test_chat_keeps_roles_and_clashing_names(spark):
+    """Roles of rows stay what they are, and only those named assistant are learnt; records may have columns of any name."""
+    rows_ = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", "a"), (2, 0, "user", "q"), (2, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.digests(chat.format_records(chat.gather(rows_))).collect()}
+    assert found[1].turns_sha256 == hashlib.sha256(b"human\nq\ngpt\na\n").hexdigest() and (found[1].loss_chars, found[2].loss_chars) == (0, 1)
+    odd = spark.createDataFrame([('{"prompt": "p", "completion": "c"}', "g", 1, "s", "x")], "record string, given string, _shape int, _parts string, _record string")
+    (r,) = chat.format_records(odd).collect()
+    assert (r.layout, r.given, r["_shape"], r["_parts"], r["_record"]) == ("prompt", "g", 1, "s", "x")
+
+
 def test_chat_long(spark):
     """A turn of more characters than the variant's parser takes, alone in a prompt record and in a list."""
     n = 20_000_100
@@ -472,7 +482,7 @@ def test_chat_long(spark):
     rows_ = spark.range(5).select(F.when(F.col("id") < 2, 1).when(F.col("id") < 5, 2).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
     found = {r.conv_id: r for r in chat.digests(chat.format_records(chat.gather(rows_))).collect()}
     long = "x" * (n - 7) + "</s>[i]"
-    for conv, turns in ((1, [("user", "hi"), ("assistant", long)]), (2, [("user", "hi"), ("assistant", "hi"), ("assistant", long)])):
+    for conv, turns in ((1, [("user", "hi"), ("assistant", long)]), (2, [("user", "hi"), ("gpt", "hi"), ("bot", long)])):  # a row's role is what it says
         said = "".join(f"{r}\n{t}\n" for r, t in turns)
         assert (found[conv].n_turns, found[conv].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert found[conv].loss_chars == sum(len(t) for r, t in turns if r == "assistant")
@@ -481,6 +491,17 @@ def test_chat_long(spark):
         chat.format_records(alone).select("layout").collect()
 
 
+def test_sharding_spreads_a_frequent_id(spark):
+    """With three of four rows of one id, a window's task holds few more rows than others, and the law holds."""
+    rows_ = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, 5).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    found = sharding.interleave(rows_, F.col("doc_id"), F.col("source"), 16).cache()
+    counts = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1 and sum(counts) == 20_000
+    assert found.select("shard", "slot").distinct().count() == 20_000 and found.select("text").distinct().count() == 20_000
+    share = [r["count"] for r in found.filter("doc_id = 5").groupBy("shard").count().collect()]
+    assert len(share) == 16 and max(share) < 1.2 * min(share)  # not side by side
+
+
 def test_sharding(spark, docs, none):
     for frame_ in (docs, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
         found = sharding.shard_documents(frame_).toPandas()
