@@ -117,3 +117,39 @@ def test_rows(spark):
     assert [(r.pii_units, r["count"]) for r in got] == [(2, 3000)]
     assert pii.replaced(empty(spark), "key").count() == 0 and pii.replaced(frame(spark), "key").count() == len(rows())
     assert [r.text for r in pii.replaced(spark.createDataFrame([(None,), ("",)], "text string"), "key").collect()].count(None) == 1
+
+
+def test_all_addresses_of_a_network(spark):
+    """More private addresses than leave room for other ones: all get one of their own in the same network."""
+    values = [f"192.168.{a}.{b}" for a in range(250) for b in range(0, 256, 2)]
+    found = {r.value: r.replacement for r in pii.surrogates(spark.createDataFrame([("ip", v) for v in [*values, "10.1.2.3"]], "kind string, value string"), "key", rounds=1).collect()}
+    assert len(found) == len(values) + 1 and len(set(found.values())) == len(found) and all(a != b for a, b in found.items())
+    assert all(regex.fullmatch(r"192\.168\.\d{1,3}\.\d{1,3}", found[v]) for v in values) and found["10.1.2.3"].startswith("10.")
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_names_without_draws(spark, rounds):
+    """Even where no draw is left, no name stays, different ones differ, and script, case and signs are kept."""
+    values = [("given f", "Мария"), ("family", "Иванов"), ("family", "ИВАНОВ"), ("family", "Παπαδόπουλος"), ("family", "王"), ("family", "O'Brien-Smythe"), ("family", "Le"), ("given n", "Robin"), ("family", "김"), ("family", "מזרחי")]
+    found = {r.value: r.replacement for r in pii.surrogates(spark.createDataFrame(values, "kind string, value string"), "key", rounds=rounds).collect()}
+    shapes = {"Мария": r"\p{Cyrillic}+-\p{Cyrillic}+", "Иванов": r"\p{Lu}\p{Cyrillic}+", "ИВАНОВ": r"[\p{Lu}]+", "Παπαδόπουλος": r"\p{Greek}+", "王": r"\p{Han}+", "O'Brien-Smythe": r"\p{Lu}\p{L}+'\p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+", "Le": r"\p{Lu}\p{Ll}+", "Robin": r"\p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+", "김": r"\p{Hangul}+", "מזרחי": r"\p{Hebrew}+"}
+    for value, shape in shapes.items():
+        assert regex.fullmatch(shape, found[value]) and found[value].lower() != value.lower(), (value, found[value])
+    assert found["Иванов"].upper() == found["ИВАНОВ"] and len({v.lower() for v in found.values()}) == len(found) - 1
+
+
+def test_permuted_formats(spark):
+    """Images are one to one, in the same format, and never the value; cards keep what their check digit says."""
+    values = [("card", f"{n:016d}"[:1] + f"{n * 7919 % 10**15:015d}") for n in range(300)] + [("phone", f"0{n:03d}") for n in range(300)] + [("secret", f"a{n:02d}Z") for n in range(100)] + [("iban", f"DE{n:02d}A") for n in range(100)]
+    frame_ = spark.createDataFrame(values, "kind string, canon string").distinct()
+    found = frame_.withColumn("image", pii.permuted(F.col("kind"), F.col("canon"), "key")).withColumn("same", pii._luhn(F.col("canon")) == pii._luhn(F.col("image"))).collect()
+    assert len({(r.kind, r.image) for r in found}) == len(found) and all(r.image != r.canon and len(r.image) == len(r.canon) for r in found)
+    assert all(r.same and r.image[0] == r.canon[0] for r in found if r.kind == "card") and all(r.image.startswith("DE") for r in found if r.kind == "iban")
+
+
+def test_more_titles_and_columns(spark):
+    new = one(spark, "Dr. Miller met MR. SMITH and Mr. 王 there", "Prof. Anna Stone")
+    assert not any(x in new[0] for x in ("Miller", "SMITH", "王")) and "Stone" not in new[1] and "Anna" not in new[1]
+    clash = spark.createDataFrame([("Mr. Smith", 1, 2, 3)], "text string, _pad int, _0 int, _row int")
+    (r,) = pii.replaced(clash, "key").collect()
+    assert (r["_pad"], r["_0"], r["_row"], r.pii_units) == (1, 2, 3, 1) and "Smith" not in r.text
