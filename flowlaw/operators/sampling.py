@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .summary import FAN
+
 
 def row_norm(columns: list[Column]) -> Column:
     squares = [c * c for c in columns]
@@ -68,9 +71,13 @@ def _norm(theta: str) -> Column:
     return F.sqrt(F.aggregate(F.transform(F.col(theta), lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
 
 
+#: Ids of a sample that go to all tasks, at most; more are joined.
+SENT = 100_000
+
+
 def _chosen(rows: DataFrame, ids: list, row_id: str) -> DataFrame:
     chosen = rows.sparkSession.createDataFrame([(x,) for x in ids], rows.select(row_id).schema)
-    return rows.join(F.broadcast(chosen), row_id, "left_semi")  # m ids
+    return rows.join(F.broadcast(chosen) if len(ids) <= SENT else chosen, row_id, "left_semi")
 
 
 def pivot_ids(pool: pd.DataFrame, m: int, row_id: str, theta: str) -> list:
@@ -85,8 +92,11 @@ def signal_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta", rati
     return _chosen(rows, pivot_ids(pool, m, row_id, theta), row_id)
 
 
-def spanning_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta", groups: int = 32) -> DataFrame:
-    """m rows out of all that span the most: each task puts forward m of its own, groups of tasks m of these, and the last m come from the groups."""
+def spanning_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta") -> DataFrame:
+    """m rows out of all that span the most: each task puts forward m of its own, then those of a shuffle m of what comes to them, then of 64, then one; ids come to the driver.
+
+    Every task takes rows block by block and holds m of them.
+    """
     kind = rows.schema[row_id].dataType.simpleString()
     schema = f"part int, `{row_id}` {kind}, theta array<double>"
 
@@ -96,14 +106,13 @@ def spanning_rows(rows: DataFrame, m: int, row_id: str, theta: str = "theta", gr
             both = pdf if held is None else pd.concat([held, pdf])
             held = both.set_index(row_id, drop=False).loc[pivot_ids(both, m, row_id, "theta")].reset_index(drop=True) if len(both) > m else both
         if held is not None:
-            yield held
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(forward(iter([pdf])))
+            yield held.assign(part=TaskContext.get().partitionId())
 
-    one = rows.select(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"), row_id, F.col(theta).alias("theta"))
-    pool = one.mapInPandas(forward, schema).groupBy("part").applyInPandas(merge, schema).drop("part").toPandas()  # groups * m rows
-    return _chosen(rows, pivot_ids(pool, m, row_id, "theta"), row_id)
+    pool = rows.select(F.lit(0).alias("part"), row_id, F.col(theta).alias("theta")).mapInPandas(forward, schema).repartition("part").mapInPandas(forward, schema)
+    if int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) > FAN:
+        pool = pool.withColumn("part", F.pmod("part", F.lit(FAN))).repartition(FAN, "part").mapInPandas(forward, schema)
+    last = pool.repartition(1).mapInPandas(forward, schema).select(row_id, "theta").toPandas()  # m rows
+    return _chosen(rows, pivot_ids(last, m, row_id, "theta"), row_id)
 
 
 #: By name: functions of rows, how many of them, their id's name and a seed. Fewer rows than asked for are all taken.

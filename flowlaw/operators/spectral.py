@@ -113,3 +113,63 @@ def diffuse(snapshots: DataFrame, rate: float, steps: int = 1, u: str = "u") ->
         moved = F.transform(F.col(u), lambda x, i: x + rate * (F.get(F.col(u), F.pmod(i + 1, n)) - 2 * x + F.get(F.col(u), F.pmod(i - 1 + n, n))))
         snapshots = snapshots.withColumn(u, moved)
     return snapshots
+
+
+def long_derivative(blocks: DataFrame, keys: Sequence[str], block: str, order: int, u: str = "u") -> DataFrame:
+    """keys, block and u: a derivative of periodic fields too long for a row, which are given in blocks 0, 1 and so on of equal length, and come back in the same ones.
+
+    The transform is done in two steps. Each task of the first takes the same few places of all blocks and transforms across the blocks; turned by an
+    angle of place and wave, the results are dealt out by wave, and each task of the second transforms along the places. There the waves are multiplied, and the
+    way back is the same. A task holds blocks times a few places, or one block's places; nobody holds a field. A missing block, or one of another length, raises an error.
+    """
+    kinds = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    keys = list(keys)
+    sized = blocks.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(F.size(u)).alias("_m"), F.min(F.size(u)).alias("_least"), F.max(block).alias("_top"), F.countDistinct(block).alias("_all"))
+    whole = (F.col("_m") == F.col("_least")) & (F.col("_top") == F.col("_n") - 1) & (F.col("_all") == F.col("_n"))
+    counted = sized.select(*keys, "_n", F.when(whole, F.col("_m")).otherwise(F.raise_error(F.lit("blocks are missing, repeated or of unequal length")).cast("int")).alias("_m"))
+    # So many places go together that a task of the first step holds about as many numbers as a block has.
+    wide = blocks.join(counted, keys).withColumn("_w", F.greatest(F.lit(1), F.ceil(F.col("_m") / F.col("_n")).cast("int")))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_m") / F.col("_w")).cast("int") - 1), lambda c: F.struct(c.alias("c"), F.slice(u, c * F.col("_w") + 1, F.col("_w")).alias("v")))
+    cut_up = wide.select(*keys, F.col(block).cast("long").alias("_b"), "_n", "_m", "_w", F.explode(chunks).alias("x")).select(*keys, "_b", "_n", "_m", "_w", "x.c", "x.v")
+
+    def spread(pdf: pd.DataFrame, matrix: np.ndarray, names: str) -> pd.DataFrame:
+        """A row for each row of a complex matrix."""
+        first = pdf.iloc[0]
+        out = pd.DataFrame({**{k: [first[k]] * len(matrix) for k in keys}, names: np.arange(len(matrix)), "_n": first["_n"], "_m": first["_m"], "_w": first["_w"], "c": first["c"]})
+        return out.assign(re=list(np.ascontiguousarray(matrix.real)), im=list(np.ascontiguousarray(matrix.imag)))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_b")
+        n, m, w, c = (int(pdf[x].iloc[0]) for x in ("_n", "_m", "_w", "c"))
+        found = np.fft.fft(np.stack(pdf["v"].to_numpy()), axis=0)
+        place = c * w + np.arange(found.shape[1])
+        return spread(pdf, found * np.exp(-2j * np.pi * np.outer(np.arange(n), place) / (n * m)), "_k")
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        n, m, w, k = (int(pdf[x].iloc[0]) for x in ("_n", "_m", "_w", "_k"))
+        line = np.concatenate(pdf["re"].to_list()) + 1j * np.concatenate(pdf["im"].to_list())
+        wave, size = k + n * np.arange(m), n * m
+        signed = np.where(2 * wave > size, wave - size, wave)
+        factor = (1j * signed) ** order
+        if order % 2:
+            factor = np.where(2 * wave == size, 0, factor)
+        back = np.fft.ifft(np.fft.fft(line) * factor)
+        back = back * np.exp(2j * np.pi * k * np.arange(m) / size)
+        first = pdf.iloc[0]
+        parts = [back[i : i + w] for i in range(0, m, w)]
+        out = pd.DataFrame({**{x: [first[x]] * len(parts) for x in keys}, "_k": k, "_n": n, "_m": m, "_w": w, "c": np.arange(len(parts))})
+        return out.assign(re=[p.real for p in parts], im=[p.imag for p in parts])
+
+    def home(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        found = np.fft.ifft(np.stack(pdf["re"].to_numpy()) + 1j * np.stack(pdf["im"].to_numpy()), axis=0).real
+        first = pdf.iloc[0]
+        return pd.DataFrame({**{k: [first[k]] * len(found) for k in keys}, "_b": np.arange(len(found)), "c": first["c"], "v": list(found)})
+
+    schema = f"{kinds}, _k long, _n long, _m int, _w int, c int, re array<double>, im array<double>"
+    waves = cut_up.groupBy(*keys, "c").applyInPandas(across, schema)
+    turned = waves.groupBy(*keys, "_k").applyInPandas(along, schema)
+    fields = turned.groupBy(*keys, "c").applyInPandas(home, f"{kinds}, _b long, c int, v array<double>")
+    joined = fields.groupBy(*keys, "_b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"])).alias(u))  # a block's places
+    return joined.withColumnRenamed("_b", block)

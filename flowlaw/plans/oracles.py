@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations_with_replacement
 
+from ..functions.coupled import joint_terms, waves
 from ..functions.laws import laws
 from ..functions.terms import Term, dictionary
 
@@ -150,19 +151,24 @@ def _field_law() -> str:
     return f"WITH {GRID}, {WAVES}, {DERIVED}, {search(rows, [t.name for t in terms], 2)} SELECT name AS term, round(coefficient, 6) AS coefficient FROM terms"
 
 
-def _law_recovery() -> str:
-    """Smooth fields, their derivatives from the waves, rates with noise, and the search over the dictionary."""
+def _smooth_fields() -> str:
+    """CTEs that end in smooth (series, j, i, u and d1 to d4): fields of few waves with mean 0 and unit spread, and their derivatives."""
     turned = {0: "a * cos(w) + b * sin(w)", 1: "b * cos(w) - a * sin(w)", 2: "-a * cos(w) - b * sin(w)", 3: "-b * cos(w) + a * sin(w)"}
     shares = ", ".join(f"sum({SHARE} * pow(k, {r}) * ({turned[r % 4]})) AS s{r}" for r in range(5))
+    return f"""{GRID}, {WAVES},
+low AS (SELECT series, j, CAST(i AS INTEGER) AS i, {shares} FROM (SELECT *, 2 * pi() / 64 * k * i AS w FROM waves CROSS JOIN range(64) r(i) WHERE k <= 4) GROUP BY ALL),
+flat AS (SELECT series, j, avg(s0) AS mean, stddev_pop(s0) AS spread FROM low GROUP BY ALL),
+smooth AS (SELECT series, j, i, CASE WHEN spread < 1e-14 THEN 0 ELSE (s0 - mean) / spread END AS u, {", ".join(f"CASE WHEN spread < 1e-14 THEN 0 ELSE s{r} / spread END AS d{r}" for r in range(1, 5))} FROM low JOIN flat USING (series, j))"""
+
+
+def _law_recovery() -> str:
+    """Smooth fields, their derivatives from the waves, rates with noise, and the search over the dictionary."""
     known = {n: laws()[n] for n in ("kdv", "burgers", "allen_cahn", "ks", "fisher_kpp", "kdv_burgers", "fitzhugh_nagumo")}
     terms = dictionary(3, 4, True, 2)
     rates = " UNION ALL ".join(f"SELECT '{n}' AS law, series, j, i, u, d1, d2, d3, d4, {' + '.join(f'({c!r}) * {value(t)}' for t, c in law.items())} AS r FROM smooth" for n, law in known.items())
     columns = ", ".join(f"{value(t)} AS x{i}" for i, t in enumerate(terms))
     truth = ", ".join(f"('{n}', {[t.name for t in law]!r})" for n, law in known.items())
-    return f"""WITH {GRID}, {WAVES},
-low AS (SELECT series, j, CAST(i AS INTEGER) AS i, {shares} FROM (SELECT *, 2 * pi() / 64 * k * i AS w FROM waves CROSS JOIN range(64) r(i) WHERE k <= 4) GROUP BY ALL),
-flat AS (SELECT series, j, avg(s0) AS mean, stddev_pop(s0) AS spread FROM low GROUP BY ALL),
-smooth AS (SELECT series, j, i, CASE WHEN spread < 1e-14 THEN 0 ELSE (s0 - mean) / spread END AS u, {", ".join(f"CASE WHEN spread < 1e-14 THEN 0 ELSE s{r} / spread END AS d{r}" for r in range(1, 5))} FROM low JOIN flat USING (series, j)),
+    return f"""WITH {_smooth_fields()},
 rates AS ({rates}),
 {search(f"SELECT law || '|' || series AS grp, {columns}, r * (1 + 0.01 * {gauss(11, 'law', 'series', 'j', 'i')}) AS y FROM rates", [t.name for t in terms], 3)},
 lists AS (SELECT grp, list(name ORDER BY i) AS names FROM terms GROUP BY grp),
@@ -172,6 +178,57 @@ SELECT k.law, split_part(l.grp, '|', 2) AS series, array_to_string(l.names, ', '
 FROM lists l JOIN known k ON k.law = split_part(l.grp, '|', 1) JOIN chosen c USING (grp) JOIN size y ON y.grp = l.grp AND y.i = {len(terms)}"""
 
 
+def _coupled_laws() -> str:
+    def value_of(t) -> str:
+        factors = [*t.fields, *([f"d{t.order}_{t.derived}"] if t.order else [])]
+        return " * ".join(factors) or "1.0"
+
+    terms, law = joint_terms(("u", "v"), 3, 2), waves()
+    columns = ", ".join(f"{value_of(t)} AS x{i}" for i, t in enumerate(terms))
+    rates = " UNION ALL ".join(f"SELECT pair || '|{f}_t' AS grp, {columns}, ({' + '.join(f'({c!r}) * {value_of(t)}' for t, c in law[f].items())}) * (1 + 0.01 * {gauss(19, chr(39) + f + chr(39), 'pair', 'j', 'i')}) AS y FROM both_" for f in ("u", "v"))
+    return f"""WITH {_smooth_fields()},
+both_ AS (SELECT a.series || '-' || b.series AS pair, a.j, a.i, a.u, a.d1 AS d1_u, a.d2 AS d2_u, b.u AS v, b.d1 AS d1_v, b.d2 AS d2_v FROM smooth a JOIN smooth b ON a.j = b.j AND a.i = b.i AND a.series < b.series),
+{search(rates, [t.name for t in terms], 3)},
+lists AS (SELECT grp, list(name ORDER BY i) AS names FROM terms GROUP BY grp)
+SELECT split_part(l.grp, '|', 1) AS pair, split_part(l.grp, '|', 2) AS rate, array_to_string(l.names, ', ') AS terms, round(sqrt(greatest(c.left_, 0)) * y.len, 3) AS residual
+FROM lists l JOIN chosen c USING (grp) JOIN size y ON y.grp = l.grp AND y.i = {len(terms)}"""
+
+
+def eliminated(n: int) -> str:
+    """CTEs that reduce the augmented matrix m0 (i, j, v), whose right side is column n, to the solution in column n of the last."""
+    steps = [f"m{t + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = {t} THEN m.v / c.v ELSE m.v - a.v * b.v / c.v END AS v FROM m{t} m JOIN m{t} a ON a.i = m.i AND a.j = {t} JOIN m{t} b ON b.i = {t} AND b.j = m.j JOIN m{t} c ON c.i = {t} AND c.j = {t})" for t in range(n)]
+    return ", ".join(steps)
+
+
+def _sparse_spline() -> str:
+    x = "(hour(ts) + minute(ts) / 60) / 24"
+    return f"""WITH e AS (SELECT row, col, sum(val) AS val FROM ({_entries('events', x, 8, 1)}) GROUP BY ALL),
+m0 AS MATERIALIZED (SELECT CAST(a.col AS INTEGER) AS i, CAST(b.col AS INTEGER) AS j, sum(a.val * b.val) AS v FROM e a JOIN e b USING (row) GROUP BY ALL UNION ALL SELECT e.col, 8, sum(val * value) FROM e JOIN events ON event_id = row GROUP BY ALL),
+f0 AS (SELECT i, j FROM range(8) a(i), range(9) b(j)),
+m0_ AS MATERIALIZED (SELECT CAST(f0.i AS INTEGER) AS i, CAST(f0.j AS INTEGER) AS j, coalesce(v, 0) AS v FROM f0 LEFT JOIN m0 USING (i, j)), {eliminated(8).replace('FROM m0 m JOIN m0 a', 'FROM m0_ m JOIN m0_ a').replace('JOIN m0 b', 'JOIN m0_ b').replace('JOIN m0 c', 'JOIN m0_ c')}
+SELECT i AS col, round(v, 4) AS level FROM m8 WHERE j = 8"""
+
+
+def _surface() -> str:
+    """The normal equations' matrix is the product of those of both axes."""
+    axis = lambda n, parts: f"SELECT row AS p, col, sum(val) AS val FROM ({_entries(f'(SELECT CAST(i AS INTEGER) AS event_id, i FROM range({n}) t(i))', f'i / {n}', parts, 1)}) GROUP BY ALL"
+    return f"""WITH a AS ({axis(24, 4)}), b AS ({axis(12, 3)}),
+core AS (SELECT hour(ts) AS p, least(floor(value / 25), 11) AS q, count(*) AS y FROM events GROUP BY ALL),
+ga AS (SELECT x.col AS k, y.col AS l, sum(x.val * y.val) AS v FROM a x JOIN a y USING (p) GROUP BY ALL), gb AS (SELECT x.col AS k, y.col AS l, sum(x.val * y.val) AS v FROM b x JOIN b y USING (p) GROUP BY ALL),
+fa AS (SELECT x AS k, y AS l, coalesce(v, 0) AS v FROM range(4) s(x), range(4) t(y) LEFT JOIN ga ON ga.k = x AND ga.l = y), fb AS (SELECT x AS k, y AS l, coalesce(v, 0) AS v FROM range(3) s(x), range(3) t(y) LEFT JOIN gb ON gb.k = x AND gb.l = y),
+m0 AS MATERIALIZED (SELECT fa.k * 3 + fb.k AS i, fa.l * 3 + fb.l AS j, fa.v * fb.v AS v FROM fa, fb UNION ALL SELECT a.col * 3 + b.col, 12, sum(a.val * b.val * y) FROM core JOIN a ON a.p = core.p JOIN b ON b.p = core.q GROUP BY ALL), {eliminated(12)}
+SELECT CAST(i // 3 AS INTEGER) AS k, CAST(i % 3 AS INTEGER) AS l, round(v, 4) AS level FROM m12 WHERE j = 12"""
+
+
+def _long_derivative() -> str:
+    return f"""WITH {GRID},
+r AS (SELECT series, min(j) AS first, (max(j) - min(j) + 1) * 64 AS n FROM field GROUP BY 1),
+p AS (SELECT f.series, f.j - r.first AS block, f.i, (f.j - r.first) * 64 + f.i AS x, n, u FROM field f JOIN r USING (series)),
+w AS (SELECT series, n, k, sum(u * cos(2 * pi() / n * k * x)) AS a, sum(u * sin(2 * pi() / n * k * x)) AS b FROM p CROSS JOIN range(1, 100000) t(k) WHERE 2 * k < n GROUP BY ALL),
+d AS (SELECT p.series, block, i, round(sum(2.0 / p.n * k * (b * cos(2 * pi() / p.n * k * x) - a * sin(2 * pi() / p.n * k * x))) / any_value(p.n), 4) AS slope FROM p JOIN w ON w.series = p.series GROUP BY ALL)
+SELECT series, block, i, CASE WHEN slope = 0 THEN 0 ELSE slope END AS slope FROM d"""
+
+
 FIVE = f"SELECT 1.0 AS x0, q AS x1, p AS x2, d AS x3, t AS x4 FROM ({SCALED})"
 
 
@@ -318,6 +375,11 @@ def oracle_sql() -> dict[str, str]:
         "q_best_subset": CHARGE,
         "q_law_recovery": _law_recovery(),
         "q_exact_search": _exact_search(),
+        "q_coupled_laws": _coupled_laws(),
+        "q_sparse_spline": _sparse_spline(),
+        "q_surface": _surface(),
+        "q_long_derivative": _long_derivative(),
+        "q_isolated_sweep": "SELECT c_nationkey, CASE WHEN count(*) >= 60 THEN round(avg(CAST(c_acctbal AS DOUBLE)), 2) END AS mean, CASE WHEN count(*) < 60 THEN 'ValueError: ' || count(*) || ' customers' END AS error FROM customer GROUP BY 1",
         "q_absolute_law": _absolute_law(),
         "q_step_error": f"WITH {GRID}, d AS (SELECT series, lead(u) OVER w - lag(u) OVER w AS f, (lead(u, 2) OVER w - lag(u, 2) OVER w) / 2 AS c FROM field WINDOW w AS (PARTITION BY series, i ORDER BY j)) SELECT series, round(sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10), 4) AS error, sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10) < 0.5 AS settled FROM d WHERE f IS NOT NULL AND c IS NOT NULL GROUP BY 1",
         "q_group_laws": _charge("l_returnflag") + " SELECT grp AS l_returnflag, array_to_string(list_sort(list(name)), ',') AS terms, round(len(list_intersect(list(name), ['p', 'p d'])) / len(list_distinct(list_concat(list(name), ['p', 'p d']))), 4) AS score FROM terms GROUP BY grp",

@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, metrics, splines
+from ..functions import arrays, coupled, metrics, splines
 from ..functions.laws import laws, named
 from ..functions.terms import Term, describe, dictionary, theta
-from ..operators import noise, plateau, recovery, robust, sampling, search, smoothing, spectral, summary
+from ..operators import noise, plateau, recovery, robust, sampling, search, smoothing, sparse, spectral, summary
 from ..sources.results import pending, store
 from ..sources.tables import event_hour, event_snapshots, table, temporary, trajectory_grid
 from ..streaming.refit import slope, windowed_moments
@@ -514,6 +514,85 @@ def q_law_recovery(spark, sf_dir):
     return found.select("law", "series", F.array_join("names", ", ").alias("terms"), _r(F.col("residual"), 3).alias("residual"), _r(F.col("score"), 4).alias("score"))
 
 
+#: The terms over two fields among which coupled laws are looked for.
+PAIR = coupled.joint_terms(("u", "v"), 3, 2)
+
+
+def q_coupled_laws(spark, sf_dir):
+    """Both rates of the cubic wave equation at each two kinds of events' smooth fields, measured with noise, and the terms found for them."""
+    wide = spectral.with_derivatives(discovery.smooth_fields(spark, sf_dir), (1, 2))
+    grid = spectral.points(wide, ["u", "d1", "d2"], ["series", "j"])
+    one = grid.select(F.col("series").alias("first"), "j", "i", "u", F.col("d1").alias("d1_u"), F.col("d2").alias("d2_u"))
+    two = grid.select(F.col("series").alias("second"), "j", "i", F.col("u").alias("v"), F.col("d1").alias("d1_v"), F.col("d2").alias("d2_v"))
+    both = one.join(two, ["j", "i"]).filter(F.col("first") < F.col("second")).withColumn("pair", F.concat_ws("-", "first", "second"))
+    law = coupled.waves()
+    drawn = lambda name: noise.gauss(F.lit(name), F.col("pair"), F.col("j"), F.col("i"), seed=19)
+    rows = coupled.joint_theta(both, PAIR).select("pair", "theta", *[(coupled.rate_of(law[f]) * (1 + 0.01 * drawn(f))).alias(f"{f}_t") for f in ("u", "v")])
+    found = sweeps.identify_groups(rows, ["pair"], [t.name for t in PAIR], "nearest", targets=("u_t", "v_t"), label="rate")
+    return found.select("pair", "rate", F.array_join("names", ", ").alias("terms"), _r(F.col("residual"), 3).alias("residual"))
+
+
+def q_sparse_spline(spark, sf_dir):
+    """The piecewise linear curve over the day that is nearest to all values: a sparse matrix and products with it."""
+    events = _times(spark, sf_dir)
+    entries = splines.design(events, "event_id", F.col("x") / 24, 8, 1)
+    found = sparse.spline_solve(events, entries, "event_id", "value")
+    return found.select("col", _r(F.col("x")).alias("level"))
+
+
+def q_surface(spark, sf_dir):
+    """The piecewise bilinear surface that is nearest to the numbers of events by hour and by value."""
+    e = table(spark, sf_dir, "events").select(F.hour("ts").alias("i"), F.least(F.floor(F.col("value") / 25), F.lit(11)).cast("int").alias("j"))
+    core = e.groupBy("i", "j").agg(F.count("*").cast("double").alias("val"))
+    found = sparse.tensor_fit(core, smoothing.design_matrix(spark, 24, 4, 1), smoothing.design_matrix(spark, 12, 3, 1))
+    return found.select("k", "l", _r(F.col("c")).alias("level"))
+
+
+def q_long_derivative(spark, sf_dir):
+    """The derivative of each kind's whole history, taken as one field whose blocks are the snapshots."""
+    s = event_snapshots(spark, sf_dir)
+    first = s.groupBy("series").agg(F.min("j").alias("first"), (F.max("j") - F.min("j") + 1).alias("n"))
+    blocks = s.join(first, "series").select("series", (F.col("j") - F.col("first")).alias("block"), "n", "u")
+    found = spectral.long_derivative(blocks.select("series", "block", "u"), ["series"], "block", 1)
+    scaled = spectral.points(found, ["u"], ["series", "block"]).join(first, "series")
+    return scaled.select("series", "block", "i", _unsigned_zero(_r(F.col("u") / (N * F.col("n")))).alias("slope"))
+
+
+def q_isolated_sweep(spark, sf_dir):
+    """The mean balance of each nation's customers; a nation with few of them is an error of its own."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.array(F.lit(1.0)).alias("theta"), F.col("c_acctbal").cast("double").alias("y"))
+
+    def mean(s):
+        if s.n < 60:
+            raise ValueError(f"{s.n} customers")
+        return (float(s.fit([0])[0][0]),)
+
+    found = sweeps.of_groups(rows, ["c_nationkey"], ["1"], mean, "mean double", isolated=True)
+    return found.select("c_nationkey", _r(F.col("mean"), 2).alias("mean"), "error")
+
+
+def q_method_recovery(spark, sf_dir):
+    """By law, size of the dictionary and method: in how many of the events' kinds exactly the law's terms were found, with 1 % noise, and how far coefficients are off."""
+    known = {name: laws()[name] for name in WATCHED}
+    fields, out = discovery.smooth_fields(spark, sf_dir), None
+    for size, terms in (("S", dictionary(2, 3, True, 2)), ("M", dictionary(2, 4, True, 3))):
+        names = [t.name for t in terms]
+        rows = discovery.law_rows(fields, known, terms, (1, 2, 3, 4), 0.01, 23)
+
+        def every(s):
+            return ([(m, list(r.names), list(r.coefficients)) for m, how in (("ccp", {}), ("omp", {"k": 3, "threshold": 0.01}), ("lasso", {"alpha": 0.01})) for r in [recovery.identify(s, m, **how)]],)
+
+        found = sweeps.of_groups(rows, ["series"], names, every, "found array<struct<method:string,names:array<string>,coefficients:array<double>>>", targets=tuple(known), label="law")
+        one = found.select(F.lit(size).alias("size"), "law", "series", F.explode("found").alias("f")).select("size", "law", "series", "f.*")
+        out = one if out is None else out.unionByName(one)
+    truth = spark.createDataFrame([(n, named(law), [float(c) for c in law.values()]) for n, law in known.items()], "law string, true array<string>, values array<double>")
+    both = out.join(F.broadcast(truth), "law")  # a row a law
+    right = metrics.jaccard(F.col("names"), F.col("true")) == 1.0
+    got = F.map_from_arrays("names", "coefficients")
+    off = F.array_max(F.transform(F.arrays_zip("true", "values"), lambda x: F.abs(F.coalesce(F.try_element_at(got, x["true"]), F.lit(0.0)) / x["values"] - 1)))
+    return both.groupBy("law", "size", "method").agg(F.count_if(right).alias("recovered"), F.count("*").alias("series"), _r(F.avg(F.when(right, off))).alias("error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("q_")}
 

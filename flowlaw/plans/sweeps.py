@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -69,10 +70,11 @@ def group_factors(rows: DataFrame, keys: Sequence[str], names: Sequence[str], ta
     return salted.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, f"{kinds}, n long, factor array<double>")
 
 
-def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], function: Callable[[Summary], Sequence[object]], schema: str, targets: Sequence[str] = ("y",), label: str | None = None) -> DataFrame:
+def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], function: Callable[[Summary], Sequence[object]], schema: str, targets: Sequence[str] = ("y",), label: str | None = None, isolated: bool = False, seconds: float | None = None) -> DataFrame:
     """keys and the columns of schema: what a function makes of the Summary of each group of rows with theta and targets.
 
-    Each target gives a row, with its name in the column label where that is given; all targets of a group share one triangle.
+    Each target gives a row, with its name in the column label where that is given; all targets of a group share one triangle. isolated: a group for which the
+    function raises an error, or takes longer than so many seconds, has nulls and its error in a column of that name, and the others go on.
     """
     factors, p = group_factors(rows, keys, names, targets), len(names)
     width = p + len(targets)
@@ -85,14 +87,34 @@ def of_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], functi
             for row in pdf.itertuples(index=False):
                 factor = np.asarray(row.factor).reshape(width, width)
                 s = Summary(factor[:, [*range(p), p + row.target_]], row.n, tuple(names))
-                found.append((*row[: len(keys)], *([targets[row.target_]] if label else []), *function(s)))
-            yield pd.DataFrame(found, columns=[*keys, *columns])
+                made = (*function(s),) if not isolated else _guarded(function, s, len(columns) - bool(label), seconds)
+                found.append((*row[: len(keys)], *([targets[row.target_]] if label else []), *made))
+            yield pd.DataFrame(found, columns=[*keys, *columns, *(["error"] if isolated else [])])
 
     # A group and a target are a piece of work of their own.
     each = factors.withColumn("target_", F.explode(F.array(*map(F.lit, range(len(targets))))))
     if len(targets) > 1:
         each = each.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "target_")
-    return each.mapInPandas(fit, ", ".join([kinds, *([f"{label} string"] if label else []), schema]))
+    return each.mapInPandas(fit, ", ".join([kinds, *([f"{label} string"] if label else []), schema, *(["error string"] if isolated else [])]))
+
+
+def _guarded(function: Callable[[Summary], Sequence[object]], s: Summary, width: int, seconds: float | None) -> tuple:
+    """The function's values and no error, or nulls and the error that it raised or that it was stopped with."""
+
+    def stop(*_: object) -> None:
+        raise TimeoutError(f"took longer than {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop) if seconds else None
+    try:
+        if seconds:
+            signal.setitimer(signal.ITIMER_REAL, seconds)
+        return (*function(s), None)
+    except Exception as e:  # what a key does wrong is a result
+        return (*[None] * width, f"{type(e).__name__}: {e}")
+    finally:
+        if seconds:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
 
 
 def identify_groups(rows: DataFrame, keys: Sequence[str], names: Sequence[str], method: str = "ccp", targets: Sequence[str] = ("y",), label: str | None = None, **how: object) -> DataFrame:

@@ -35,15 +35,46 @@ def event_snapshots(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables").rstrip("/")
+    """The folder that all executors share, in spark.checkpoint.dir.
+
+    Where that is unset and Spark runs on one machine, as in tests, a folder in the warehouse stands in for it; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables").rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def temporary(spark: SparkSession) -> str:
     """A path in the shared folder for a table that is removed when the application ends."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, where = _files(spark, path)
     files.mkdirs(where)
     files.deleteOnExit(where)
     return f"{path}/rows"
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The rows of a frame, computed once and read again from a table in the shared folder."""
+    path = temporary(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def removed(frame: DataFrame) -> None:
+    """Takes away what written() wrote; nothing may read it any more."""
+    for path in {p.rsplit("/rows/", 1)[0] for p in frame.inputFiles() if "/rows/" in p}:
+        files, where = _files(frame.sparkSession, path)
+        files.delete(where, True)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    files, where = _files(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return files.exists(where)
