@@ -24,11 +24,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir.
+    """The folder that all executors share, in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a folder in the warehouse, which is shared too, stands in for it.
+    Where that is unset and Spark runs on one machine, as in tests, a folder in the warehouse stands in for it; on a cluster that is an error.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts").rstrip("/")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_cuts").rstrip("/")
 
 
 _within: ContextVar[str | None] = ContextVar("folder", default=None)
