@@ -575,7 +575,7 @@ def _put_code(out: Writer, lengths: np.ndarray) -> None:
 
 
 #: What a code of a picture's own must save of the fixed one's bits to be worth its making and reading.
-WORTH = 0.45
+WORTH = 0.35
 
 
 @lru_cache(maxsize=32)
