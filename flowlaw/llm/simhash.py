@@ -307,21 +307,23 @@ def near_copies(docs: DataFrame, width: int = 5, near: int = NEAR) -> DataFrame:
     Two texts are linked if they meet at an anchor by their words and their shingles' fingerprints differ in at most near of
     256 bits. The default stands for a similarity (common part of the different shingles) of 0.8; at just that, nine pairs of ten
     are found, above 0.9 all but a few in a hundred. Null and empty texts are alike. Equal texts are linked whatever their number:
-    they have one sketch, which is placed once. Repeated rows get rows of their own; rows without a doc_id none. No rows: none.
+    they have one sketch, which is placed once. Texts of any length are taken whole. Repeated rows get rows of their own; rows without a doc_id none. No rows: none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     meet, judge = [f"m{k}" for k in range(MEET)], [f"j{k}" for k in range(JUDGE)]
     columns = ", ".join(f"{c} long" for c in (*meet, *judge))
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
-    signed = cut(texts.mapInArrow(lambda b: _sketched(b, width), f"doc_id {kind}, {columns}").withColumn("node", F.xxhash64(*meet, *judge)))
-    first = cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*meet, *judge)]))
+    signed = cut(texts.mapInArrow(lambda b: _sketched(b, width), f"doc_id {kind}, {columns}"))
+    # A whole sketch is a node; its number is written once and so stays what it is.
+    first = cut(signed.groupBy(*meet, *judge).agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
     met = meetings(first.select("node", *meet))
     judged = cut(met.join(first.select("node", *judge), "node").select("anchor", "node", *judge))
     roots = components(compared(judged, judge, near))
     linked = first.select("node", "first").join(roots, "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     ids = cut(first.select("node", "first").join(linked.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id")))
-    return signed.select("doc_id", "node").join(ids, "node").select("doc_id", "component_id")
+    named = first.select(*meet, *judge, "node").join(ids, "node").drop("node")
+    return signed.join(named, [*meet, *judge]).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, near: int = NEAR) -> DataFrame:
