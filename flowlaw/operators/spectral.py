@@ -8,13 +8,16 @@ zero, as only their imaginary part would be left.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def spectrum(weights: Callable[[np.ndarray], np.ndarray]):
     """A function of an array Column: an array of fields, one for each row of weights(k), by which the field's waves k are multiplied.
@@ -87,8 +90,71 @@ def synthesis(waves: DataFrame, keys: Sequence[str], n: int, order: int = 0) ->
     return spread.groupBy(*keys, "i").agg(F.sum(weight * power * (turned[0] * F.cos(angle) + turned[1] * F.sin(angle))).alias("u"))
 
 
+def neighbours(rows: DataFrame, keys: Sequence[str], order: str, value: str, reach: int = 1) -> DataFrame:
+    """rows with before_1, after_1 and so on: the values that stand so many rows before and after within keys, in an order; null where there are none.
+
+    Rows are dealt by ranges of keys and order, so a key with most of the rows is spread, and a task reads its range row by row. Only the first and last rows of a range need rows of other
+    ranges: these few, reach at either end of each, come to the driver, and what they lack goes back to them. Of rows with equal keys and order any may be first.
+    """
+    spark, keys, ks = rows.sparkSession, list(keys), range(1, reach + 1)
+    names = [f"{side}_{k}" for side in ("before", "after") for k in ks]
+    kept = [c for c in rows.columns if c not in names]
+    alike = F.xxhash64(*[x for c in keys for x in (F.col(c), F.col(c).isNull())]) if keys else F.lit(0).cast("long")
+    one = rows.select(*kept, alike.alias("_code"), F.col(value).cast("double").alias("_value"))
+    added = ", ".join(["_part int", "_place long", "_edge boolean", *(f"{n} double" for n in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in one.schema.fields), added])
+
+    def shifted(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, number = pdf["_code"].to_numpy(), pdf["_value"].to_numpy(float)
+        for k in ks:
+            for side, step in (("before", k), ("after", -k)):
+                other, same = np.roll(number, step), np.roll(code, step) == code
+                same[:k] &= side == "after"
+                same[len(same) - k :] &= side == "before"
+                pdf[f"{side}_{k}"] = np.where(same, other, np.nan)
+        return pdf
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A batch is put together with the rows held back of those before, whose neighbours after come only now."""
+        part, place, held, lead = TaskContext.get().partitionId(), 0, None, 0
+        for pdf in frames:
+            pdf = pdf.assign(_part=part, _place=np.arange(place, place + len(pdf)))
+            place += len(pdf)
+            both = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if len(both) > lead + reach:
+                yield shifted(both.copy()).iloc[lead : len(both) - reach].assign(_edge=lambda x: x["_place"] < reach)
+                lead = min(reach, len(both) - reach)
+                held = both.iloc[len(both) - reach - lead :].reset_index(drop=True)
+            else:
+                held = both
+        if held is not None:
+            yield shifted(held.copy()).iloc[lead:].assign(_edge=True)
+
+    ranged = one.repartitionByRange(*[F.col(c) for c in keys], order).sortWithinPartitions(*keys, order)
+    found = written(ranged.mapInPandas(scan, schema))
+    edges = sorted(found.filter("_edge").select("_part", "_place", "_code", "_value").collect())  # 2 * reach rows a range
+    fixes: dict[tuple[int, int], dict[str, float]] = {}
+    for at, (part, place, code, _) in enumerate(edges):
+        for side, way in (("before", -1), ("after", 1)):
+            for k in ks:
+                other = at + way * k
+                if 0 <= other < len(edges) and edges[other][0] != part and edges[other][2] == code:
+                    fixes.setdefault((part, place), {})[f"{side}_{k}"] = edges[other][3]
+    lacking = [(p, i, *[x.get(n) for n in names]) for (p, i), x in fixes.items()]
+    sent = spark.createDataFrame(lacking, ", ".join(["_part int", "_place long", *(f"_{n} double" for n in names)]))
+    joined = found.join(F.broadcast(sent), ["_part", "_place"], "left")
+    return joined.select(*kept, *[F.coalesce(F.when(~F.isnan(n), F.col(n)), F.col(f"_{n}")).alias(n) for n in names])
+
+
+def rates(grid: DataFrame, keys: Sequence[str], step: float, u: str = "u", time: str = "j", name: str = "u_t") -> DataFrame:
+    """grid with central differences in time within keys, one-sided at the ends; null where there is one time only. A key may hold any share of the rows."""
+    before, after = F.col("before_1"), F.col("after_1")
+    slope = F.when(before.isNull(), (after - F.col(u)) / step).when(after.isNull(), (F.col(u) - before) / step).otherwise((after - before) / (2 * step))
+    return neighbours(grid, keys, time, u).withColumn(name, slope).drop("before_1", "after_1")
+
+
 def time_derivative(grid: DataFrame, keys: Sequence[str], step: float, u: str = "u", time: str = "j") -> Column:
-    """Central differences in time within keys, one-sided at the ends; null where there is one time only."""
+    """What rates() gives, as a Column, for keys of few rows: a key's rows come to one task."""
     w = Window.partitionBy(*keys).orderBy(time)
     before, after = F.lag(u).over(w), F.lead(u).over(w)
     return F.when(before.isNull(), (after - F.col(u)) / step).when(after.isNull(), (F.col(u) - before) / step).otherwise((after - before) / (2 * step))
@@ -99,8 +165,8 @@ def step_error(grid: DataFrame, keys: Sequence[str], place: str, step: float, u:
 
     Only places and times with two neighbours on either side count.
     """
-    w = Window.partitionBy(*keys, place).orderBy(time)
-    wide = grid.withColumn("_fine", (F.lead(u).over(w) - F.lag(u).over(w)) / (2 * step)).withColumn("_wide", (F.lead(u, 2).over(w) - F.lag(u, 2).over(w)) / (4 * step))
+    near = neighbours(grid, [*keys, place], time, u, 2)
+    wide = near.withColumn("_fine", (F.col("after_1") - F.col("before_1")) / (2 * step)).withColumn("_wide", (F.col("after_2") - F.col("before_2")) / (4 * step))
     both = wide.filter("_fine IS NOT NULL AND _wide IS NOT NULL")
     apart = F.col("_wide") - F.col("_fine")
     return both.groupBy(*keys).agg((F.sqrt(F.sum(apart * apart)) / (F.sqrt(F.sum(F.col("_fine") * F.col("_fine"))) + 1e-10)).alias("error"))

@@ -126,6 +126,20 @@ def _exact_search() -> str:
     return f"WITH {enumeration(rows, names, 5)} SELECT CAST(k AS INTEGER) AS k, array_to_string(list_transform(s, lambda i: {names!r}[i + 1]), ', ') AS terms, round(sqrt(greatest(left_, 0)) * y.len, 3) AS residual FROM best, (SELECT len FROM size WHERE i = {len(names)}) y"
 
 
+def _capped_terms() -> str:
+    """Six times the column that has most in common with what is left of the target; each is then taken out of all others."""
+    columns, names = _products()
+    n = len(names)
+    rows = f"SELECT 0 AS grp, {columns}, q + 2 * q * p - 1.5 * d + 0.7 * t * t + 0.05 * {gauss(13, 'l_orderkey', 'l_linenumber')} AS y FROM ({SCALED})"
+    out = f"WITH {search(rows, names, 2)}, m0 AS MATERIALIZED (SELECT i, j, v FROM u)"
+    for t in range(6):
+        taken = f"AND i NOT IN ({' UNION ALL '.join(f'SELECT i FROM p{k}' for k in range(t))})" if t else ""
+        out += f", p{t} AS MATERIALIZED (SELECT i FROM m{t} WHERE j = {n} AND i < {n} {taken} ORDER BY abs(v) DESC LIMIT 1)"
+        out += f", m{t + 1} AS MATERIALIZED (SELECT m.i, m.j, CASE WHEN m.i = p.i THEN m.v / c.v ELSE m.v - a.v * b.v / c.v END AS v FROM p{t} p, m{t} m JOIN m{t} a ON a.i = m.i AND a.j = p.i JOIN m{t} b ON b.i = p.i AND b.j = m.j JOIN m{t} c ON c.i = p.i AND c.j = p.i)"
+    picks = " UNION ALL ".join(f"SELECT i FROM p{t}" for t in range(6))
+    return f"{out} SELECT n.name AS term, round(m.v * y.len / s.len, 4) AS coefficient FROM ({picks}) p JOIN m6 m ON m.i = p.i AND m.j = {n} JOIN named n ON n.i = p.i JOIN size s ON s.i = p.i JOIN size y ON y.i = {n}"
+
+
 def _absolute_law() -> str:
     """Least squares over the items whose charges are right."""
     rows = f"SELECT 0 AS grp, 1.0 AS x0, q AS x1, p AS x2, d AS x3, t AS x4, p * d AS x5, p - 0.1 * p * d AS y FROM ({SCALED}) WHERE {mark(17, 'l_orderkey', 'l_linenumber')} >= 0.1"
@@ -381,6 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "q_long_derivative": _long_derivative(),
         "q_isolated_sweep": "SELECT c_nationkey, CASE WHEN count(*) >= 60 THEN round(avg(CAST(c_acctbal AS DOUBLE)), 2) END AS mean, CASE WHEN count(*) < 60 THEN 'ValueError: ' || count(*) || ' customers' END AS error FROM customer GROUP BY 1",
         "q_absolute_law": _absolute_law(),
+        "q_capped_terms": _capped_terms(),
         "q_step_error": f"WITH {GRID}, d AS (SELECT series, lead(u) OVER w - lag(u) OVER w AS f, (lead(u, 2) OVER w - lag(u, 2) OVER w) / 2 AS c FROM field WINDOW w AS (PARTITION BY series, i ORDER BY j)) SELECT series, round(sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10), 4) AS error, sqrt(sum((c - f) * (c - f))) / (sqrt(sum(f * f)) + 1e-10) < 0.5 AS settled FROM d WHERE f IS NOT NULL AND c IS NOT NULL GROUP BY 1",
         "q_group_laws": _charge("l_returnflag") + " SELECT grp AS l_returnflag, array_to_string(list_sort(list(name)), ',') AS terms, round(len(list_intersect(list(name), ['p', 'p d'])) / len(list_distinct(list_concat(list(name), ['p', 'p d']))), 4) AS score FROM terms GROUP BY grp",
         "q_smooth": _smooth(),

@@ -182,3 +182,24 @@ def test_keyed_state_goes_on_after_a_restart(spark, tmp_path):
     counts = {r.k: r["count"] for r in frame.unionByName(frame.limit(60)).groupBy("k").count().collect()}
     for r in last:
         assert r.n == counts[r.k] and r.c == pytest.approx([1 * (1 + r.k), -2 * (1 + r.k), 0.5 * (1 + r.k)])
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_neighbours_over_ranges(spark, reach):
+    """A key with most of the rows, short keys, a null key and nulls in the values, over many ranges and small batches."""
+    from pyspark.sql import Window
+
+    rows = spark.range(500).select(F.when(F.col("id") < 400, 0).when(F.col("id") < 403, 1).when(F.col("id") < 404, 2).otherwise(F.when(F.col("id") > 450, 3)).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 50 != 7, F.rand(5)).alias("v"))
+    rows = rows.repartition(5).cache()
+    w = Window.partitionBy("k").orderBy("t")
+    want = rows.select("t", *[F.lag("v", k).over(w).alias(f"before_{k}") for k in range(1, reach + 1)], *[F.lead("v", k).over(w).alias(f"after_{k}") for k in range(1, reach + 1)])
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size in ("2", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = spectral.neighbours(rows, ["k"], "t", "v", reach).select(want.columns)
+            assert sorted(found.collect(), key=lambda r: r.t) == sorted(want.collect(), key=lambda r: r.t)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
