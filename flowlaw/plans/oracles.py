@@ -165,14 +165,14 @@ def _field_law() -> str:
     return f"WITH {GRID}, {WAVES}, {DERIVED}, {search(rows, [t.name for t in terms], 2)} SELECT name AS term, round(coefficient, 6) AS coefficient FROM terms"
 
 
-def _smooth_fields() -> str:
-    """CTEs that end in smooth (series, j, i, u and d1 to d4): fields of few waves with mean 0 and unit spread, and their derivatives."""
+def _smooth_fields(orders: int = 4) -> str:
+    """CTEs that end in smooth (series, j, i, u, d1 and so on): fields of few waves with mean 0 and unit spread, and their derivatives."""
     turned = {0: "a * cos(w) + b * sin(w)", 1: "b * cos(w) - a * sin(w)", 2: "-a * cos(w) - b * sin(w)", 3: "-b * cos(w) + a * sin(w)"}
-    shares = ", ".join(f"sum({SHARE} * pow(k, {r}) * ({turned[r % 4]})) AS s{r}" for r in range(5))
+    shares = ", ".join(f"sum({SHARE} * pow(k, {r}) * ({turned[r % 4]})) AS s{r}" for r in range(orders + 1))
     return f"""{GRID}, {WAVES},
 low AS (SELECT series, j, CAST(i AS INTEGER) AS i, {shares} FROM (SELECT *, 2 * pi() / 64 * k * i AS w FROM waves CROSS JOIN range(64) r(i) WHERE k <= 4) GROUP BY ALL),
 flat AS (SELECT series, j, avg(s0) AS mean, stddev_pop(s0) AS spread FROM low GROUP BY ALL),
-smooth AS (SELECT series, j, i, CASE WHEN spread < 1e-14 THEN 0 ELSE (s0 - mean) / spread END AS u, {", ".join(f"CASE WHEN spread < 1e-14 THEN 0 ELSE s{r} / spread END AS d{r}" for r in range(1, 5))} FROM low JOIN flat USING (series, j))"""
+smooth AS (SELECT series, j, i, CASE WHEN spread < 1e-14 THEN 0 ELSE (s0 - mean) / spread END AS u, {", ".join(f"CASE WHEN spread < 1e-14 THEN 0 ELSE s{r} / spread END AS d{r}" for r in range(1, orders + 1))} FROM low JOIN flat USING (series, j))"""
 
 
 def _law_recovery() -> str:
@@ -192,6 +192,13 @@ SELECT k.law, split_part(l.grp, '|', 2) AS series, array_to_string(l.names, ', '
 FROM lists l JOIN known k ON k.law = split_part(l.grp, '|', 1) JOIN chosen c USING (grp) JOIN size y ON y.grp = l.grp AND y.i = {len(terms)}"""
 
 
+def _wide_terms() -> str:
+    terms = dictionary(6, 7, True, 7)
+    sums = ", ".join(f"sum(({value(t)}) * ({value(t)})) AS s{i}" for i, t in enumerate(terms))
+    listed = ", ".join(f"{{'term': '{t.name}', 'size': s{i}}}" for i, t in enumerate(terms))
+    return f"WITH {_smooth_fields(7)}, sums AS (SELECT {sums} FROM smooth), one AS (SELECT unnest([{listed}], recursive := true) FROM sums) SELECT term, round(log10(sqrt(size)), 6) AS size FROM one"
+
+
 def _coupled_laws() -> str:
     def value_of(t) -> str:
         factors = [*t.fields, *([f"d{t.order}_{t.derived}"] if t.order else [])]
@@ -390,6 +397,7 @@ def oracle_sql() -> dict[str, str]:
         "q_law_recovery": _law_recovery(),
         "q_exact_search": _exact_search(),
         "q_coupled_laws": _coupled_laws(),
+        "q_wide_terms": _wide_terms(),
         "q_sparse_spline": _sparse_spline(),
         "q_surface": _surface(),
         "q_long_derivative": _long_derivative(),

@@ -522,6 +522,14 @@ def q_law_recovery(spark, sf_dir):
     return found.select("law", "series", F.array_join("names", ", ").alias("terms"), _r(F.col("residual"), 3).alias("residual"), _r(F.col("score"), 4).alias("score"))
 
 
+def q_wide_terms(spark, sf_dir):
+    """How long each of 196 terms is over all smooth fields, from one triangle; as powers of ten."""
+    terms, orders = dictionary(6, 7, True, 7), tuple(range(1, 8))
+    rows = discovery.field_points(discovery.smooth_fields(spark, sf_dir), terms, orders).withColumn("y", F.lit(0.0))
+    s = summary.summarize(rows, [t.name for t in terms])
+    return spark.createDataFrame([(n, float(x)) for n, x in zip(s.names, s.norms)], "term string, size double").withColumn("size", _r(F.log10("size"), 6))
+
+
 #: The terms over two fields among which coupled laws are looked for.
 PAIR = coupled.joint_terms(("u", "v"), 3, 2)
 
