@@ -308,6 +308,20 @@ def test_toxicity_segments():
     assert np.allclose(toxicity.highest(model, texts), whole, atol=1e-5)
 
 
+def test_toxicity_scores_tell_texts_apart(spark):
+    """Calibration on texts apart keeps order: different texts hardly ever share a score, and none reaches 0 or 1."""
+    rng = np.random.default_rng(1)
+    score = np.concatenate([rng.normal(-8, 2, 300), rng.normal(6, 2, 40), [-9.0, -8.5]])
+    labels = np.array([0] * 300 + [1] * 42)
+    slope, offset = toxicity.calibrated(score, labels)
+    p = np.exp(-np.logaddexp(0, -(slope * score + offset)))
+    assert toxicity.SLOPES[0] <= slope <= toxicity.SLOPES[1] and len(set(p)) == len(set(score)) and 0 < p.min() and p.max() < 1
+    assert (p[300:340] >= 0.7).mean() > 0.9 and (p[:300] < 0.7).mean() > 0.99  # two texts that tell nothing move little
+    found = toxicity.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().count()
+    assert found.select("score").distinct().count() > 0.9 * texts
+
+
 def test_toxicity_held_out(spark, docs, none):
     found = toxicity.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).toPandas().set_index("doc_id")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id")["toxic"]
