@@ -131,7 +131,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media, the WebP file, of each document's whole text (null: empty).
 
-    docs: doc_id and text; other columns are not read. Repeated rows and null ids get their rows.
+    docs: doc_id and text; other columns are not read. Repeated rows and null ids get their rows. A text of more than PART bytes
+    is several pictures in one file. No rows: no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_encode, f"doc_id {kind}, n_bytes long, media binary")
@@ -151,7 +152,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inspect(media: DataFrame) -> DataFrame:
-    """Decodes each media file; its payload's and its own length and digest, and the picture's features."""
+    """Decodes each media file; its payload's and its own length and digest, and the features of all its pictures. Null ids and repeated files get their rows. No rows: no rows."""
     kind = media.schema["doc_id"].dataType.simpleString()
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
@@ -190,6 +191,7 @@ def decode(media: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
+    """inspect() of what encode() stores: null texts are empty, equal ones have equal values, long ones are several pictures, other columns are not read. No rows: no rows."""
     return inspect(encode(docs))
 
 

@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, size: int = GROU
     """Pieces with sequence_id and offset: which sequence of at most window ids holds them, and where.
 
     docs: doc_id and text. A null text is empty and becomes the one id that ends a document. Repeated
-    rows and null ids are packed like others. tokenizer is the path of the vocabulary. No rows: no pieces.
+    rows and null ids are packed like others, texts of any length cut into full sequences and a rest, other columns not read. tokenizer is the path of the vocabulary. No rows: no pieces.
     """
     found = cut(pieces(docs, tokenizer, window))
     n = found.count()

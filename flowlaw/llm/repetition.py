@@ -110,7 +110,7 @@ def rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts in NAMES, base_failed, kept and coverage for each document; one pass, no shuffle.
 
     docs: doc_id and text. A null text has no words and fails. Rows are judged one by one, so repeated
-    rows, null ids and ties need no care; a line repeats an earlier one only if all its characters do.
+    rows, null ids and ties need no care; a line repeats an earlier one only if all its characters do. Texts of any length are judged whole, other columns are not read. No rows: no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_rules, f"doc_id {kind}, {', '.join(f'{n} long' for n in NAMES)}, base_failed boolean, kept boolean, coverage double")

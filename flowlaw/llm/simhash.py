@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> Data
 
     docs: doc_id and text; other columns are not read. A null text is an empty one; texts without a
     word have the fingerprint zero and link like others. A null doc_id gets a row too, but is no
-    component_id unless its component has no other. Repeated rows are kept. No rows: no rows.
+    component_id unless its component has no other. Repeated rows are kept, texts of any length taken whole. No rows: no rows.
     """
     signed = cut(fingerprints(docs, width))
     first = signed.groupBy("print").agg(F.min("doc_id").alias("first"))
