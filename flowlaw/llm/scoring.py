@@ -9,7 +9,8 @@ Texts are encoded once. What the network learns from is the table of all windows
 with their counts over the whole corpus; that table grows with the corpus, is made by a shuffle and stays on the executors.
 Training runs in numpy where the windows are: in each round every task takes its share of a slice of the table, starting
 from the same network, and sends back how the vectors moved; these moves are averaged by
-the number of tokens behind them. The slices of all rounds make up the table. Classes and the
+the number of tokens behind them. The slices of all rounds make up the table; a task takes its windows in blocks of bounded
+size, each block a few times, which is the same for corpora of all sizes. Classes and the
 network before the first round come from the tokens' counts, so it starts as a model of frequencies alone.
 """
 
@@ -30,8 +31,8 @@ from .tokens import Tokens, encoding
 HIDDEN = 24
 #: A class is closed when it holds this share of all tokens, or so many different ones.
 SHARE, MEMBERS = 1 / 128, 512
-#: Windows of a training step, and the least that a network is trained on: smaller tables are taken several times, but PASSES at most.
-STEP, LEAST, PASSES = 8192, 4_000_000, 20
+#: Windows of a training step, steps of a block, and how often each block is taken, whatever the corpus's size.
+STEP, BLOCK, PASSES = 8192, 32, 3
 ROUNDS = 4
 RATE = 0.15
 #: Tokens whose windows are counted or scored at once, and different windows that a task holds.
@@ -126,7 +127,9 @@ def window_counts(ids: DataFrame, edge: int) -> DataFrame:
     parts = ids.mapInArrow(lambda b: _counts(b, edge), "context long, token int, n long")
     tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Of a window that any number of documents share, each task sends one row for FLUSH different ones.
-    return parts.repartition(tasks, "context").groupBy("context", "token").agg(F.sum("n").alias("n"))
+    sums = parts.repartition(tasks, "context").groupBy("context", "token").agg(F.sum("n").alias("n"))
+    # Training goes along this order: one that is no order of tokens, and does not depend on which task was done first.
+    return sums.sortWithinPartitions(F.xxhash64("context"), "context", "token")
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,26 +268,32 @@ class Descent:
 
 def _moves(batches: Iterator[pa.RecordBatch], model: Model, passes: int, rate: float) -> Iterator[pa.RecordBatch]:
     """row, mass and move for each row of the network that this task's windows touch."""
-    run, tables, held, size = Descent(model), [], [], 0
+    run, block, held, size = Descent(model), [], [], 0
 
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> None:
-        context, token, n = (np.concatenate(x) for x in zip(*parts))
+    def gathered() -> tuple[np.ndarray, ...]:
+        context, token, n = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(context, kind="stable")
-        run.step(context[order], token[order], n[order].astype(np.float64), rate)
+        return context[order], token[order], n[order].astype(np.float64)
+
+    def settle() -> None:
+        for _ in range(passes):
+            for context, token, n in block:
+                run.step(context, token, n, rate)
+        block.clear()
 
     for batch in batches:
-        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-        size += batch.num_rows
-        if size >= STEP:
-            settle(held)
-            tables += [held] if passes > 1 else []  # so few windows that they fit
-            held, size = [], 0
+        for i in range(0, batch.num_rows, STEP):
+            part = batch.slice(i, STEP)
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in part.columns))
+            size += part.num_rows
+            if size >= STEP:
+                block.append(gathered())
+                held, size = [], 0
+                if len(block) == BLOCK:
+                    settle()
     if held:
-        settle(held)
-        tables += [held] if passes > 1 else []
-    for _ in range(passes - 1):
-        for parts in tables:
-            settle(parts)
+        block.append(gathered())
+    settle()
     rows = np.flatnonzero(run.mass)
     moved = (run.model.net[rows] - model.net[rows]).astype("<f4")
     for i in range(0, len(rows), 10_000):
@@ -305,16 +314,12 @@ def _averaged(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(means, pa.binary())], ["row", "move"])
 
 
-def train(windows: DataFrame, model: Model, rounds: int = ROUNDS, least: int = LEAST, rate: float = RATE) -> Model:
+def train(windows: DataFrame, model: Model, rounds: int = ROUNDS, passes: int | None = None, rate: float = RATE) -> Model:
     """The network after so many rounds over slices of the windows (context, token, n) that together are all of them.
 
-    A table of fewer than least windows is taken as often as makes up that number, or PASSES times. What comes to the driver is the network's moves.
+    Each block of a task's windows is taken passes (None: PASSES) times. What comes to the driver is the network's moves.
     """
-    spark = windows.sparkSession
-    total = windows.count()
-    if not total:
-        return model
-    passes = min(-(-least // total), PASSES)
+    spark, passes = windows.sparkSession, passes or PASSES
     slice_ = F.pmod(F.xxhash64("context", F.lit(4)), F.lit(rounds))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(rounds):
