@@ -282,11 +282,13 @@ def _moves(batches: Iterator[pa.RecordBatch], model: Model, passes: int, rate: f
         block.clear()
 
     for batch in batches:
-        for i in range(0, batch.num_rows, STEP):
-            part = batch.slice(i, STEP)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, STEP - size)
             held.append(tuple(c.to_numpy(zero_copy_only=False) for c in part.columns))
+            at += part.num_rows
             size += part.num_rows
-            if size >= STEP:
+            if size == STEP:
                 block.append(gathered())
                 held, size = [], 0
                 if len(block) == BLOCK:

@@ -72,6 +72,32 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert np.allclose([x[2] for x in out[0]], [x[2] for x in out[2]], rtol=1e-5)
 
 
+def test_training_in_blocks(spark, monkeypatch):
+    """Each block of windows is taken equally often, however the windows arrive, and two runs make the same network."""
+    ids = scoring.encoded(frame(spark), PATH).cache()
+    windows = scoring.window_counts(ids, EDGE).toArrow()
+    model, taken = scoring.fresh(np.ones(EDGE, np.int64)), []
+    monkeypatch.setattr(scoring, "STEP", 64)
+    monkeypatch.setattr(scoring, "BLOCK", 3)
+    step = scoring.Descent.step
+
+    def counted(self, contexts, tokens, n, rate):
+        taken.append((len(tokens), hash(contexts.tobytes() + tokens.tobytes())))
+        return step(self, contexts, tokens, n, rate)
+
+    monkeypatch.setattr(scoring.Descent, "step", counted)
+    moved = []
+    for size in (50, 64, 1000):
+        taken.clear()
+        out = list(scoring._moves(iter(windows.to_batches(max_chunksize=size)), model, 3, 0.1))
+        assert set(Counter(taken).values()) == {3} and sum(n for n, _ in taken) == 3 * windows.num_rows
+        assert [x for x, _ in taken[:9]] == [x for x, _ in taken[:3]] * 3
+        moved.append(b"".join(b"".join(b.column(2).to_pylist()) for b in out))
+    assert moved[0] == moved[1] == moved[2]
+    nets = [scoring.fit(ids, EDGE).net for _ in range(2)]
+    assert np.allclose(*nets, atol=1e-5)
+
+
 def test_probabilities_sum_to_one():
     model = small_model()
     for left, right in ((3, 7), (40, 40), (0, 12)):
