@@ -94,9 +94,13 @@ def lasso_weights(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance:
     return w
 
 
-def lasso(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float = 1e-4, full: Summary | None = None) -> Recovery:
-    """Terms whose penalised coefficient is over a thousandth of the largest, refitted without penalty, on all rows if full has them."""
-    size = np.abs(lasso_weights(s, alpha, sweeps, tolerance))
+def lasso(s: Summary, alpha: float = 0.1, sweeps: int = 5000, tolerance: float = 1e-4, full: Summary | None = None, mean: bool = False) -> Recovery:
+    """Terms whose penalised coefficient is over a thousandth of the largest, refitted without penalty, on all rows if full has them.
+
+    On unit columns the penalty grows with the rows and the columns' part in the target with their root only, so with many rows nothing is left. With mean, columns are
+    divided by their root mean square in place of their length, and the choice is the same for any number of rows alike.
+    """
+    size = np.abs(lasso_weights(s, alpha / np.sqrt(max(s.n, 1)) if mean else alpha, sweeps, tolerance))
     limit = 1e-3 * size.max() if size.max(initial=0) > 1e-10 else 1e-10
     support = [i for i in range(len(size)) if size[i] > limit] or [int(size.argmax())]
     return _result("lasso", full or s, support, alpha=alpha)

@@ -381,7 +381,7 @@ def q_best_subset(spark, sf_dir):
 
 def q_lasso(spark, sf_dir):
     """The terms that a penalty leaves, refitted; those that come to nothing are not shown."""
-    return _charge_result(spark, recovery.lasso(discovery.charge_summary(spark, sf_dir), alpha=0.5)).filter(F.abs("coefficient") > 1e-6)
+    return _charge_result(spark, recovery.lasso(discovery.charge_summary(spark, sf_dir), alpha=0.5, mean=True)).filter(F.abs("coefficient") > 1e-6)
 
 
 def q_field_law(spark, sf_dir):

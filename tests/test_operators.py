@@ -64,6 +64,15 @@ def test_lasso_shrinks(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
 
 
+def test_lasso_whatever_the_rows(spark):
+    """The same rows a thousand times over leave the same terms."""
+    _, _, rows = planted(spark)
+    s = summary.summarize(rows, NAMES)
+    many = summary.Summary(s.factor * 1000**0.5, s.n * 1000, s.names)
+    assert recovery.lasso(s, 0.01).names != recovery.lasso(many, 0.01).names
+    assert set(recovery.lasso(s, 0.01, mean=True).names) == set(recovery.lasso(many, 0.01, mean=True).names) >= {"b", "d"}
+
+
 def test_all_choices(spark):
     _, _, rows = planted(spark, 100)
     s = summary.summarize(rows, NAMES)
