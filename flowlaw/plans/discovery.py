@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +66,32 @@ def law_rows(snapshots: DataFrame, known: Mapping[str, Law], terms: Sequence[Ter
     return field_points(snapshots, terms, orders).select("series", "j", "i", "theta", *[y.alias(name) for name, y in rates.items()])
 
 
-def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, full: Summary | None = None, **how: object) -> recovery.Recovery:
+def identify(rows: DataFrame, names: Sequence[str], method: str = "ccp", sampler: str | Callable = "random", samples: int = 5000, row_id: str = "row_id", seed: int = 42, debias: bool = True, full: Summary | None = None, within: float = 0.5, **how: object) -> recovery.Recovery:
     """The terms that explain rows of an id, theta and y, chosen on a sample of them and, with debias, fitted on all.
 
     sampler: a name in sampling.SAMPLERS or a function like those. method: a name in recovery.METHODS, or "best subset". full is the
     summary of all rows where it is known already, as when several methods or samplers are compared.
+
+    A sample of fixed size may be too much alike to tell terms apart, as are the largest of very many rows. So with debias the choice is checked: if
+    it leaves more of all rows than all terms together do (by more than within, as a share), the terms are chosen again on all rows, whose summary is at hand.
     """
     some = summarize(sampling.sample(rows, sampler, samples, row_id, seed), names)
     full = (full or summarize(rows, names)) if debias else None
-    if method == "best subset":
-        found = recovery.best_subset(rows.sparkSession, some, full=full, **how)
-    else:
-        found = recovery.identify(some, method, full=full, **how)
-    return recovery.refitted(found, full) if full else found
+
+    def chosen(s: Summary) -> recovery.Recovery:
+        if method == "best subset":
+            found = recovery.best_subset(rows.sparkSession, s, full=full, **how)
+        else:
+            found = recovery.identify(s, method, full=full, **how)
+        return recovery.refitted(found, full) if full else found
+
+    found = chosen(some)
+    if full and some.n < full.n:
+        enough = max((1 + within) * full.fit(range(len(names)))[1], 1e-9 * float(np.linalg.norm(full.target)))
+        if found.residual > enough:
+            again = chosen(full)
+            found = again if again.residual < found.residual else found
+    return found
 
 
 def smooth_fields(spark: SparkSession, sf_dir: str, modes: int = 4) -> DataFrame:

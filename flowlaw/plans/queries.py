@@ -409,13 +409,13 @@ def q_signal_rows(spark, sf_dir):
 
 
 def q_identify(spark, sf_dir):
-    """The charge, from terms chosen on a sample by each sampler and fitted on all rows."""
+    """The charge, from terms chosen on a sample by each sampler, checked and fitted on all rows."""
     columns = {k: F.col(v).cast("double") for k, v in discovery.ITEM.items()}
     terms = discovery.products(columns)
     rows = table(spark, sf_dir, "lineitem").select(_item_id().alias("row_id"), F.array(*terms.values()).alias("theta"), (columns["p"] * (1 - columns["d"])).alias("y"))
     out, full = None, summary.summarize(rows, list(terms))
     for sampler, method in (("random", "ccp"), ("signal_qr", "omp"), ("qr", "nearest"), ("full", "lasso")):
-        how = {"omp": {"k": 4, "threshold": 1e-3}, "lasso": {"alpha": 0.5}, "nearest": {"most": 2}}.get(method, {})
+        how = {"omp": {"k": 4, "threshold": 1e-3}, "lasso": {"alpha": 0.5, "mean": True}, "nearest": {"most": 2}}.get(method, {})
         found = _charge_result(spark, discovery.identify(rows, list(terms), method, sampler, 2000, full=full, **how)).filter(F.abs("coefficient") > 1e-6)
         one = found.select(F.lit(sampler).alias("sampler"), "*")
         out = one if out is None else out.unionByName(one)

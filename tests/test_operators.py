@@ -198,6 +198,17 @@ def test_sensor_noise(spark):
     assert noise.sensor_noise(rows, ["series"]).columns == rows.columns and noise.sensor_noise(rows.limit(0), ["series"]).count() == 0
 
 
+def test_a_sample_too_much_alike_is_checked(spark):
+    """The largest rows are copies of a few in which two terms are the same: the choice is made on all rows then."""
+    rng = np.random.default_rng(2)
+    small = np.column_stack([np.ones(600), rng.normal(size=(600, 4))])
+    big = np.repeat([[1.0, 50.0, 50.0, 1.0, 1.0], [1.0, 60.0, 60.0, 1.0, 1.0], [1.0, 70.0, 70.0, 1.0, 1.0]], 40, axis=0)
+    theta = np.vstack([small, big])
+    rows = spark.createDataFrame([(i, t.tolist(), float(t[2] - t[3])) for i, t in enumerate(theta)], "row_id long, theta array<double>, y double")
+    found = discovery.identify(rows, NAMES, "omp", "signal_qr", 60, k=2)
+    assert dict(zip(found.names, found.coefficients)) == pytest.approx({"b": 1.0, "c": -1.0})
+
+
 def test_recovery_under_noise(spark):
     """Terms are found and coefficients are near, with noise in terms and target, by any method and sampler."""
     rng = np.random.default_rng(8)
