@@ -405,7 +405,7 @@ def q_signal_rows(spark, sf_dir):
     scaled = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10, F.col("l_tax") * 10]
     wide = table(spark, sf_dir, "lineitem").select(_item_id().alias("row_id"), F.array(*scaled).alias("theta"))
     found = sampling.signal_rows(wide, 3, "row_id")
-    return found.select("row_id", _r(arrays.length(F.col("theta")), 6).alias("size"))
+    return found.select("row_id", _r(arrays.length(F.col("theta")), 6).alias("size")).distinct()  # a row may stand there twice
 
 
 def q_identify(spark, sf_dir):

@@ -43,6 +43,29 @@ def test_query_equals_sql(spark, data, duck, name):
         assert all(x == y or isinstance(x, float) and abs(x - y) <= 1e-3 for x, y in zip(a, b))
 
 
+@pytest.mark.parametrize("case", ["flat", "copies", "shared ids"])
+def test_signal_rows_of_few_dimensions(spark, tmp_path, case):
+    """The longest rows span two dimensions only, are copies, or have an id that other rows have too: still the rows of the SQL."""
+    rng = np.random.default_rng(5)
+    for trial in range(4):
+        path = tmp_path / f"{case}-{trial}"
+        path.mkdir()
+        n = 40
+        price = np.round(rng.uniform(90000, 105000, n), 2)
+        key, part, supp = np.arange(n) + 10 * trial, rng.integers(0, 20000, n), rng.integers(0, 1000, n)
+        if case == "copies":
+            price[:] = np.repeat(price[:4], 10)[rng.permutation(n)]
+        if case == "shared ids":
+            key[:] = 7
+            part, supp = np.repeat(part[:2], n // 2), np.repeat(supp[:2], n // 2)
+        con = duckdb.connect()
+        rows = ", ".join(f"({k}, 1, {a}, {b}, 50.0::DOUBLE, {p}::DOUBLE, 0.1::DOUBLE, 0.08::DOUBLE)" for k, a, b, p in zip(key, part, supp, price))
+        con.sql(f"CREATE TABLE lineitem AS SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax FROM (VALUES {rows}) v(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)")
+        con.sql(f"COPY lineitem TO '{path}/lineitem.parquet' (FORMAT PARQUET)")
+        ours, theirs = plain(queries.q_signal_rows(spark, str(path)).toPandas()), plain(con.sql(oracles.oracle_sql()["q_signal_rows"]).df())
+        assert ours == theirs
+
+
 def test_every_query_runs_with_rows(spark, data):
     assert set(oracles.oracle_sql()) <= set(queries.queries())
     for name in sorted(set(queries.queries()) - set(oracles.oracle_sql())):
