@@ -35,8 +35,8 @@ SHARE, MEMBERS = 1 / 128, 512
 STEP, BLOCK, PASSES = 8192, 32, 3
 ROUNDS = 4
 RATE = 0.15
-#: Tokens whose windows are counted or scored at once, and different windows that a task holds.
-FLUSH = 1 << 21
+#: Different windows that a task holds; tokens whose windows it counts at once, or scores, twice as many; rows handed over at once; contexts whose classes are weighed at once.
+FLUSH, GROUP, ROWS, CONTEXTS = 1 << 21, 1 << 19, 1 << 16, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -85,10 +85,10 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lambda b: _encode(b, tokenizer), f"doc_id {kind}, ids binary")
 
 
-def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
     """Windows of the texts of some rows, how many each of these has, and the parts of their first column.
 
-    A group of rows is closed when it holds FLUSH tokens.
+    A group of rows is closed when it holds most tokens.
     """
     windows, sizes, firsts, n = [], [], [], 0
     for batch in batches:
@@ -98,8 +98,9 @@ def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int) -> Iterator
             windows.append(packed(ids, edge))
             sizes.append(len(ids))
             n += len(ids)
-            if n >= FLUSH:
-                yield np.concatenate(windows), np.array(sizes, np.int64), [*firsts, batch.column(0).slice(start, i + 1 - start)]
+            if n >= most:
+                windows = np.concatenate(windows)  # the parts go
+                yield windows, np.array(sizes, np.int64), [*firsts, batch.column(0).slice(start, i + 1 - start)]
                 windows, sizes, firsts, n, start = [], [], [], 0, i + 1
         firsts.append(batch.column(0).slice(start))
     if sizes:
@@ -108,18 +109,23 @@ def _held(batches: Iterator[pa.RecordBatch], column: int, edge: int) -> Iterator
 
 def _counts(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[pa.RecordBatch]:
     keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(keys >> 20), pa.array((keys & 0xFFFFF).astype(np.int32)), pa.array(n)], ["context", "token", "n"])
-    for windows, _, _ in _held(batches, 1, edge):
+
+    def out() -> Iterator[pa.RecordBatch]:  # few rows at once, as Spark holds a whole batch beside its heap
+        for i in range(0, len(keys), ROWS):
+            own = keys[i : i + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(own >> 20), pa.array((own & 0xFFFFF).astype(np.int32)), pa.array(n[i : i + ROWS])], ["context", "token", "n"])
+
+    for windows, _, _ in _held(batches, 1, edge, min(GROUP, FLUSH)):
         new, count = np.unique(windows, return_counts=True)
-        both = np.concatenate([keys, new])
-        order = np.argsort(both, kind="stable")
-        first = np.flatnonzero(np.diff(both[order], prepend=-1))
-        keys, n = both[order][first], np.add.reduceat(np.concatenate([n, count])[order], first) if len(both) else n
+        at = np.searchsorted(keys, new)
+        known = np.zeros(len(new), bool)
+        known[at < len(keys)] = keys[at[at < len(keys)]] == new[at < len(keys)]
+        n[at[known]] += count[known]
+        keys, n = np.insert(keys, at[~known], new[~known]), np.insert(n, at[~known], count[~known])
         if len(keys) >= FLUSH:
-            yield out()
-            keys, n = keys[:0], n[:0]
-    if len(keys):
-        yield out()
+            yield from out()
+            keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    yield from out()
 
 
 def window_counts(ids: DataFrame, edge: int) -> DataFrame:
@@ -196,7 +202,10 @@ def log_probabilities(model: Model, contexts: np.ndarray, tokens: np.ndarray) ->
         first = np.flatnonzero(np.diff(own, prepend=-1))
         which = np.cumsum(np.diff(own, prepend=-1) != 0) - 1
         h = _hidden(model, own[first])[0]
-        found = _log_softmax(h @ top[:, :-1].T + top[:, -1])[which, class_of[place]].astype(np.float64)
+        found = np.empty(len(own), np.float64)
+        for j in range(0, len(h), CONTEXTS):
+            rows = slice(*np.searchsorted(which, [j, j + CONTEXTS]))
+            found[rows] = _log_softmax(h[j : j + CONTEXTS] @ top[:, :-1].T + top[:, -1])[which[rows] - j, class_of[place[rows]]]
         for rows, lo, hi in _by_class(model, place):
             inner = _log_softmax(h[which[rows]] @ member[lo:hi, :-1].T + member[lo:hi, -1])
             found[rows] += inner[np.arange(len(rows)), place[rows] - lo]
@@ -355,7 +364,7 @@ def likelihoods(model: Model, windows: np.ndarray, sizes: Sequence[int]) -> np.n
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for windows, n, ids in _held(batches, 1, len(model.rank) - 1):
+    for windows, n, ids in _held(batches, 1, len(model.rank) - 1, min(2 * GROUP, FLUSH)):
         total = likelihoods(model, windows, n)
         at = 0
         for part in ids:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flowlaw.llm import scoring, tokens
@@ -72,6 +73,17 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert np.allclose([x[2] for x in out[0]], [x[2] for x in out[2]], rtol=1e-5)
 
 
+def test_counts_are_handed_over_in_small_batches():
+    """Windows of a million tokens: all counted, few rows at once, and little memory beside those that are held."""
+    ids = np.random.default_rng(3).integers(0, EDGE, 1_200_000).astype("<u4")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([ids.tobytes(), ids.tobytes()], pa.binary())], ["doc_id", "ids"])
+    found = list(scoring._counts(iter([batch]), EDGE))
+    assert max(b.num_rows for b in found) <= 1 << 16
+    keys, n = (np.concatenate(x) for x in zip(*[(b.column(0).to_numpy() << 20 | b.column(1).to_numpy(), b.column(2).to_numpy()) for b in found]))
+    want, counts = np.unique(scoring.packed(ids, EDGE), return_counts=True)
+    assert (keys == want).all() and (n == 2 * counts).all()
+
+
 def test_training_in_blocks(spark, monkeypatch):
     """Each block of windows is taken equally often, however the windows arrive, and two runs make the same network."""
     ids = scoring.encoded(frame(spark), PATH).cache()
