@@ -87,6 +87,23 @@ def test_outliers_mislead_squares_only(spark):
     assert found.residual == pytest.approx(np.abs(y - x[:, [1, 3]] @ found.coefficients).sum())
 
 
+def test_first_rounds_are_over_a_sample(spark, monkeypatch):
+    """Of many rows a sample is fitted first: the same fit, and fewer passes over all rows where a law holds but for outliers."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20000, 3))
+    y = x @ [2.0, -1.0, 0.5]
+    y[::10] += 5 + x[::10, 0]
+    rows = spark.createDataFrame([(t.tolist(), float(v)) for t, v in zip(x, y)], "theta array<double>, y double").cache()
+    passes, once, out = [], robust._round, []
+    monkeypatch.setattr(robust, "_round", lambda *a: passes.append(len(out)) or once(*a))
+    for start in (1 << 16, 2000):
+        monkeypatch.setattr(robust, "START", start)
+        out.append(robust.absolute_fits(rows, ("a", "b", "c"), [[0, 1, 2]])[0])
+    for a, b in zip(*out):
+        assert a.residual == pytest.approx(b.residual, rel=1e-6) and a.coefficients == pytest.approx(b.coefficients, abs=1e-5)
+    assert passes.count(1) < passes.count(0)
+
+
 def test_absolute_fit_edges(spark):
     none = spark.createDataFrame([], "theta array<double>, y double")
     fits, size = robust.absolute_fits(none, ("a", "b"), [[0], [0, 1]])
