@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -436,6 +437,43 @@ def test_anchors_and_blocks(spark):
     assert (np.bitwise_count(prints[:, None].view(np.uint64) ^ prints.view(np.uint64)) <= 3).sum() > len(prints)
 
 
+def test_rows_at_anchors_grow_with_links(spark):
+    """What meets by chance goes no further, and rows of one group are dealt once, not to all pairs of its blocks."""
+    rng = np.random.default_rng(3)
+    word = np.uint64(0x15A5A5A5)  # all fingerprints share a part, so all meet at its anchors
+    far = (rng.integers(0, 1 << 31, 2000, dtype=np.uint64) << np.uint64(31) | word).view(np.int64)
+    pair = np.array([far[0], far[0] ^ 1 << 40], np.int64)
+    for size in (100, simhash.SHORT, simhash.SHORT + 1, 900):  # those of large anchors go on whole, in any batches
+        anchor = np.repeat(np.array([5, 9, 11], np.int64), [size, 2, 1])
+        node = np.concatenate([far[:size], pair, far[:1]])
+        for step in (1, 7, 5000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(anchor[i : i + step]), pa.array(node[i : i + step])], ["anchor", "node"]) for i in range(0, len(anchor), step)]
+            assert Counter(x for b in simhash._meeting(iter(batches), 3) for x in b.column(0).to_pylist()) == Counter({9: 2} | ({5: size} if size > simhash.SHORT else {}))
+            assert Counter(x for b in simhash._meeting(iter(batches)) for x in b.column(0).to_pylist()) == Counter({5: size, 9: 2})
+    chain = np.array([(1 << i) - 1 for i in range(60)], np.int64)  # each near the next ones alone
+    alone = rng.integers(1 << 62, 1 << 63, 5, dtype=np.uint64).view(np.int64)
+    nodes = np.concatenate([chain, alone])
+    met = spark.createDataFrame([(a, int(x)) for a in range(4) for x in nodes], "anchor long, node long")
+    found = simhash.compared(met, ["node"], 3, block=8).toPandas().to_numpy()
+    at = {int(x): i for i, x in enumerate(nodes)}
+    root = simhash._roots([(at[a], at[b]) for a, b in found.tolist()], len(nodes))
+    assert (root[:60] == 0).all() and len(set(root[60:].tolist())) == 5
+
+
+def test_bands(spark):
+    """Texts without a common shingle never meet; near ones do; a large group of near copies in small blocks is one group."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(50)]  # the same words in all texts, in any order
+    texts = [" ".join(rng.permutation(words)) for _ in range(60)]
+    keys = np.array([simhash.sketch(t)[0] for t in texts])
+    assert len(np.unique(keys)) == keys.size
+    long = [f"v{i}" for i in range(300)]
+    near = [" ".join([*long[:i], "x", *long[i + 1 :]]) for i in range(0, 300, 5)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *near])), "doc_id long, text string")
+    for block in (8, 4096):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, block=block).collect()} == {i: min(i, 60) for i in range(120)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (200, 202), (202, 204)]
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
