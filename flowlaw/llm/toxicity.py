@@ -41,6 +41,8 @@ APART, SLOPES = 3, (0.2, 2.0)
 #: The power of a label's likelihood that weights a text in calibration.
 TRUST = 0.7
 GATES = 3 * HIDDEN
+#: Texts whose windows are scored at once in training.
+SCORED = 256
 INPUT = OWN + 1 + CHARS
 
 
@@ -231,7 +233,7 @@ def gradients(model: Model, words: list[str], grid: np.ndarray, labels: np.ndarr
 def _pick(model: Model, texts: list[list[str]], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The most toxic window of each text by now, and any other one of each text that is not toxic."""
     words, grid, text = layout(texts)
-    score = logits(model, inputs(model, words)[0], grid)
+    score = np.concatenate([logits(model, inputs(model, some)[0], there) for some, there, _ in (layout(texts[i : i + SCORED]) for i in range(0, len(texts), SCORED))])
     first = np.flatnonzero(np.diff(text, prepend=-1))
     order = np.lexsort((-score, text))
     best = order[first]
@@ -247,7 +249,8 @@ def train(texts: list[str], labels: list[int], seed: int = 6, apart: int = APART
     Every apart-th text of each class stands apart from a first model, and its scores there calibrate the last one, which is
     trained on all texts: on texts that it has seen, a network is surer than elsewhere. With less than two of a class apart, scores are left as they are.
     """
-    split, y = [words_of(t) for t in texts], np.array(labels, np.float32)
+    one: dict[str, str] = {}  # a word is held once, however often it occurs
+    split, y = [[one.setdefault(w, w) for w in words_of(t)] for t in texts], np.array(labels, np.float32)
     place = np.zeros(len(y), int)
     for k in (0, 1):
         place[y == k] = np.arange((y == k).sum())
