@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import struct
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -56,6 +56,15 @@ class Bits:
         return out
 
 
+def _turned() -> np.ndarray:
+    x = np.arange(1 << 16)
+    return sum((x >> i & 1) << 15 - i for i in range(16))
+
+
+#: All numbers of 16 bits with their bits turned round.
+REVERSED = _turned()
+
+
 @lru_cache(maxsize=256)
 def decoding_table(lengths: bytes, place: int = 0) -> tuple[list[int], int]:
     """(table, mask): at the next bits under the mask, symbol << place + 6 | length. A single symbol takes no bits."""
@@ -75,10 +84,8 @@ def decoding_table(lengths: bytes, place: int = 0) -> tuple[list[int], int]:
 
 
 def reversed_bits(x: np.ndarray, n: int | np.ndarray) -> np.ndarray:
-    out = np.zeros_like(x)
-    for i in range(int(np.max(n, initial=0))):
-        out |= np.where(i < n, (x >> i & 1) << np.maximum(n - 1 - i, 0), 0)
-    return out
+    """The lowest n bits of numbers below 2^n, turned round; n is 16 at most."""
+    return REVERSED[x] >> (16 - n)
 
 
 #: By alphabet, codes read lately: their stored bits, how many, and the table. The same bits are the same code.
@@ -102,6 +109,29 @@ def read_code(bits: Bits, alphabet: int, place: int = 0) -> tuple[list[int], int
     return table
 
 
+#: Bits that a table of three codes looks up at once, and pixels that make it worth building one.
+AHEAD, OFTEN = 17, 1 << 15
+#: By the codes' tables (held, so that no other gets their place): pixels read with them, and the table of all three once there is one.
+_threes: dict[tuple[int, int, int], list] = {}
+
+
+def three_codes(codes: list[tuple[list[int], int]], pixels: int) -> list[int] | None:
+    """At the next AHEAD bits, the sum of the three codes' entries; 0 if they take more bits. None if the codes are too new for a table."""
+    key = tuple(id(table) for table, _ in codes)
+    seen = _threes.pop(key, None) or [codes, 0, None]
+    _threes[key] = seen  # the last one used is last
+    if len(_threes) > 8:
+        del _threes[next(iter(_threes))]
+    seen[1] += pixels
+    if seen[2] is None and seen[1] >= OFTEN:
+        left, entry = np.arange(1 << AHEAD), np.zeros(1 << AHEAD, np.int64)
+        for table, mask in codes:
+            found = np.array(table, np.int64)[left & mask]
+            left, entry = left >> (found & 15), entry + found
+        seen[2] = np.where((entry & 63) <= AHEAD, entry, 0).tolist()
+    return seen[2]
+
+
 def _parse_code(bits: Bits, alphabet: int, place: int) -> tuple[list[int], int]:
     lengths = bytearray(alphabet)
     if bits.read(1):
@@ -168,7 +198,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     put = out.append
     (green, gm), (red, rm), (blue, bm), (alpha, am), (far, fm) = codes[0]
     value, count, at, data = bits.value, bits.count, bits.at, bits.data
-    literal = 256 << 14
+    literal, ahead = 256 << 14, (1 << AHEAD) - 1
+    three = three_codes(codes[0][1:4], total) if main and groups_of is None else None
     cached = 0  # pixels before this one are in the cache
     n = 0
     while n < total:
@@ -181,6 +212,13 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
         e = green[value & gm]
         if e < literal:
             value >>= e & 15
+            if three is not None and (r := three[value & ahead]):
+                value >>= r & 63
+                e += r
+                count -= e & 63
+                put(e >> 6)
+                n += 1
+                continue
             r = red[value & rm]
             value >>= r & 15
             b = blue[value & bm]
@@ -662,6 +700,7 @@ class Tokens:
     refs: np.ndarray
     cache_bits: int
 
+    @cached_property
     def counts(self) -> list[np.ndarray]:
         """How often each symbol of the five codes occurs."""
         own = self.samples if self.single is None else self.samples[self.single]
@@ -741,7 +780,7 @@ def write_pixels(out: Writer, pixels: np.ndarray, width: int, main: bool = False
     out.put(1 | made.cache_bits << 1 if made.cache_bits else 0, 5 if made.cache_bits else 1)
     if main:
         out.put(0, 1)
-    counts, tables = made.counts(), []
+    counts, tables = made.counts, []
     for count, fixed in zip(counts, plan(counts)):
         lengths, codes, sizes = fixed_code(len(count)) if fixed else (lambda x: (x, *encoding_table(x)))(code_lengths(count))
         _put_code(out, lengths)
@@ -764,14 +803,14 @@ def smallest(picture: np.ndarray) -> bytes:
     height, width = picture.shape
     pixels = picture.astype(np.uint32).ravel()
     plain, short = tokens(pixels, width), tokens(pixels, width, 8, True)
-    choices = [(fixed_bits(plain.counts()), {"made": plain}), (fixed_bits(short.counts()) + short.extra_bits(), {"made": short})]
+    choices = [(fixed_bits(plain.counts), {"made": plain}), (fixed_bits(short.counts) + short.extra_bits(), {"made": short})]
     ordered = np.sort(pixels)
     colours = ordered[np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))]
     # A palette holds each colour about as a single pixel is held, and each pixel then is a number below that of colours.
     least = choices[0][0] * len(colours) / len(pixels) + len(pixels) * np.log2(len(colours))
     if len(colours) <= 256 and least < 1.5 * min(choices[0][0], choices[1][0]):
         packed = tokens(to_palette(pixels, colours, width, height), -(-width >> _packing(len(colours))), 0, True)
-        own = sum(map(_own_bits, packed.counts())) + packed.extra_bits() + fixed_bits(tokens(_deltas(colours), len(colours)).counts())
+        own = sum(map(_own_bits, packed.counts)) + packed.extra_bits() + fixed_bits(tokens(_deltas(colours), len(colours)).counts)
         choices.append((own, {"palette": True, "references": True}))
     return encode(picture, **min(choices, key=lambda x: x[0])[1])
 

@@ -415,6 +415,36 @@ def test_simhash(spark, docs, none):
     assert 7 not in kept and kept.count(6) == 3 and kept.count(None) == 2
 
 
+def test_three_codes_at_once(monkeypatch):
+    """A picture is read alike with and without a table of three codes, whose entries are those of the single codes, or 0."""
+    rng = np.random.default_rng(8)
+    skewed = lambda n: np.minimum(rng.geometric(0.2, n) + rng.integers(0, 2, n) * 200, 255)
+    flat = lambda n: rng.integers(0, 256, n)
+    kinds = [skewed, flat, lambda n: np.full(n, 7), lambda n: np.zeros(n, int)]
+    for kind in kinds:
+        pixels = sum(kind(4000).astype(np.uint32) << np.uint32(8 * k) for k in range(4)).astype(np.uint32).reshape(-1, 16)
+        for how in ({}, {"cache_bits": 4, "references": True}, {"green": True}):
+            file = webp.encode(pixels, **how)
+            for often in (1, 1 << 40):
+                webp._threes.clear()
+                monkeypatch.setattr(webp, "OFTEN", often)
+                assert (webp.decode(file) == pixels).all()
+                assert [seen[2] is not None for seen in webp._threes.values()] == [often == 1]
+    codes = [webp.decoding_table(webp.code_lengths(1 + skewed(256) ** 2, 15).tobytes(), place) for place in (16, 0, 24)]
+    webp._threes.clear()
+    monkeypatch.setattr(webp, "OFTEN", 1 << 15)
+    table = webp.three_codes(codes, 1 << 40)
+    assert 0 in table
+    for x in rng.integers(0, len(table), 500).tolist():
+        left, entry = x, 0
+        for single, mask in codes:
+            entry += single[left & mask]
+            left >>= single[left & mask] & 15
+        assert table[x] == (entry if entry & 63 <= webp.AHEAD else 0)
+    assert all(webp.three_codes([([i], 0)] * 3, 1) is None for i in range(20)) and len(webp._threes) <= 8
+    assert all(int(webp.reversed_bits(np.array([x]), n)[0]) == int(f"{x:0{n}b}"[::-1], 2) for n in (1, 7, 15) for x in rng.integers(0, 1 << n, 50).tolist())
+
+
 def test_anchors_and_blocks(spark):
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 31, 300, dtype=np.uint64)
