@@ -643,7 +643,7 @@ def fixed_code(alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _fixed_lengths(alphabet: int) -> tuple[np.ndarray, int]:
     """The fixed code's length of each symbol, as no bits count where it has none, and how many bits store it."""
     lengths = fixed_code(alphabet)[0]
-    return np.where(lengths > 0, lengths, 1 << 20).astype(np.int64), _stored_code(lengths.tobytes())[1]
+    return np.where(lengths > 0, lengths.astype(np.int64), 1 << 20), _stored_code(lengths.tobytes())[1]
 
 
 def _split(value: int) -> tuple[int, int, int]:

@@ -689,3 +689,14 @@ def test_media_smallest():
         if len(np.unique(picture)) <= 256:
             others.append(webp.encode(picture, palette=True, references=True))
         assert (webp.decode(made) == picture).all() and len(made) <= min(map(len, others)) * 1.3 + 40
+
+
+def test_media_palettes_with_references():
+    """A code is the fixed one only if that has all symbols: palettes' references have symbols that it lacks."""
+    rng = np.random.default_rng(5)
+    for i in range(60):
+        colours = rng.integers(0x21, 0x7F, (int(rng.integers(20, 250)), 4), dtype=np.uint8)
+        order = np.concatenate([rng.integers(0, len(colours), len(colours) * (2 + i % 6)), np.tile(rng.integers(0, len(colours), 4), 2)])
+        data = media.pad(colours[order].tobytes())
+        assert media.load(media.store(data), len(data))[0] == data
+        assert (webp.decode(webp.encode(media.to_picture(data), references=True)) == media.to_picture(data)).all()
