@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ UNIT = 64
 #: Bytes of a payload that one picture holds at most.
 PART = 1 << 24
 ROWS = 1 << 14
+#: Bytes of the payloads whose files are read together at most.
+HELD = 1 << 23
 #: Of 256 parts so many get each kind of transforms.
 TURNED = 4
 
@@ -72,21 +74,53 @@ def store(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def pictures(media: bytes) -> Iterator[np.ndarray]:
-    """The pictures of WebP files that follow each other; other bytes behind them are none."""
+def files(media: bytes) -> Iterator[bytes]:
+    """WebP files that follow each other; other bytes behind them are none."""
     at = 0
     while at == 0 or media[at : at + 4] == b"RIFF":
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
         if end <= at + 8:
             raise ValueError("a file has no length")
-        yield webp.decode(media[at:end])
+        yield media[at:end]
         at = end
 
 
+def pictures(media: bytes) -> Iterator[np.ndarray]:
+    """The pictures of WebP files that follow each other."""
+    return map(webp.decode, files(media))
+
+
 def load(media: bytes, n: int) -> tuple[bytes, str]:
     """The payload of n bytes, and the feature of all its pictures."""
+    return held_by(pictures(media), n)
+
+
+def load_all(media: pa.Array, sizes: list[int]) -> Iterator[tuple[int, bytes, bytes, str]]:
+    """Place, media, and what load() finds in it, of each of these; single files of like sizes are read together."""
+    group: list[tuple[int, bytes]] = []
+    held = 0
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+        stored = media[i].as_py()
+        if sizes[i] > HELD or len(stored) != 8 + int.from_bytes(stored[4:8], "little"):
+            yield i, stored, *load(stored, sizes[i])
+            continue
+        if held + sizes[i] > HELD or len(group) == webp.TOGETHER:
+            yield from _loaded(group, sizes)
+            group, held = [], 0
+        group.append((i, stored))
+        held += sizes[i]
+    yield from _loaded(group, sizes)
+
+
+def _loaded(group: list[tuple[int, bytes]], sizes: list[int]) -> Iterator[tuple[int, bytes, bytes, str]]:
+    for (i, stored), picture in zip(group, webp.decode_together([x for _, x in group])):
+        yield i, stored, *held_by([picture], sizes[i])
+
+
+def held_by(pictures: Iterable[np.ndarray], n: int) -> tuple[bytes, str]:
+    """The payload of n bytes that these pictures hold, and their feature."""
     parts, seen, left = [], [], n
-    for picture in pictures(media):
+    for picture in pictures:
         seen.append(sketch(picture))
         parts.append(from_picture(picture, min(PART, left)))
         left -= len(parts[-1])
@@ -141,11 +175,10 @@ def encode(docs: DataFrame) -> DataFrame:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in batches:
-        rows = []
-        for n, media in zip(batch.column(1).to_pylist(), batch.column(2)):
-            media = media.as_py()
-            payload, text = load(media, n + (-n % UNIT or (0 if n else UNIT)))
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text))
+        sizes = [n + (-n % UNIT or (0 if n else UNIT)) for n in batch.column(1).to_pylist()]
+        rows: list[tuple] = [()] * len(sizes)
+        for i, media, payload, text in load_all(batch.column(2), sizes):
+            rows[i] = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), text
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -177,31 +178,69 @@ def _prefixed(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
-    """An entropy-coded picture, as a flat array."""
+def read_reference(bits: Bits, symbol: int, far: list[int], mask: int, width: int) -> tuple[int, int]:
+    """Run and distance of a back-reference behind the symbol of its run."""
+    run = _prefixed(bits, symbol - 256)
+    if bits.count < 16:
+        bits.fill()
+    e = far[bits.value & mask]
+    bits.value >>= e & 15
+    bits.count -= e & 15
+    step = _prefixed(bits, e >> 6)
+    if step > 120:
+        return run, step - 120
+    x, y = PLANE[step - 1]
+    return run, max(1, x + y * width)
+
+
+@dataclass
+class Coded:
+    """An entropy-coded picture whose codes are read; its pixels come next among the bits."""
+
+    bits: Bits
+    width: int
+    total: int
+    cache_bits: int
+    codes: list[list[tuple[list[int], int]]]
+    main: bool
+    groups_of: list[int] | None
+    block: int
+
+
+def read_codes(bits: Bits, width: int, height: int, main: bool = False) -> Coded:
     cache_bits = bits.read(4) if bits.read(1) else 0
     groups_of, block = None, 0
     groups = 1
     if main and bits.read(1):
         block = bits.read(3) + 2
-        across = -(-width >> block)
-        groups_of = (read_pixels(bits, across, -(-height >> block)) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
+        groups_of = (read_pixels(bits, -(-width >> block), -(-height >> block)) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
         groups = max(groups_of) + 1
-    cache = [0] * (1 << cache_bits) if cache_bits else None
-    shift = 32 - cache_bits
     # The sum of a pixel's four entries is the pixel above, and the bits that it took below.
-    codes = [[read_code(bits, n, place) for n, place in ((280 + (len(cache) if cache else 0), 8), (256, 16), (256, 0), (256, 24), (40, 0))] for _ in range(groups)]
+    codes = [[read_code(bits, n, place) for n, place in ((280 + (1 << cache_bits if cache_bits else 0), 8), (256, 16), (256, 0), (256, 24), (40, 0))] for _ in range(groups)]
+    return Coded(bits, width, width * height, cache_bits, codes, main, groups_of, block)
+
+
+def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.ndarray:
+    """An entropy-coded picture, as a flat array."""
+    return read_rest(read_codes(bits, width, height, main), [])
+
+
+def read_rest(coded: Coded, out: list[int], cache: list[int] | None = None) -> np.ndarray:
+    """The picture whose first pixels are out; these are in the cache if it is given."""
+    bits, width, total, groups_of, block = coded.bits, coded.width, coded.total, coded.groups_of, coded.block
+    codes, across = coded.codes, -(-width >> block)
+    cached = 0 if cache is None else len(out)  # pixels before this one are in the cache
+    cache = cache or [0] * (1 << coded.cache_bits)
+    shift = 32 - coded.cache_bits
     back = max(0, bits.count - 64) >> 3
     bits.at, bits.count = bits.at - back, bits.count - 8 * back
     bits.value &= (1 << bits.count) - 1
-    total, out = width * height, []
     put = out.append
     (green, gm), (red, rm), (blue, bm), (alpha, am), (far, fm) = codes[0]
     value, count, at, data = bits.value, bits.count, bits.at, bits.data
     literal, ahead = 256 << 14, (1 << AHEAD) - 1
-    three = three_codes(codes[0][1:4], total) if main and groups_of is None else None
-    cached = 0  # pixels before this one are in the cache
-    n = 0
+    three = three_codes(codes[0][1:4], total) if coded.main and groups_of is None else None
+    n = len(out)
     while n < total:
         if groups_of is not None:
             (green, gm), (red, rm), (blue, bm), (alpha, am), (far, fm) = codes[groups_of[(n // width >> block) * across + (n % width >> block)]]
@@ -241,19 +280,8 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
             n += 1
             continue
         bits.value, bits.count, bits.at = value, count, at
-        run = _prefixed(bits, symbol - 256)
-        if bits.count < 16:
-            bits.fill()
-        e = far[bits.value & fm]
-        bits.value >>= e & 15
-        bits.count -= e & 15
-        step = _prefixed(bits, e >> 6)
+        run, step = read_reference(bits, symbol, far, fm, width)
         value, count, at = bits.value, bits.count, bits.at
-        if step > 120:
-            step -= 120
-        else:
-            x, y = PLANE[step - 1]
-            step = max(1, x + y * width)
         if step > n or n + run > total:
             raise ValueError("a back-reference leaves the picture")
         if step >= run:
@@ -268,6 +296,103 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     return np.array(out, np.uint32)
 
 
+#: Files that are read together at most, and fewer than this many are read one by one.
+TOGETHER, ALONE = 1024, 48
+#: Longest codes of the four samples that are read together: bits at hand from any place on.
+AT_HAND = 49
+
+
+def read_together(all_coded: list[Coded]) -> list[np.ndarray]:
+    """What read_rest() finds for each picture: a token of every picture at a time, and the last few pictures one by one."""
+    fits = lambda c: c.groups_of is None and sum(mask.bit_length() for _, mask in c.codes[0][:4]) <= AT_HAND
+    lanes = [i for i, c in enumerate(all_coded) if fits(c)]
+    if len(lanes) < ALONE:
+        return [read_rest(c, []) for c in all_coded]
+    coded = [all_coded[i] for i in lanes]
+    found: list[np.ndarray | None] = [None if fits(c) else read_rest(c, []) for c in all_coded]
+    # All files in one array, as the 64 bits from each 16th bit on.
+    data = [c.bits.data + bytes(8 + len(c.bits.data) % 2) for c in coded]
+    begins = np.cumsum([0, *map(len, data)])
+    halves = np.frombuffer(b"".join(data) + bytes(8), "<u2").astype(np.uint64)
+    ahead = (halves[:-3] | halves[1:-2] << np.uint64(16) | halves[2:-1] << np.uint64(32) | halves[3:] << np.uint64(48)).view(np.int64)
+    # All tables in one array; of equal ones there is one.
+    starts: dict[int, int] = {}
+    tables, end = [], 0
+    for c in coded:
+        for table, _ in c.codes[0][:4]:
+            if id(table) not in starts:
+                starts[id(table)] = end
+                tables.append(np.array(table, np.int64))
+                end += len(table)
+    entries = np.concatenate(tables)
+    firsts = np.cumsum([0, *(c.total for c in coded)])
+    caches = np.cumsum([0, *(1 << c.cache_bits for c in coded)])
+    out, cache = np.zeros(firsts[-1], np.int64), np.zeros(caches[-1], np.int64)
+    state = np.array(
+        [
+            [k, 8 * (begins[k] + c.bits.at) - c.bits.count, firsts[k], firsts[k + 1], caches[k], 32 - c.cache_bits, *(x for table, mask in c.codes[0][:4] for x in (starts[id(table)], mask))]
+            for k, c in enumerate(coded)
+        ],
+        np.int64,
+    ).T.copy()
+    literal, slot = 256 << 14, 280 << 14
+    while state.shape[1] >= ALONE:
+        lane, pos, n, last, held, shift, green, gm, red, rm, blue, bm, alpha, am = state
+        while True:
+            value = ahead.take(pos >> 4, mode="clip") >> (pos & 15)
+            e = entries.take(green + (value & gm))
+            value >>= e & 15
+            r = entries.take(red + (value & rm))
+            value >>= r & 15
+            b = entries.take(blue + (value & bm))
+            value >>= b & 15
+            r += b
+            r += entries.take(alpha + (value & am))
+            other = (e >= literal).nonzero()[0]
+            r[other] = 0
+            r += e
+            pos += r & 63
+            pixel = r >> 6
+            if len(other):
+                code = e[other]
+                hit = other[code >= slot]
+                pixel[hit] = cache.take(held[hit] + (e[hit] >> 14) - 280)
+                for k in other[code < slot].tolist():
+                    c, at, first = coded[lane[k]], int(n[k]), int(firsts[lane[k]])
+                    seek(c.bits, int(pos[k]) - 8 * int(begins[lane[k]]))
+                    run, step = read_reference(c.bits, int(e[k]) >> 14, *c.codes[0][4], c.width)
+                    if step > at - first or at + run > last[k]:
+                        raise ValueError("a back-reference leaves the picture")
+                    copied = np.resize(out[at - step : at], run) if step < run else out[at - step : at - step + run]
+                    out[at : at + run] = copied
+                    cache[held[k] + ((copied * CACHE_FACTOR & 0xFFFFFFFF) >> shift[k])] = copied
+                    pixel[k] = copied[-1]  # it is put at its place once more below
+                    n[k] += run - 1
+                    pos[k] = 8 * (int(begins[lane[k]]) + c.bits.at) - c.bits.count
+            out[n] = pixel
+            cache[held + ((pixel * CACHE_FACTOR & 0xFFFFFFFF) >> shift)] = pixel
+            n += 1
+            if (n >= last).any():
+                break
+        for k in np.flatnonzero(n >= last).tolist():
+            if -(-int(pos[k]) // 8) - begins[lane[k]] > len(coded[lane[k]].bits.data):
+                raise ValueError("the stream ends early")
+        state = state[:, n < last]
+    left = state[0].tolist()
+    for k, c in enumerate(coded):
+        found[lanes[k]] = None if k in left else out[firsts[k] : firsts[k + 1]].astype(np.uint32)
+    for k, pos, n in zip(left, state[1].tolist(), state[2].tolist()):
+        seek(coded[k].bits, pos - 8 * int(begins[k]))
+        found[lanes[k]] = read_rest(coded[k], out[firsts[k] : n].tolist(), cache[caches[k] : caches[k + 1]].tolist())
+    return found
+
+
+def seek(bits: Bits, at: int) -> None:
+    """The bit at this place is read next."""
+    bits.at, bits.value, bits.count = at >> 3, 0, 0
+    bits.read(at & 7)
+
+
 def slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
     """Places of pixels in the colour cache."""
     return (pixels.astype(np.uint32) * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache_bits)).astype(np.int64)
@@ -443,8 +568,30 @@ def to_palette(pixels: np.ndarray, palette: np.ndarray, width: int, height: int)
     return packed << np.uint32(8) | np.uint32(BLACK)
 
 
-def decode(media: bytes) -> np.ndarray:
-    """The picture (height, width) of a lossless WebP file; ValueError if it is none."""
+@dataclass
+class Opened:
+    """A file whose transforms and codes are read."""
+
+    width: int
+    height: int
+    todo: list[tuple[int, int, np.ndarray | None, int]]
+    coded: Coded
+
+    def picture(self, pixels: np.ndarray) -> np.ndarray:
+        """The picture (height, width) behind the coded one."""
+        for kind, wide, side, block in reversed(self.todo):
+            if kind == PREDICTOR:
+                pixels = unpredict(pixels, wide, self.height, side, block)
+            elif kind == CROSS_COLOUR:
+                pixels = cross_colour(pixels, side, wide, self.height, block, 1)
+            elif kind == SUBTRACT_GREEN:
+                pixels = add_green(pixels, 1)
+            else:
+                pixels = from_palette(pixels, side, wide, self.height)
+        return pixels.reshape(self.height, self.width)
+
+
+def opened(media: bytes) -> Opened:
     if media[:4] != b"RIFF" or media[8:16] != b"WEBPVP8L" or media[20:21] != b"\x2f":
         raise ValueError("not a lossless WebP file")
     bits = Bits(media[21 : 20 + struct.unpack("<I", media[16:20])[0]])
@@ -465,17 +612,20 @@ def decode(media: bytes) -> np.ndarray:
             width = -(-width >> _packing(size))
         else:
             todo.append((kind, width, None, 0))
-    pixels = read_pixels(bits, width, height, main=True)
-    for kind, wide, side, block in reversed(todo):
-        if kind == PREDICTOR:
-            pixels = unpredict(pixels, wide, height, side, block)
-        elif kind == CROSS_COLOUR:
-            pixels = cross_colour(pixels, side, wide, height, block, 1)
-        elif kind == SUBTRACT_GREEN:
-            pixels = add_green(pixels, 1)
-        else:
-            pixels = from_palette(pixels, side, wide, height)
-    return pixels.reshape(height, full_width)
+    return Opened(full_width, height, todo, read_codes(bits, width, height, main=True))
+
+
+def decode(media: bytes) -> np.ndarray:
+    """The picture (height, width) of a lossless WebP file; ValueError if it is none."""
+    file = opened(media)
+    return file.picture(read_rest(file.coded, []))
+
+
+def decode_together(media: list[bytes]) -> Iterator[np.ndarray]:
+    """What decode() finds for each of the files, which are all held at once."""
+    files = [opened(x) for x in media]
+    for file, pixels in zip(files, read_together([f.coded for f in files])):
+        yield file.picture(pixels)
 
 
 # ---- encoder

@@ -700,3 +700,54 @@ def test_media_palettes_with_references():
         data = media.pad(colours[order].tobytes())
         assert media.load(media.store(data), len(data))[0] == data
         assert (webp.decode(webp.encode(media.to_picture(data), references=True)) == media.to_picture(data)).all()
+
+
+def test_media_read_together(monkeypatch):
+    """Files that are read together hold what each holds by itself, in any order and form, and less than half of their pixels are read one by one."""
+    rng = np.random.default_rng(3)
+    words = np.array(["tea", "größer", "cat", "ab", "\n", "<b>", "x" * 40, "0.25"])
+    texts = [" ".join(rng.choice(words, int(n))).encode() for n in rng.integers(0, 400, 150)] + [bytes(rng.integers(0, 256, 900, dtype=np.uint8)), b"", b"a" * 5000]
+    pictures = [media.to_picture(media.pad(x)) for x in texts]
+    hows = ({"cache_bits": 4, "references": True}, {"cache_bits": 10, "references": True}, {"references": True}, {}, {"green": True, "cache_bits": 1})
+    made = [webp.encode(p, **hows[i % len(hows)]) for i, p in enumerate(pictures)] + [webp.smallest(p) for p in pictures]
+    with monkeypatch.context() as long:  # codes of more bits than are at hand at once
+        make = webp.code_lengths
+        long.setattr(webp, "code_lengths", lambda counts, most=15: make(counts, most))
+        long.setattr(webp, "WORTH", -10)
+        made.append(webp.encode(np.minimum(rng.geometric(0.4, (16, 2000)), 255).astype(np.uint32) * np.uint32(0x01010101)))
+    assert sum(mask.bit_length() for _, mask in webp.opened(made[-1]).coded.codes[0][:4]) > webp.AT_HAND
+    assert all((x == webp.decode(f)).all() for x, f in zip(webp.decode_together(made), made, strict=True))
+    data = [media.pad(x) for x in texts]
+    monkeypatch.setattr(media, "PART", 2048)  # some are several files
+    stored, sizes = pa.array(map(media.store, data), pa.binary()), [len(x) for x in data]
+    alone, old = [], webp.read_rest
+    monkeypatch.setattr(webp, "read_rest", lambda coded, out, *cache: alone.append(coded.total - len(out)) or old(coded, out, *cache))
+    found = {i: rest for i, *rest in media.load_all(stored, sizes)}
+    several = sum(n // 4 for n in sizes if n > 2048)
+    assert sum(alone) < several + 0.5 * sum(n // 4 for n in sizes if n <= 2048)
+    assert [found[i] for i in range(len(data))] == [[s.as_py(), *media.load(s.as_py(), n)] for s, n in zip(stored, sizes)]
+    assert [found[i][1] for i in range(len(data))] == data
+
+
+def test_media_read_together_tells_broken_files():
+    """A file that ends early, or whose back-reference leaves the picture, is told among others as it is by itself."""
+    pictures = [media.to_picture(media.pad(b"one two three " * n)) for n in range(1, 80)]
+    made = [webp.encode(p) for p in pictures]
+    cut = bytearray(made[40][:-20])
+    cut[16:20] = (len(cut) - 20).to_bytes(4, "little")
+    out = webp.Writer()
+    out.put(15 | 3 << 14 | 1 << 28, 32)
+    out.put(0, 3)  # no transform, no cache, no meta codes
+    lengths = [np.zeros(n, np.uint8) for n in (280, 256, 256, 256, 40)]
+    lengths[0][[65, 260]] = 1
+    for x in lengths[1:]:
+        x[0] = 1
+    for x in lengths:
+        webp._put_code(out, x)
+    out.put(1, 64)
+    body = b"\x2f" + out.bytes()
+    far = b"RIFF\0\0\0\0WEBPVP8L" + len(body).to_bytes(4, "little") + body
+    for file, what in ((bytes(cut), "ends early"), (far, "leaves the picture")):
+        for read in (lambda f: webp.decode(f), lambda f: list(webp.decode_together([*made, f]))):
+            with pytest.raises(ValueError, match=what):
+                read(file)
